@@ -4,7 +4,8 @@ A group (a class, a layer, a run) may hold a third of all rows, so a plain windo
 sort it in a single task.  Here equal values are first collapsed to ``(key, value, n)`` with a
 map-side combine; a mergeable quantile sketch then proposes cut points, the collapsed rows are
 sorted slice by slice, and slice offsets come from a table with one row per slice.  The sketch only
-balances the slices: ranks stay exact whatever cut points it proposes.
+balances the slices: ranks stay exact whatever cut points it proposes.  Tables known to be small
+skip the slicing.
 """
 
 from __future__ import annotations
@@ -15,11 +16,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..session import estimated_bytes
+
 SLICES = 32
+#: A table estimated below this size is sorted per key directly: no key can outgrow one task.
+ONE_TASK_BYTES = 64 << 20
+
+
+def slices_for(df: DataFrame) -> int:
+    """1 when the whole table is small enough for any single task, else ``SLICES``."""
+    return 1 if estimated_bytes(df) <= ONE_TASK_BYTES else SLICES
 
 
 def value_ranks(df: DataFrame, keys: Sequence[str], value: str, weight: Column | None = None,
-                extra: dict[str, Column] | None = None, slices: int = SLICES) -> DataFrame:
+                extra: dict[str, Column] | None = None, slices: int | None = None) -> DataFrame:
     """One row per ``(keys, value)`` with ``n_eq``, ``n_below`` and ``n_total``; NULL values are left out.
 
     ``extra`` adds further aggregates per value (for example a count of positives).
@@ -28,10 +38,11 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, weight: Column |
     n = F.sum(weight) if weight is not None else F.count(F.lit(1))
     flat = (df.where(F.col(value).isNotNull()).groupBy(*keys, value)
             .agg(n.alias("n_eq"), *[c.alias(k) for k, c in (extra or {}).items()]))
+    slices = slices_for(df) if slices is None else slices
     if slices <= 1:
-        run = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+        run = W.partitionBy(*(keys or [F.lit(0)])).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
         return (flat.withColumn("_cum", F.sum("n_eq").over(run))
-                .withColumn("n_total", F.sum("n_eq").over(W.partitionBy(*keys)))
+                .withColumn("n_total", F.sum("n_eq").over(W.partitionBy(*(keys or [F.lit(0)]))))
                 .withColumn("n_below", F.col("_cum") - F.col("n_eq")).drop("_cum"))
     at = F.percentile_approx(value, [i / slices for i in range(1, slices)], 1000)
     if keys:
@@ -53,7 +64,7 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, weight: Column |
 
 
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str = "avg_rank",
-                  slices: int = SLICES) -> DataFrame:
+                  slices: int | None = None) -> DataFrame:
     """Attach the tie-averaged rank of ``value`` within ``keys`` and the group's ``n_total``."""
     ranks = (value_ranks(df, keys, value, slices=slices)
              .withColumn(out, F.col("n_below") + (F.col("n_eq") + F.lit(1)) / 2.0)
@@ -69,7 +80,7 @@ def kth_smallest(ranks: DataFrame, keys: Sequence[str], value: str, k: Column, o
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
-                    slices: int = SLICES) -> DataFrame:
+                    slices: int | None = None) -> DataFrame:
     """Linear-interpolation quantiles per key, exact and skew-safe; one column per name in ``probs``."""
     ranks = value_ranks(df, keys, value, slices=slices)
     picks, finish = [], []
@@ -85,12 +96,17 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
 
 
 def dense_index(df: DataFrame, keys: Sequence[str], unit: str, tie: str, out: str = "idx",
-                slices: int = SLICES) -> DataFrame:
+                slices: int | None = None) -> DataFrame:
     """0-based position of every row within ``keys`` ordered by a uniform hash column ``unit``.
 
     The hash is uniform, so ``floor(unit * slices)`` already gives balanced slices.
     """
     keys = list(keys)
+    slices = slices_for(df) if slices is None else slices
+    if slices <= 1:
+        all_of = W.partitionBy(*(keys or [F.lit(0)]))
+        return (df.withColumn("n_total", F.count(F.lit(1)).over(all_of))
+                .withColumn(out, F.row_number().over(all_of.orderBy(unit, tie)) - 1))
     cut = df.withColumn("_slice", F.floor(F.col(unit) * slices))
     over = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
     before = over.orderBy("_slice").rowsBetween(W.unboundedPreceding, 0)
@@ -105,12 +121,13 @@ def dense_index(df: DataFrame, keys: Sequence[str], unit: str, tie: str, out: st
 
 
 def benjamini_hochberg(df: DataFrame, keys: Sequence[str], p: str, out: str = "p_adj",
-                       slices: int = SLICES) -> DataFrame:
+                       slices: int | None = None) -> DataFrame:
     """Adjusted p per family: ``min over larger p of p·n/rank``, capped at 1 (a tied p takes its last rank).
 
     The suffix minimum is taken inside each slice and combined with the minima of the slices behind it.
     """
     keys = list(keys)
+    slices = slices_for(df) if slices is None else slices
     ranks = (value_ranks(df, keys, p, slices=slices)
              .withColumn("_raw", F.col(p) * F.col("n_total") / (F.col("n_below") + F.col("n_eq")))
              .withColumn("_slice", F.floor(F.col(p) * slices)))

@@ -59,8 +59,7 @@ def conformal_rank(alpha, n="n_total") -> Column:
 
 def thresholds(scores: DataFrame, run: list[str], alphas: list[float], slices: int | None = None) -> DataFrame:
     """The conformal threshold per run and α; +∞ where the rank exceeds the number of scores."""
-    kw = {} if slices is None else {"slices": slices}
-    ranks = value_ranks(scores, run, "score", **kw)
+    ranks = value_ranks(scores, run, "score", slices=slices)
     each = ranks.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas])))
     return (kth_smallest(each, [*run, "alpha"], "score", conformal_rank(F.col("alpha")), "q")
             .withColumn("q", F.coalesce("q", F.lit(INF))).withColumnRenamed("n_total", "n_cal"))

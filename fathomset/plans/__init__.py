@@ -6,7 +6,7 @@ import importlib
 
 from .registry import CATALOGUE, Entry
 
-FAMILIES = ["splitting", "selecting"]
+FAMILIES = ["splitting", "selecting", "calibrating"]
 
 
 def catalogue() -> dict[str, Entry]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import settle
+
 SEED_FOLD, SEED_CAL, N_FOLDS, CAL_FRAC = 11, 12, 5, 0.3
 
 
@@ -82,14 +84,14 @@ def folds_v(spark, sf) -> DataFrame:
 
 def roles_v(spark, sf) -> DataFrame:
     from ..operators.splits import fold_roles
-    return fold_roles(folds_v(spark, sf), N_FOLDS, CAL_FRAC, seed=SEED_CAL).persist()
+    return fold_roles(folds_v(spark, sf), N_FOLDS, CAL_FRAC, seed=SEED_CAL).transform(settle)
 
 
 def probs_v(spark, sf, features: DataFrame | None = None) -> DataFrame:
     from ..models.centroid import centroid_probs, centroids, fold_moments
     fact, roles = fact_v(spark, sf), roles_v(spark, sf)
     fits = fold_moments(fact, roles)
-    return centroid_probs(fact, roles, centroids(fits, ["fold"], features))
+    return centroid_probs(fact, roles, settle(centroids(fits, ["fold"], features)))
 
 
 # ---------------------------------------------------------------- K: lineitem counts

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..models.centroid import centroid_probs, centroids, fold_moments
 from ..operators import conformal as C
 from ..operators import effects as X
+from ..session import settle
 from .lenses import V_DIST, V_FACT, V_FIT, V_FOLDS, fact_v, roles_v
 from .registry import query
 
@@ -36,7 +37,7 @@ FOLD_PANEL = f"WITH RECURSIVE {V_FACT}{V_FOLDS}{V_FIT}{OVR_FOLD}{PANEL}"
 
 def fold_panel(spark, sf, k=20):
     """(per-fold fit moments, per-fold panel of k features), from the fit individuals only."""
-    fits = fold_moments(fact_v(spark, sf), roles_v(spark, sf)).persist()
+    fits = fold_moments(fact_v(spark, sf), roles_v(spark, sf)).transform(settle)
     return fits, X.round_robin(X.one_vs_rest(fits, ["fold"]), k, ["fold"])
 
 
@@ -84,8 +85,9 @@ SELECT alpha, class, count(*) AS n, count(covered) AS n_seen, round(avg(covered)
 FROM st GROUP BY GROUPING SETS ((alpha), (alpha, class))""")
 def panel_coverage(spark, sf):
     fact, roles = fact_v(spark, sf), roles_v(spark, sf)
-    fits, panel = fold_panel(spark, sf)
-    probs = centroid_probs(fact, roles, centroids(fits, ["fold"], panel)).persist()
+    fits = settle(fold_moments(fact, roles))
+    panel = X.round_robin(X.one_vs_rest(fits, ["fold"]), 20, ["fold"])
+    probs = settle(centroid_probs(fact, roles, settle(centroids(fits, ["fold"], panel))))
     q = C.thresholds(C.lac_scores(probs.where("role = 'cal'")), ["fold"], [0.05, 0.1, 0.2])
     sets = C.prediction_sets(probs.where("role = 'test'"), q, ["fold"], ["fold", "sample_id"])
     return C.evaluate_sets(sets, ["alpha"], per_class=True)

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows above which a helper table is never broadcast explicitly.
 BROADCAST_ROWS = 200_000
+#: Estimated size below which Catalyst is left to choose the join side by itself.
+SMALL_BYTES = 8 << 20
 
 
 def build_session(cpus: str | int = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -31,16 +33,32 @@ def build_session(cpus: str | int = "*", shuffle_partitions: int = 8, memory: st
     )
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of a plan (file sizes for scans, real sizes for materialised caches)."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Persist a statistics table that several later steps read, and materialise it.
+
+    Its true size is then known to Catalyst, so joins against it are planned on facts.
+    """
+    kept = df.persist()
+    kept.count()
+    return kept
+
+
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast only when its real row count is within ``max_rows``.
+    """Mark ``df`` for broadcast only when its size is known to be within bounds.
 
-    The table is persisted before it is counted, so it is computed once; beyond the bound it is
+    A plan whose estimate is already tiny is left to Catalyst, which broadcasts it by its own rule.
+    Otherwise the table is persisted and counted (so it is computed once); beyond ``max_rows`` it is
     returned without a hint and the join shuffles as usual.
     """
+    if estimated_bytes(df) <= SMALL_BYTES:
+        return df
     kept = df.persist()
-    if kept.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(kept)
-    return kept
+    return F.broadcast(kept) if kept.count() <= max_rows else kept
 
 
 def shared_folder(spark: SparkSession) -> str:
