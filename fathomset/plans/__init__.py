@@ -6,7 +6,7 @@ import importlib
 
 from .registry import CATALOGUE, Entry
 
-FAMILIES = ["splitting", "selecting", "calibrating"]
+FAMILIES = ["splitting", "selecting", "calibrating", "harmonising", "auditing"]
 
 
 def catalogue() -> dict[str, Entry]:

@@ -35,7 +35,7 @@ def differences(got: pd.DataFrame, want: pd.DataFrame) -> str:
     odd = {c: k for c, k in kinds.items() if ("O" in k or "f" in k or "b" in k) and k[0] != k[1] and len(got)}
     a, b = normal(got), normal(want)
     if a == b:
-        return f"" if not odd else f"(types {odd})"
-    extra = [x for x in a if x not in set(b)][:3]
-    missing = [x for x in b if x not in set(a)][:3]
+        return "" if not odd else f"(types {odd})"
+    sa, sb = set(a), set(b)
+    extra, missing = [x for x in a if x not in sb][:3], [x for x in b if x not in sa][:3]
     return f"rows {len(a)} vs {len(b)}; cols {sorted(got.columns)}; only spark {extra}; only sql {missing}"
