@@ -6,7 +6,7 @@ import importlib
 
 from .registry import CATALOGUE, Entry
 
-FAMILIES = ["splitting", "selecting", "calibrating", "harmonising", "auditing"]
+FAMILIES = ["splitting", "selecting", "calibrating", "harmonising", "auditing", "resampling"]
 
 
 def catalogue() -> dict[str, Entry]:
