@@ -6,7 +6,7 @@ import importlib
 
 from .registry import CATALOGUE, Entry
 
-FAMILIES = ["splitting", "selecting", "calibrating", "harmonising", "auditing", "resampling"]
+FAMILIES = ["splitting", "selecting", "calibrating", "harmonising", "auditing", "resampling", "claiming", "streams"]
 
 
 def catalogue() -> dict[str, Entry]:

@@ -203,7 +203,7 @@ def pooled_rank_test(spark, sf):
     s = average_ranks(f.where("feature_id = 'f00'").select("sample_id", "group_id", "class", "sex", "value"), ["class", "sex"], "value")
     a = s.groupBy(F.col("group_id").alias("sample_id"), "sex").agg(F.round(F.avg(F.col("avg_rank") / F.col("n_total")), 9).alias("score"))
     b = f.where("feature_id = 'f05'").groupBy(F.col("group_id").alias("sample_id")).agg(F.avg("value").alias("cov"))
-    c = average_ranks(a.join(b, "sample_id"), ["sex"], "cov").withColumn("pr", F.col("avg_rank") / F.col("n_total")).drop("avg_rank", "n_total")
+    c = average_ranks(settle(a.join(b, "sample_id")), ["sex"], "cov").withColumn("pr", F.col("avg_rank") / F.col("n_total")).drop("avg_rank", "n_total").transform(settle)
     r = average_ranks(average_ranks(c, [], "score", "rx").drop("n_total"), [], "pr", "ry").drop("n_total")
     r = settle(r.select("sample_id", "sex", "rx", "ry"))
     null = R.permuted(r, ["sex"], ["ry"], 40, 75).join(r.select("sample_id", "rx"), "sample_id").groupBy("perm").agg(F.round(F.corr("rx", "ry"), 9).alias("rho"))
