@@ -39,7 +39,7 @@ def stream_submissions(spark, sf):
 @query("coverage_monitor", "ST3 C5 C15", f"""WITH {E_ROWS} SELECT strftime(time_bucket(INTERVAL '1 day', ts), '%Y-%m-%d') AS day, class, count(*) AS n, round(avg((value <= 70)::INT), 6) AS coverage, round(avg((k >= 90)::INT), 6) AS flag_rate FROM ev GROUP BY ALL""")
 def coverage_monitor(spark, sf):
     e = T.parquet_stream(spark, sf, "events").select(
-        "ts", F.col("event_type").alias("class"), (F.col("value") <= 70).cast("double").alias("covered"),
+        F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("class"), (F.col("value") <= 70).cast("double").alias("covered"),
         (F.from_json("props", "k INT")["k"] >= 90).cast("double").alias("flagged"))
     w = T.run_complete(T.coverage_windows(e, "1 day", "2 hours"), "monitor")
     return w.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "class", "n", F.round("coverage", 6).alias("coverage"), F.round("flag_rate", 6).alias("flag_rate"))
@@ -49,8 +49,8 @@ def coverage_monitor(spark, sf):
 SELECT p.user_id, count(*) AS n_pairs, round(avg((abs(value - lv) < 40)::INT), 6) AS agreement FROM p JOIN l ON p.user_id = l.user_id AND lts >= ts AND lts <= ts + INTERVAL 6 HOURS GROUP BY p.user_id""")
 def late_labels(spark, sf):
     ev = lambda: T.parquet_stream(spark, sf, "events")
-    p = ev().where("event_type = 'view'").select("user_id", "ts", "value")
-    lab = ev().where("event_type = 'purchase'").select(F.col("user_id").alias("label_user_id"), F.col("ts").alias("label_ts"), F.col("value").alias("label_value"))
+    p = ev().where("event_type = 'view'").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    lab = ev().where("event_type = 'purchase'").select(F.col("user_id").alias("label_user_id"), F.col("ts").cast("timestamp").alias("label_ts"), F.col("value").alias("label_value"))
     j = T.run_to_files(T.join_late_labels(p, lab, ["user_id"], "6 HOURS", "1 hour"), "labels")
     return j.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.avg((F.abs(F.col("value") - F.col("label_value")) < 40).cast("int")), 6).alias("agreement"))
 
@@ -85,7 +85,7 @@ def ledger_anchors(spark, sf):
     return G.check_anchors(led, a).withColumn("expected", F.round("expected", 6))
 
 
-_T2 = f"""WITH {O_ROWS}, a AS (SELECT segment, class, round(avg(price), 6) AS v FROM ord GROUP BY ALL), b AS (SELECT segment, class, round(avg(price), 6) + CASE WHEN class = '2-HIGH' THEN 1.0 ELSE 1e-9 END AS v FROM ord WHERE segment <> 'BUILDING' GROUP BY ALL)"""
+_T2 = f"""WITH {O_ROWS}, a AS (SELECT segment, class, round(avg(price), 6) AS v FROM ord GROUP BY ALL), b AS (SELECT segment, class, round(avg(price), 6) + CASE WHEN class = '2-HIGH' THEN 1.0 ELSE 1e-9 END AS v FROM ord WHERE segment <> 'BUILDING' GROUP BY segment, class)"""
 
 
 def _two_tables(spark, sf):
