@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.conformal import softmax_over
+from ..operators.conformal import DIGITS
 from ..operators.effects import moments, pool
 from ..session import checked_broadcast
 
@@ -31,16 +31,28 @@ def centroids(fits: DataFrame, run: list[str], features: DataFrame | None = None
 def centroid_probs(fact: DataFrame, roles: DataFrame, table: DataFrame, wanted: list[str] = ("test", "cal")) -> DataFrame:
     """p ∝ exp(−d²/2) with d the distance to each class centroid in training-sd units.
 
-    The fact table is joined map-side to the (small, checked) centroid table; the partial sum over a
-    sample's features happens before the shuffle.
+    The centroid table is turned to one row per feature with a column per class (the class list is the
+    model's own, small, dimension), so the fact table meets it in a map-side join without being multiplied
+    by the classes; all distances of a sample come from one aggregation and the softmax is row-local.
     """
+    names = [r["candidate"] for r in table.select("candidate").distinct().orderBy("candidate").collect()]
+    wide = table.groupBy("fold", "feature_id").agg(F.first("sd").alias("sd"), *[
+        F.max(F.when(F.col("candidate") == c, F.col("mu"))).alias(f"_m{i}") for i, c in enumerate(names)])
     who = roles.where(F.col("role").isin(list(wanted))).select("fold", "role", "group_id")
-    near = fact.join(checked_broadcast(who), "group_id").join(checked_broadcast(table), ["fold", "feature_id"])
-    d = (F.col("value") - F.col("mu")) / F.col("sd")
-    dist = near.groupBy("fold", "role", "sample_id", "group_id", "class", "candidate").agg(
-        F.round(F.sum(d * d), 9).alias("d2"))
-    return dist.withColumn("logit", -F.col("d2") / 2).transform(
-        softmax_over(["fold", "sample_id"], "logit")).drop("logit")
+    near = fact.join(checked_broadcast(who), "group_id").join(
+        checked_broadcast(wide), ["fold", "feature_id"])
+    gap = [(F.col("value") - F.col(f"_m{i}")) / F.col("sd") for i in range(len(names))]
+    dist = near.groupBy("fold", "role", "sample_id", "group_id", "class").agg(
+        *[F.round(F.sum(g * g), 9).alias(f"_d{i}") for i, g in enumerate(gap)])
+    each = F.filter(F.array(*[F.struct(F.lit(c).alias("candidate"), F.col(f"_d{i}").alias("d2")) for i, c in enumerate(names)]),
+                    lambda s: s["d2"].isNotNull())
+    best = F.array_min(F.transform("_s", lambda s: s["d2"]))
+    e = F.transform("_s", lambda s: F.struct(s["candidate"].alias("candidate"), s["d2"].alias("d2"), F.exp((F.col("_b") - s["d2"]) / 2).alias("e")))
+    total = F.aggregate("_e", F.lit(0.0), lambda acc, s: acc + s["e"])
+    out = (dist.withColumn("_s", each).withColumn("_b", best).withColumn("_e", e).withColumn("_t", total)
+           .select("fold", "role", "sample_id", "group_id", "class", "_t", F.explode("_e").alias("_x")))
+    return out.select("fold", "role", "sample_id", "group_id", "class", "_x.candidate", "_x.d2",
+                      F.round(F.col("_x.e") / F.col("_t"), DIGITS).alias("p"))
 
 
 def linear_logits(z: DataFrame, coef: DataFrame, intercept: DataFrame, keys: list[str]) -> DataFrame:

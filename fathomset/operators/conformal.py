@@ -12,6 +12,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.hashing import unit_hash
 from ..functions.ranking import kth_smallest, value_ranks
+from ..session import checked_broadcast
 
 DIGITS = 9  # probabilities are rounded here so that a threshold comparison is reproducible
 INF = float("inf")
@@ -95,7 +96,7 @@ def prediction_sets(probs: DataFrame, q: DataFrame, join_on: list[str], sample_k
                     member: Column | None = None) -> DataFrame:
     """One row per sample and α: sorted members, size and coverage; empty sets are kept."""
     inside = lac_member() if member is None else member
-    return (probs.join(F.broadcast(q) if q.is_cached else q, join_on)
+    return (probs.join(checked_broadcast(q), join_on)
             .groupBy(*sample_keys, "class", "alpha")
             .agg(F.array_sort(F.collect_list(F.when(inside, F.col("candidate")))).alias("members"),
                  F.max(F.when(F.col("candidate") == F.col("class"), F.when(inside, 1).otherwise(0))).alias("covered"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import unit_hash
 from ..functions.ranking import average_ranks, dense_index
+from ..session import settle
 
 
 def draw_weights(groups: DataFrame, n_draws: int, seed, group: str = "group_id") -> DataFrame:
@@ -141,7 +142,7 @@ def permutation_correlation(rows: DataFrame, x: str, y: str, n_perm: int, seed,
         r = stratum_ranks(stratum_ranks(rows, strata, x, "rx"), strata, y, "ry")
     else:
         r = average_ranks(average_ranks(rows, [], x, "rx").drop("n_total"), [], y, "ry").drop("n_total")
-    r = r.select(ident, *strata, "rx", "ry").persist()
+    r = settle(r.select(ident, *strata, "rx", "ry"))
     null = (permuted(r, strata, ["ry"], n_perm, seed, ident).join(r.select(ident, "rx"), ident)
             .groupBy("perm").agg(F.round(F.corr("rx", "ry"), 9).alias("rho")))
     obs = r.agg(F.round(F.corr("rx", "ry"), 9)).scalar()

@@ -6,7 +6,7 @@ from ..functions.ranking import average_ranks, exact_quantiles
 from ..functions.text import any_date, clock_hours, well_position
 from ..operators import audit as A
 from ..operators.matrices import log_cpm
-from ..session import settle
+from ..session import checked_broadcast, settle
 from .lenses import (E_ROWS, K_COUNTS, K_LINES, O_ROWS, V_FACT, V_SAMPLES, counts_k, events_e, fact_v, lines_k, orders_o,
                      samples_v, supplier_class, table)
 from .registry import query
@@ -179,7 +179,7 @@ sc AS (SELECT bs.class, bs.variable, bs.kind, n, n_pos, round(mp, 6) AS missing_
 def _screen(spark, sf):
     t = _text_covariates(spark, sf)
     kinds = settle(A.infer_types(t, ["variable"]).select("variable", "kind"))
-    long = t.join(F.broadcast(kinds), "variable").withColumn("x", A.typed_value()).withColumn("positive", F.col("dom") > 15)
+    long = t.join(checked_broadcast(kinds), "variable").withColumn("x", A.typed_value()).withColumn("positive", F.col("dom") > 15)
     return A.two_group_screen(long, ["class", "variable"])
 
 
@@ -457,7 +457,7 @@ def sign_consistency(spark, sf):
 def percent_rank(spark, sf):
     e = events_e(spark, sf).select("sample_id", "class", "value", "hour")
     first = e.groupBy("class").agg(F.min("hour").alias("h0"))
-    r = average_ranks(e, ["class"], "value").join(F.broadcast(settle(first)), "class")
+    r = average_ranks(e, ["class"], "value").join(checked_broadcast(settle(first)), "class")
     return r.select("sample_id", "class", F.round(F.col("avg_rank") / F.col("n_total"), 6).alias("pct"), (F.col("hour") - F.col("h0") + 1).alias("relative_hour"))
 
 

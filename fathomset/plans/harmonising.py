@@ -18,7 +18,7 @@ def _samples_k(c):
     return c.select("sample_id", "specimen_id", "group_id", "class").distinct()
 
 
-@query("log_cpm", "A1 S5 S6", K + """
+@query("log_cpm", "A1 S5 S6 F1", K + """
 SELECT sample_id, feature_id, class, round(CASE WHEN lib > 0 THEN log2(1e6 * value / lib + 1) END, 6) AS value
 FROM (SELECT *, sum(value) OVER (PARTITION BY sample_id) AS lib FROM counts)""")
 def log_cpm(spark, sf):
@@ -92,7 +92,7 @@ def presence_filter(spark, sf):
         f.agg(F.count(F.lit(1))).scalar().alias("n_features"), "n_kept", (n - F.col("n_kept")).alias("n_dropped"))
 
 
-@query("align_layers", "J5 U1", f"""WITH {K_LINES},
+@query("align_layers", "J5 U1 U2", f"""WITH {K_LINES},
 ly AS (SELECT 'brand' AS assay, specimen_id, sample_id, feature_id, sum(quantity) AS value FROM lines WHERE flag <> 'N' GROUP BY ALL
   UNION ALL SELECT 'kind', specimen_id, sample_id, ptype, sum(quantity) FROM lines WHERE flag <> 'A' GROUP BY ALL),
 sh AS (SELECT specimen_id FROM ly GROUP BY specimen_id HAVING count(DISTINCT assay) = 2)

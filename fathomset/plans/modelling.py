@@ -16,7 +16,7 @@ from ..operators import matrices as Q
 from ..operators import metrics as M
 from ..operators import resample as R
 from ..operators import splits as S
-from ..session import settle
+from ..session import checked_broadcast, settle
 from .auditing import _two_layers
 from .calibrating import ALPHAS, EVAL, IN_SET, MARG
 from .claiming import LIN, _linear
@@ -47,7 +47,7 @@ def panel_curve(spark, sf):
     sizes = panel.withColumn("k", F.explode(F.array(F.lit(5), F.lit(10), F.lit(20)))).where("pick <= k").select("k", "fold", "feature_id")
     table = settle(N.centroids(fits, ["fold"]).join(sizes, ["fold", "feature_id"]))
     who = roles.where("role = 'test'").select("fold", "group_id")
-    near = fact.join(F.broadcast(who), "group_id").join(N.checked_broadcast(table), ["fold", "feature_id"])
+    near = fact.join(checked_broadcast(who), "group_id").join(checked_broadcast(table), ["fold", "feature_id"])
     d = (F.col("value") - F.col("mu")) / F.col("sd")
     dist = near.groupBy("k", "fold", "sample_id", "class", "candidate").agg(F.round(F.sum(d * d), 9).alias("d2"))
     call = dist.groupBy("k", "fold", "sample_id", "class").agg(F.min_by("candidate", F.struct("d2", "candidate")).alias("call"))
@@ -108,7 +108,7 @@ def early_fusion(spark, sf):
     table = settle(table.join(size, "assay").withColumn("sd", F.col("sd") * F.sqrt("_n")).drop("_n", "assay"))
     who = roles.where("role = 'test'").select("fold", "group_id")
     d = (F.col("value") - F.col("mu")) / F.col("sd")
-    dist = fact.join(F.broadcast(who), "group_id").join(N.checked_broadcast(table), ["fold", "feature_id"]).groupBy(
+    dist = fact.join(checked_broadcast(who), "group_id").join(checked_broadcast(table), ["fold", "feature_id"]).groupBy(
         "fold", "sample_id", "class", "candidate").agg(F.round(F.sum(d * d), 9).alias("d2"))
     call = dist.groupBy("fold", "sample_id", "class").agg(F.min_by("candidate", F.struct("d2", "candidate")).alias("call"))
     return call.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("class") == F.col("call")).cast("int")), 6).alias("accuracy"))
@@ -125,7 +125,7 @@ def oof_scores(spark, sf):
     ab = settle(cen.groupBy("fold", "feature_id").agg(pick("c0").alias("m0"), pick("c1").alias("m1"), F.max("sd").alias("sd")))
     x0, w = (F.col("value") - F.col("m0")) / F.col("sd"), (F.col("m1") - F.col("m0")) / F.col("sd")
     mid = (F.col("value") - (F.col("m0") + F.col("m1")) / 2) / F.col("sd")
-    return (fact.join(F.broadcast(roles.where("role = 'test'").select("fold", "group_id")), "group_id").join(N.checked_broadcast(ab), ["fold", "feature_id"])
+    return (fact.join(checked_broadcast(roles.where("role = 'test'").select("fold", "group_id")), "group_id").join(checked_broadcast(ab), ["fold", "feature_id"])
             .groupBy("sample_id", "class", "fold").agg(F.round(F.sum(mid * w) / F.sqrt(F.sum(w * w)), 6).alias("projection"),
                                                        F.round(F.sqrt(F.sum(x0 * x0) / F.count(F.lit(1))), 6).alias("distance")))
 
@@ -209,7 +209,7 @@ def confound_diagnostics(spark, sf):
     fact, roles = fact_v(spark, sf), roles_v(spark, sf)
     missing = fact.withColumn("value", (F.abs("value") < 0.02).cast("double"))
     means = N.fold_moments(fact, roles).where("fold = 0").select("class", "feature_id", "mean")
-    centred = fact.join(N.checked_broadcast(settle(means)), ["class", "feature_id"]).withColumn("value", F.col("value") - F.col("mean")).drop("mean")
+    centred = fact.join(checked_broadcast(settle(means)), ["class", "feature_id"]).withColumn("value", F.col("value") - F.col("mean")).drop("mean")
     chance = samples_v(spark, sf).agg((1 / F.count_distinct("class")).alias("a")).select(F.lit("chance").alias("arm"), F.round("a", 6).alias("accuracy"))
     out = _accuracy(fact, roles, "as fitted").unionByName(_accuracy(missing, roles, "missingness only"))
     return out.unionByName(_accuracy(centred, roles.where("fold = 0"), "class means removed")).unionByName(chance)
@@ -222,11 +222,11 @@ def panel_permutation_null(spark, sf):
     lab = R.permuted(s, ["sex"], ["class"], 6, 96).select(F.col("perm").alias("fold"), "sample_id", "class").unionByName(
         s.select(F.lit(0).alias("fold"), "sample_id", "class"))
     roles = roles_v(spark, sf).where("fold = 0").select("group_id", F.when(F.col("role") == "test", "test").otherwise("fit").alias("role"))
-    f = fact_v(spark, sf).select("sample_id", "group_id", "feature_id", "value").join(settle(lab), "sample_id").join(F.broadcast(settle(roles)), "group_id")
+    f = fact_v(spark, sf).select("sample_id", "group_id", "feature_id", "value").join(settle(lab), "sample_id").join(checked_broadcast(settle(roles)), "group_id")
     fits = settle(X.moments(f.where("role = 'fit'"), ["fold", "class", "feature_id"]))
     cen = settle(N.centroids(fits, ["fold"], X.round_robin(X.one_vs_rest(fits, ["fold"]), 10, ["fold"])))
     d = (F.col("value") - F.col("mu")) / F.col("sd")
-    dist = f.where("role = 'test'").join(N.checked_broadcast(cen), ["fold", "feature_id"]).groupBy("fold", "sample_id", "class", "candidate").agg(F.round(F.sum(d * d), 9).alias("d2"))
+    dist = f.where("role = 'test'").join(checked_broadcast(cen), ["fold", "feature_id"]).groupBy("fold", "sample_id", "class", "candidate").agg(F.round(F.sum(d * d), 9).alias("d2"))
     call = dist.groupBy("fold", "sample_id", "class").agg(F.min_by("candidate", F.struct("d2", "candidate")).alias("call"))
     acc = settle(call.groupBy("fold").agg(F.avg((F.col("class") == F.col("call")).cast("double")).alias("acc")))
     obs = acc.where("fold = 0").select("acc").scalar()
@@ -274,7 +274,7 @@ def duration_arms(spark, sf):
     m = x.where("NOT test").groupBy("perm", "duration", "arm", "feature_id").agg(
         F.avg(F.when(F.col("treated"), F.col("value"))).alias("m1"), F.avg(F.when(~F.col("treated"), F.col("value"))).alias("m0"))
     w = F.col("m1") - F.col("m0")
-    sc = x.where("test").join(N.checked_broadcast(settle(m)), ["perm", "duration", "arm", "feature_id"]).groupBy(
+    sc = x.where("test").join(checked_broadcast(settle(m)), ["perm", "duration", "arm", "feature_id"]).groupBy(
         "perm", "duration", "arm", "sample_id", "treated").agg(F.round(F.sum(F.col("value") * w), 9).alias("score"))
     a = settle(M.auroc(sc, ["perm", "duration", "arm"], "score", "treated"))
     null = a.where("perm > 0").groupBy("perm", "duration").agg(F.max("auroc").alias("best")).groupBy("duration").agg(F.percentile("best", F.lit(0.95)).alias("null_95"))

@@ -7,7 +7,7 @@ from ..operators import conformal as C
 from ..operators import effects as X
 from ..operators import metrics as M
 from ..operators import resample as R
-from ..session import settle
+from ..session import checked_broadcast, settle
 from .auditing import DA, PAIRED, _da, _two_layers
 from .calibrating import BASE, CALLS, MARG, scored, sets_sql, test_sets
 from .lenses import E_ROWS, O_ROWS, V_FACT, V_SAMPLES, events_e, fact_v, orders_o, samples_v, u_sql
@@ -187,7 +187,7 @@ fitrows AS (SELECT w.draw AS fold, f.class, f.feature_id, f.value FROM fact f JO
 def stability_selection(spark, sf):
     per = settle(X.moments(fact_v(spark, sf), ["group_id", "class", "feature_id"]))
     w = R.draw_weights(samples_v(spark, sf), 8, 65)
-    drawn = X.pool(per.join(F.broadcast(settle(w)), "group_id"), ["draw", "class", "feature_id"], weight=F.col("w"))
+    drawn = X.pool(per.join(checked_broadcast(settle(w)), "group_id"), ["draw", "class", "feature_id"], weight=F.col("w"))
     picks = X.round_robin(X.one_vs_rest(drawn, ["draw"]), 15, ["draw"])
     return picks.groupBy("feature_id").agg(F.count(F.lit(1)).alias("n_selected"), F.round(F.count(F.lit(1)) / 8, 6).alias("frequency"))
 
@@ -226,7 +226,7 @@ pr AS (SELECT pair, x.gene AS gene_a, y.gene AS gene_b FROM dr JOIN gi x ON x.id
 SELECT pair, gene_a, gene_b, count(*) AS n, round(corr(x, y), 6) AS r FROM pr JOIN a ON a.gene = gene_a JOIN b ON b.gene = gene_b AND b.specimen_id = a.specimen_id GROUP BY ALL""")
 def mismatched_pairs(spark, sf):
     a, b = _two_layers(spark, sf)
-    p = F.broadcast(settle(R.random_pairs(a.select("gene"), "gene", 40, 66)))
+    p = checked_broadcast(settle(R.random_pairs(a.select("gene"), "gene", 40, 66)))
     x = a.withColumnRenamed("value", "x").join(p, F.col("gene") == F.col("gene_a")).drop("gene")
     y = b.select(F.col("gene").alias("gene_b"), "specimen_id", F.col("value").alias("y"))
     return x.join(y, ["gene_b", "specimen_id"]).groupBy("pair", "gene_a", "gene_b").agg(

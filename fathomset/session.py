@@ -39,25 +39,26 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Persist a statistics table that several later steps read, and materialise it.
+    """Materialise a table that several later steps read, as a written table in the shared folder.
 
-    Its true size is then known to Catalyst, so joins against it are planned on facts.
+    Later plans start from a plain scan: their lineage is short, the true size is known to Catalyst, and
+    a lost executor costs a re-read rather than a recomputation.
     """
-    kept = df.persist()
-    kept.count()
-    return kept
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast only when its size is known to be within bounds.
 
     A plan whose estimate is already tiny is left to Catalyst, which broadcasts it by its own rule.
-    Otherwise the table is persisted and counted (so it is computed once); beyond ``max_rows`` it is
+    Otherwise the table is materialised and counted (so it is computed once); beyond ``max_rows`` it is
     returned without a hint and the join shuffles as usual.
     """
     if estimated_bytes(df) <= SMALL_BYTES:
         return df
-    kept = df.persist()
+    kept = settle(df)
     return F.broadcast(kept) if kept.count() <= max_rows else kept
 
 
@@ -82,9 +83,3 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder for a derived table."""
     return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex[:12]}")
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, for tables that several later jobs read."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
