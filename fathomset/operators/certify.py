@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,28 +13,44 @@ from pyspark.sql.window import Window as W
 from ..functions.hashing import unit_hash
 
 
-def _lower_tail(k: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """P(X ≤ k) for X ~ Binomial(n, p), one value per row."""
-    out = np.empty(len(k))
-    for i, (ki, ni, pi) in enumerate(zip(k, n, p)):
-        j = np.arange(int(ki) + 1)
-        lg = np.array([math.lgamma(ni + 1) - math.lgamma(x + 1) - math.lgamma(ni - x + 1) for x in j])
-        out[i] = np.exp(lg + j * math.log(pi) + (ni - j) * math.log1p(-pi)).sum()
-    return out
+def _beta_fraction(x: float, a: float, b: float) -> float:
+    """Continued fraction of the incomplete beta function (modified Lentz)."""
+    tiny, c, d = 1e-300, 1.0, 1.0 - (a + b) * x / (a + 1.0)
+    d = 1.0 / (d if abs(d) > tiny else tiny)
+    h = d
+    for m in range(1, 20_000):
+        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
+                    -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1.0 + num * d, 1.0 + num / c
+            d = 1.0 / (d if abs(d) > tiny else tiny)
+            c = c if abs(c) > tiny else tiny
+            h *= d * c
+        if abs(d * c - 1.0) < 1e-14:
+            break
+    return h
+
+
+def beta_cdf(x: float, a: float, b: float) -> float:
+    """Regularised incomplete beta function."""
+    if x <= 0.0 or x >= 1.0:
+        return float(x >= 1.0)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    if x < (a + 1.0) / (a + b + 2.0):
+        return front * _beta_fraction(x, a, b) / a
+    return 1.0 - front * _beta_fraction(1.0 - x, b, a) / b
+
+
+def beta_quantile(p: float, a: float, b: float) -> float:
+    lo, hi = 0.0, 1.0
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if beta_cdf(mid, a, b) < p else (lo, mid)
+    return (lo + hi) / 2
 
 
 def binomial_upper(err: pd.Series, n: pd.Series, delta: pd.Series) -> pd.Series:
-    """Exact one-sided upper bound on an error rate: the p at which P(X ≤ err) falls to δ (bisection)."""
-    e, m, d = (x.to_numpy(dtype=float) for x in (err, n, delta))
-    res = np.ones(len(e))
-    todo = np.flatnonzero((m > 0) & (e < m))
-    lo, hi = np.full(len(todo), 1e-12), np.full(len(todo), 1 - 1e-12)
-    for _ in range(50):
-        mid = (lo + hi) / 2
-        above = _lower_tail(e[todo], m[todo], mid) > d[todo]
-        lo, hi = np.where(above, mid, lo), np.where(above, hi, mid)
-    res[todo] = (lo + hi) / 2
-    return pd.Series(res)
+    """Exact one-sided upper bound on an error rate: the (1 − δ) quantile of Beta(err + 1, n − err)."""
+    return pd.Series([1.0 if m == 0 or e >= m else beta_quantile(1 - d, e + 1.0, m - e) for e, m, d in zip(err, n, delta)])
 
 
 exact_upper = F.pandas_udf(binomial_upper, DoubleType())

@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.ranking import exact_quantiles
-from ..session import checked_broadcast
+from ..functions.hashing import unit_hash
+from ..functions.ranking import dense_index, exact_quantiles, slices_for, value_ranks
+from ..session import checked_broadcast, settle
+
+FEATURE_BLOCK = 5_000  # features per block when a stacked matrix is made dense
 
 
 # ---- normalisation ----------------------------------------------------------------------------------------------
@@ -99,16 +102,26 @@ def shared_features(fact: DataFrame, by: str, min_levels: int | Column) -> DataF
 
 
 # ---- stacking and alignment -------------------------------------------------------------------------------------
-def stack_counts(counts: DataFrame, samples: DataFrame, min_count: float, min_frac: float) -> DataFrame:
-    """Stack count tables: library over all features, keep what any class expresses, absent = 0, log2 CPM.
+def dense_grid(samples: DataFrame, kept: DataFrame) -> DataFrame:
+    """Every (sample, kept feature) pair, the size of the dense result itself.
 
-    The kept features travel to each sample as one array (their number is the feature dimension, not
-    the data), so densifying costs one shuffle of the counts by sample and no cross join.
+    Features are packed into blocks of bounded length; samples meet the blocks by an equi-join on the
+    block number, and each pair is unfolded next to its sample.
     """
-    kept = expressed_features(expressed_shares(counts, samples, min_count), min_frac)
-    names = kept.agg(F.array_sort(F.collect_set("feature_id"))).scalar()
+    idx = dense_index(kept.select("feature_id").withColumn("_u", unit_hash("grid", "feature_id")), [], "_u", "feature_id")
+    blocks = settle(idx.groupBy(F.floor(F.col("idx") / FEATURE_BLOCK).alias("_block")).agg(
+        F.collect_list("feature_id").alias("_names")))
+    last = blocks.agg(F.max("_block")).scalar()
+    each = samples.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    return (each.join(checked_broadcast(blocks, 2_000), "_block")
+            .select(*samples.columns, F.explode("_names").alias("feature_id")))
+
+
+def stack_counts(counts: DataFrame, samples: DataFrame, min_count: float, min_frac: float) -> DataFrame:
+    """Stack count tables: library over all features, keep what any class expresses, absent = 0, log2 CPM."""
+    kept = settle(expressed_features(expressed_shares(counts, samples, min_count), min_frac))
     lib = library_sizes(counts)
-    grid = samples.select("sample_id", "class", F.explode(names).alias("feature_id"))
+    grid = dense_grid(samples.select("sample_id", "class"), kept)
     own = counts.join(kept.select("feature_id"), "feature_id", "left_semi").select("sample_id", "feature_id", "value")
     return (grid.join(own, ["sample_id", "feature_id"], "left").join(lib, "sample_id", "left")
             .select("sample_id", "class", "feature_id",
@@ -151,10 +164,18 @@ def map_symbols(features: DataFrame, mapping: DataFrame, source: str, target: st
 
 
 def mark_duplicates(table: DataFrame, ident: str, ordinal: str, by: list[str]) -> DataFrame:
-    """Repeated ids get ``__dupN`` in file order; nothing is dropped (a repeated id is a few rows of one file)."""
-    over = W.partitionBy(*by, ident).orderBy(ordinal)
-    n = F.row_number().over(over) - 1
-    return table.withColumn("_n", n).withColumn(
+    """Repeated ids get ``__dupN`` in the order of a unique ``ordinal``; nothing is dropped.
+
+    With a numeric ordinal a large table is ranked slice by slice, so one id may hold any share of the rows.
+    """
+    keys = [*by, ident]
+    numeric = dict(table.dtypes)[ordinal] in ("bigint", "int", "double")
+    if numeric and slices_for(table) > 1:
+        n = value_ranks(table, keys, ordinal).select(*keys, ordinal, F.col("n_below").alias("_n"))
+        marked = table.join(n, [*keys, ordinal])
+    else:
+        marked = table.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(ordinal)) - 1)
+    return marked.withColumn(
         ident, F.when(F.col("_n") == 0, F.col(ident)).otherwise(F.concat_ws("__dup", ident, "_n"))).drop("_n")
 
 

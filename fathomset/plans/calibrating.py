@@ -9,7 +9,7 @@ from ..operators import conformal as C
 from ..operators import metrics as M
 from ..operators import splits as S
 from ..operators.effects import moments, pool
-from ..session import settle
+from ..session import checked_broadcast, settle
 from .lenses import V_FACT, V_PROBS, V_SAMPLES, fact_v, probs_v, samples_v, u_sql
 from .registry import query
 
@@ -336,13 +336,15 @@ def recalibration_draws(spark, sf):
     probs = _shift_probs(spark, sf)
     q_s = C.thresholds(C.lac_scores(probs.where("role = 'cal'")), ["fold"], [0.1]).select("fold", "q")
     draws = settle(_draws(probs))
-    rest = (probs.where("role = 'test' AND class <> 'c9'").join(draws.where("NOT chosen").drop("chosen"), "group_id")
-            .join(_recalibrated(probs, draws), ["n_recal", "draw"]).join(q_s, "fold"))
-    in_t, in_s = C.lac_member("p", "q_t").cast("int"), C.lac_member().cast("int")
-    own = F.col("candidate") == F.col("class")
-    per = rest.groupBy("n_recal", "draw", "sample_id").agg(
-        F.max(F.when(own, in_t)).alias("cov_t"), F.max(F.when(own, in_s)).alias("cov_s"),
-        F.sum(in_t).alias("size_t"), F.sum(in_s).alias("size_s"))
+    # one row per sample (its probabilities as an array) meets the draws, not one per sample and class
+    own = F.max(F.when(F.col("candidate") == F.col("class"), F.col("p")))
+    rows = probs.where("role = 'test' AND class <> 'c9'").groupBy("fold", "sample_id", "group_id").agg(
+        F.collect_list("p").alias("ps"), own.alias("p_true"))
+    per = (rows.join(draws.where("NOT chosen").drop("chosen"), "group_id")
+           .join(checked_broadcast(_recalibrated(probs, draws)), ["n_recal", "draw"]).join(q_s, "fold"))
+    inside = lambda p, q: (F.col(q) == float("inf")) | (p >= F.round(1 - F.col(q), C.DIGITS))
+    per = per.select("*", inside(F.col("p_true"), "q_t").cast("int").alias("cov_t"), inside(F.col("p_true"), "q").cast("int").alias("cov_s"),
+                     F.size(F.filter("ps", lambda p: inside(p, "q_t"))).alias("size_t"), F.size(F.filter("ps", lambda p: inside(p, "q"))).alias("size_s"))
     empty = lambda c: F.avg((F.col(c) == 0).cast("double"))
     by_draw = per.groupBy("n_recal", "draw").agg(
         F.avg("cov_t").alias("cov_t"), F.avg("cov_s").alias("cov_s"), empty("size_t").alias("empty_t"),
