@@ -16,16 +16,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..session import estimated_bytes
+from ..session import input_bytes
 
 SLICES = 32
-#: A table estimated below this size is sorted per key directly: no key can outgrow one task.
-ONE_TASK_BYTES = 64 << 20
+#: With inputs below this size every key is sorted directly: no key can outgrow one task.
+ONE_TASK_BYTES = 32 << 20
 
 
 def slices_for(df: DataFrame) -> int:
-    """1 when the whole table is small enough for any single task, else ``SLICES``."""
-    return 1 if estimated_bytes(df) <= ONE_TASK_BYTES else SLICES
+    """1 when all inputs together are small enough for any single task, else ``SLICES``."""
+    return 1 if input_bytes(df) <= ONE_TASK_BYTES else SLICES
 
 
 def value_ranks(df: DataFrame, keys: Sequence[str], value: str, weight: Column | None = None,
