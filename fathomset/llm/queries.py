@@ -9,10 +9,44 @@ from ..plans.registry import Entry
 from .common import table
 from .packing import pack_documents
 from .token_counts import n_bytes, with_token_counts
+from .winnowing import with_contamination
 
 LIMIT_TOKENS = 1024
 
 
+def decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = with_contamination(docs, table(spark, folder, "benchmark"))
+    c = F.col("contamination")
+    return found.select("doc_id", c.n_words.alias("n_words"), c.n_hit.alias("n_hit"), F.size(c["items"]).cast("long").alias("n_items"),
+                        F.sha2(F.array_join(c["items"], ","), 256).alias("items_sha256"), (c.n_hit > 0).alias("contaminated"))
+
+
+#: Windows of all texts as strings, joined as they are: short items are windows of their own length.
+DECONTAMINATION_SQL = """
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+items AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+item_at AS (
+  SELECT item, ws, least(len(ws), 10) AS n, unnest(generate_series(1, len(ws) - least(len(ws), 10) + 1)) AS i FROM items WHERE len(ws) > 0),
+item_windows AS (SELECT DISTINCT item, n, array_to_string(ws[i:i + n - 1], ' ') AS w FROM item_at),
+sizes AS (SELECT DISTINCT n FROM item_windows),
+doc_at AS (SELECT doc_id, ws, n, unnest(generate_series(1, len(ws) - n + 1)) AS i FROM docs, sizes WHERE len(ws) >= n),
+doc_windows AS (SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS w FROM doc_at),
+hits AS (SELECT d.doc_id, d.n, d.i, t.item FROM doc_windows d JOIN item_windows t USING (n, w)),
+spots AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM hits),
+n_spots AS (SELECT doc_id, count(*) AS n_hit FROM spots GROUP BY doc_id),
+n_items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+            FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN n_spots USING (doc_id) LEFT JOIN n_items USING (doc_id)"""
+
+
 def packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"))
 
@@ -25,6 +59,7 @@ def token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def text_catalogue() -> dict[str, Entry]:
     return {
+        "op8_decontamination": Entry(decontamination, "8", DECONTAMINATION_SQL),
         "op9_packing": Entry(packing, "9", None),
         "op10_token_counts": Entry(token_counts, "10", None),
     }
