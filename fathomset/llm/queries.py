@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import Entry
-from .common import table
+from . import language_id
+from .common import remainder_is, table
 from .packing import pack_documents
 from .token_counts import n_bytes, with_token_counts
 from .winnowing import with_contamination
@@ -14,6 +15,14 @@ from .winnowing import with_contamination
 LIMIT_TOKENS = 1024
 
 
+def languages(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = remainder_is(F.col("doc_id"), 4, 2)
+    model = language_id.fit(docs.where(~held_out))
+    found = language_id.with_language(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
+
+
 def decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = with_contamination(docs, table(spark, folder, "benchmark"))
@@ -59,6 +68,7 @@ def token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def text_catalogue() -> dict[str, Entry]:
     return {
+        "op1_language_id": Entry(languages, "1", None),
         "op8_decontamination": Entry(decontamination, "8", DECONTAMINATION_SQL),
         "op9_packing": Entry(packing, "9", None),
         "op10_token_counts": Entry(token_counts, "10", None),
