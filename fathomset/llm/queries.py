@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import Entry
-from . import language_id
+from . import language_id, quality
 from .common import remainder_is, table
 from .packing import pack_documents
 from .token_counts import n_bytes, with_token_counts
@@ -23,6 +23,13 @@ def languages(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
 
 
+def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = remainder_is(F.col("doc_id"), 4, 2)
+    model = quality.fit(docs, table(spark, folder, "labels").where(~held_out))
+    return quality.with_quality(docs, model, out="score").select("doc_id", held_out.alias("held_out"), "score", quality.predicted(F.col("score")).alias("predicted"))
+
+
 def decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = with_contamination(docs, table(spark, folder, "benchmark"))
@@ -69,6 +76,7 @@ def token_counts(spark: SparkSession, folder: str) -> DataFrame:
 def text_catalogue() -> dict[str, Entry]:
     return {
         "op1_language_id": Entry(languages, "1", None),
+        "op7_quality": Entry(quality_scores, "7", None),
         "op8_decontamination": Entry(decontamination, "8", DECONTAMINATION_SQL),
         "op9_packing": Entry(packing, "9", None),
         "op10_token_counts": Entry(token_counts, "10", None),
