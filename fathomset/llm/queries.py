@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.registry import Entry
 from . import language_id, quality
 from .common import remainder_is, table
+from .fingerprints import compare_edits
 from .packing import pack_documents
 from .token_counts import n_bytes, with_token_counts
 from .winnowing import with_contamination
@@ -23,6 +24,10 @@ def languages(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
 
 
+def fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return compare_edits(table(spark, folder, "documents"))
+
+
 def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     held_out = remainder_is(F.col("doc_id"), 4, 2)
@@ -76,6 +81,7 @@ def token_counts(spark: SparkSession, folder: str) -> DataFrame:
 def text_catalogue() -> dict[str, Entry]:
     return {
         "op1_language_id": Entry(languages, "1", None),
+        "op4_fingerprints": Entry(fingerprints, "4", None),
         "op7_quality": Entry(quality_scores, "7", None),
         "op8_decontamination": Entry(decontamination, "8", DECONTAMINATION_SQL),
         "op9_packing": Entry(packing, "9", None),
