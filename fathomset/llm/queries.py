@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Entry
 from . import language_id, quality
+from .bagminhash import with_classes
 from .common import remainder_is, table
 from .fingerprints import compare_edits
 from .packing import pack_documents
@@ -28,6 +29,10 @@ def fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return compare_edits(table(spark, folder, "documents"))
 
 
+def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return with_classes(table(spark, folder, "documents"))
+
+
 def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     held_out = remainder_is(F.col("doc_id"), 4, 2)
@@ -82,6 +87,7 @@ def text_catalogue() -> dict[str, Entry]:
     return {
         "op1_language_id": Entry(languages, "1", None),
         "op4_fingerprints": Entry(fingerprints, "4", None),
+        "op6_near_duplicates": Entry(near_duplicates, "6", None),
         "op7_quality": Entry(quality_scores, "7", None),
         "op8_decontamination": Entry(decontamination, "8", DECONTAMINATION_SQL),
         "op9_packing": Entry(packing, "9", None),

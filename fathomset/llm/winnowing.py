@@ -22,89 +22,24 @@ from pyspark.sql import functions as F
 
 from ..session import settle
 from .common import fresh, quoted
+from .words import NEVER, Words, blocks, words_of
 
 SPAN = 10
 GRAM = 5
 #: Text bytes of items up to which their windows are sent to every task.
 MAX_BYTES = 16 << 20
-#: Bytes of text that are hashed at a time (one longer text is hashed alone).
-BLOCK = 1 << 20
 
 _RESULT = "struct<n_words:long,n_hit:long,items:array<string>,spans:array<struct<first:int,until:int>>>"
 RESULT_TYPE = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())),
                          ("spans", pa.list_(pa.struct([("first", pa.int32()), ("until", pa.int32())])))])
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_IS_WORD = np.zeros(256, bool)
-_IS_WORD[48:58] = _IS_WORD[97:123] = _IS_WORD[128:] = True
-_IS_WORD[65:91] = True
-_BYTE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
-_BASE, _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xFF51AFD7ED558CCD)
-_NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> np.uint64(32))
-    h = h * _MIX
-    return h ^ (h >> np.uint64(29))
-
-
-@dataclass
-class Words:
-    """The words of consecutive texts: hashes, byte ranges in ``data``, and the first word of each text."""
-
-    data: np.ndarray
-    hashes: np.ndarray
-    begins: np.ndarray
-    ends: np.ndarray
-    first: np.ndarray  # one more than texts
-
-    def grams(self, size: int) -> np.ndarray:
-        """Hash of the ``size`` words from each word on; ``_NEVER`` where the text has fewer left."""
-        n = len(self.hashes)
-        out = np.full(n, _NEVER)
-        if n >= size:
-            acc = self.hashes[:n - size + 1].copy()
-            for j in range(1, size):
-                acc = acc * _STEP + self.hashes[j:n - size + 1 + j]
-            out[:n - size + 1] = _mixed(acc) >> np.uint64(1)
-            stop = np.repeat(self.first[1:], np.diff(self.first))
-            out[np.arange(n) + size > stop] = _NEVER
-        return out
-
-    def text(self, at: int, size: int) -> bytes:
-        return b" ".join(bytes(self.data[self.begins[i]:self.ends[i]]) for i in range(at, at + size))
-
-
-def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
-    """Words of the texts ``data[offsets[i]:offsets[i + 1]]`` (UTF-8)."""
-    data = _LOWER[data]
-    inside = _IS_WORD[data]
-    starts = inside.copy()
-    starts[1:] &= ~inside[:-1]
-    edges = offsets[:-1][offsets[:-1] < offsets[1:]]
-    starts[edges] = inside[edges]
-    begins = np.flatnonzero(starts)
-    first = np.searchsorted(begins, offsets)
-    if not len(begins):
-        return Words(data, np.zeros(0, np.uint64), begins, begins, first)
-    own = data[inside]
-    heads = np.flatnonzero(starts[inside])
-    sizes = np.diff(np.append(heads, len(own)))
-    place = np.arange(len(own)) - np.repeat(heads, sizes)
-    powers = np.cumprod(np.full(int(sizes.max()), _BASE))
-    hashes = _mixed(np.add.reduceat(_BYTE[own] * powers[place], heads))
-    return Words(data, hashes, begins, begins + sizes, first)
-
-
 def winnow(grams: np.ndarray, window: int) -> np.ndarray:
     """Which k-grams are a smallest of some ``window`` consecutive ones (ties all kept)."""
     n = len(grams)
     if n <= window:
-        return (grams == grams.min(initial=_NEVER)) & (grams != _NEVER)
+        return (grams == grams.min(initial=NEVER)) & (grams != NEVER)
     low = _sliding(np.minimum, grams, window)
     padded = np.concatenate([np.repeat(low[:1], window - 1), low, np.repeat(low[-1:], window - 1)])
-    return (grams == _sliding(np.maximum, padded, window)) & (grams != _NEVER)
+    return (grams == _sliding(np.maximum, padded, window)) & (grams != NEVER)
 
 
 def _sliding(pick, values: np.ndarray, window: int) -> np.ndarray:
@@ -215,18 +150,6 @@ def _report(words: Words, hits, names: list[str]) -> list[dict]:
     return out
 
 
-def _blocks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Bytes and offsets of the texts of an Arrow column (null: empty), about ``BLOCK`` bytes at a time."""
-    column = column.cast(pa.large_string()).fill_null("")
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
-    a = 0
-    while a < len(column):
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + BLOCK, "right")) - 1)
-        yield data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
-        a = b
-
-
 def _total_bytes(items: DataFrame, text: str) -> int:
     return items.select(F.sum(F.octet_length(quoted(text)))).first()[0] or 0
 
@@ -250,7 +173,7 @@ def with_contamination(docs: DataFrame, items: DataFrame, text: str = "text", it
         found = index.value
         for column in batches:
             rows: list[dict] = []
-            for data, offsets in _blocks(column):
+            for data, offsets in blocks(column):
                 words = words_of(data, offsets)
                 rows += _report(words, found.hits(words, span, gram), found.names)
             yield pa.array(rows, RESULT_TYPE)
@@ -267,7 +190,7 @@ def _fingerprints(span: int, gram: int, sizes: tuple[int, ...]):
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
             rows = []
-            for data, offsets in _blocks(column):
+            for data, offsets in blocks(column):
                 words = words_of(data, offsets)
                 grams = words.grams(gram)
                 kept = winnow(grams, span - gram + 1)
