@@ -10,6 +10,7 @@ from . import language_id, quality
 from .bagminhash import with_classes
 from .common import remainder_is, table
 from .fingerprints import compare_edits
+from .paragraphs import repeated_paragraphs
 from .packing import pack_documents
 from .token_counts import n_bytes, with_token_counts
 from .winnowing import with_contamination
@@ -33,6 +34,10 @@ def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return with_classes(table(spark, folder, "documents"))
 
 
+def paragraph_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_paragraphs(table(spark, folder, "documents"))
+
+
 def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     held_out = remainder_is(F.col("doc_id"), 4, 2)
@@ -86,6 +91,7 @@ def token_counts(spark: SparkSession, folder: str) -> DataFrame:
 def text_catalogue() -> dict[str, Entry]:
     return {
         "op1_language_id": Entry(languages, "1", None),
+        "op2_paragraph_repeats": Entry(paragraph_repeats, "2", None),
         "op4_fingerprints": Entry(fingerprints, "4", None),
         "op6_near_duplicates": Entry(near_duplicates, "6", None),
         "op7_quality": Entry(quality_scores, "7", None),
