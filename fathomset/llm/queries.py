@@ -12,6 +12,7 @@ from .common import remainder_is, table
 from .fingerprints import compare_edits
 from .paragraphs import repeated_paragraphs
 from .packing import pack_documents
+from .surrogates import with_surrogates
 from .token_counts import n_bytes, with_token_counts
 from .winnowing import with_contamination
 
@@ -38,6 +39,10 @@ def paragraph_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_paragraphs(table(spark, folder, "documents"))
 
 
+def surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    return with_surrogates(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     held_out = remainder_is(F.col("doc_id"), 4, 2)
@@ -93,6 +98,7 @@ def text_catalogue() -> dict[str, Entry]:
         "op1_language_id": Entry(languages, "1", None),
         "op2_paragraph_repeats": Entry(paragraph_repeats, "2", None),
         "op4_fingerprints": Entry(fingerprints, "4", None),
+        "op5_surrogates": Entry(surrogates, "5", None),
         "op6_near_duplicates": Entry(near_duplicates, "6", None),
         "op7_quality": Entry(quality_scores, "7", None),
         "op8_decontamination": Entry(decontamination, "8", DECONTAMINATION_SQL),
