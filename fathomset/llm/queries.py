@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,4 +105,5 @@ def text_catalogue() -> dict[str, Entry]:
         "op8_decontamination": Entry(decontamination, "8", DECONTAMINATION_SQL),
         "op9_packing": Entry(packing, "9", None),
         "op10_token_counts": Entry(token_counts, "10", None),
+        "pipeline": Entry(corpus_pipeline.run, "1 6 8 5 9", corpus_pipeline.ORACLE_SQL),
     }
