@@ -11,6 +11,7 @@ from . import language_id, quality
 from .bagminhash import with_classes
 from .common import remainder_is, table
 from .fingerprints import compare_edits
+from .katz import score_texts
 from .paragraphs import repeated_paragraphs
 from .packing import pack_documents
 from .surrogates import with_surrogates
@@ -44,6 +45,12 @@ def surrogates(spark: SparkSession, folder: str) -> DataFrame:
     return with_surrogates(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def language_model(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = remainder_is(F.col("doc_id"), 7, 2)
+    scored = score_texts(table(spark, folder, "documents"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     held_out = remainder_is(F.col("doc_id"), 4, 2)
@@ -98,6 +105,7 @@ def text_catalogue() -> dict[str, Entry]:
     return {
         "op1_language_id": Entry(languages, "1", None),
         "op2_paragraph_repeats": Entry(paragraph_repeats, "2", None),
+        "op3_katz": Entry(language_model, "3", None),
         "op4_fingerprints": Entry(fingerprints, "4", None),
         "op5_surrogates": Entry(surrogates, "5", None),
         "op6_near_duplicates": Entry(near_duplicates, "6", None),
