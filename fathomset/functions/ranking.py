@@ -2,10 +2,10 @@
 
 A group (a class, a layer, a run) may hold a third of all rows, so a plain window over it would
 sort it in a single task.  Here equal values are first collapsed to ``(key, value, n)`` with a
-map-side combine; a mergeable quantile sketch then proposes cut points, the collapsed rows are
-sorted slice by slice, and slice offsets come from a table with one row per slice.  The sketch only
-balances the slices: ranks stay exact whatever cut points it proposes.  Tables known to be small
-skip the slicing.
+map-side combine.  Each value then names its own slice, by a rule that needs no look at the data: its
+power of two, cut into equal parts.  Slices are sorted separately and offset by a table with one row per
+key and slice.  The rule is monotone, so ranks are exact; the same rule serves tables of every size.
+NULL keys are a group like any other.
 """
 
 from __future__ import annotations
@@ -16,20 +16,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..session import input_bytes
+#: Parts into which each power of two is cut; a key of which half lies in one power has that half in so many slices.
+SLICES = 4096
 
-SLICES = 32
-#: With inputs below this size every key is sorted directly: no key can outgrow one task.
-ONE_TASK_BYTES = 32 << 20
 
+def value_slice(value: Column, slices: int = SLICES) -> Column:
+    """The slice of a number: never decreasing in the value; NaN behind all numbers, NULL behind NaN."""
+    v = value.cast("double")
+    size = F.abs(v)
+    power = F.least(F.floor(F.log2(size)), F.lit(1100))
+    within = F.floor((size / F.pow(F.lit(2.0), power.cast("double")) - 1) * slices)
+    far = F.lit(2200 * slices).cast("long")
+    at = F.when(size == float("inf"), far).otherwise((power + 1100) * slices + within)
+    return (F.when(v.isNull(), far + 2).when(F.isnan(v), far + 1).when(v == 0, F.lit(0).cast("long"))
+            .when(v < 0, -at).otherwise(at))
 
-def slices_for(df: DataFrame) -> int:
-    """1 when all inputs together are small enough for any single task, else ``SLICES``."""
-    return 1 if input_bytes(df) <= ONE_TASK_BYTES else SLICES
+
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on columns of one name in which NULL equals NULL."""
+    names = {k: f"_same_{i}" for i, k in enumerate(keys)}
+    renamed = right.select(*[F.col(c).alias(names.get(c, c)) for c in right.columns])
+    same = F.lit(True)
+    for k, r in names.items():
+        same = same & F.col(k).eqNullSafe(F.col(r))
+    return left.join(renamed, same, how).drop(*names.values())
+
+
+def _over(keys: Sequence[str]) -> W:
+    return W.partitionBy(*(keys or [F.lit(0)]))
+
+
+def _offsets(cut: DataFrame, keys: Sequence[str], n: Column) -> DataFrame:
+    """Rows before each (key, slice) and in the whole key: one row per key and slice."""
+    before = _over(keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, 0)
+    return (cut.groupBy(*keys, "_slice").agg(n.alias("_in_slice"))
+            .withColumn("_offset", F.sum("_in_slice").over(before) - F.col("_in_slice"))
+            .withColumn("n_total", F.sum("_in_slice").over(_over(keys))).drop("_in_slice"))
 
 
 def value_ranks(df: DataFrame, keys: Sequence[str], value: str, weight: Column | None = None,
-                extra: dict[str, Column] | None = None, slices: int | None = None) -> DataFrame:
+                extra: dict[str, Column] | None = None, slices: int = SLICES) -> DataFrame:
     """One row per ``(keys, value)`` with ``n_eq``, ``n_below`` and ``n_total``; NULL values are left out.
 
     ``extra`` adds further aggregates per value (for example a count of positives).
@@ -38,38 +64,32 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, weight: Column |
     n = F.sum(weight) if weight is not None else F.count(F.lit(1))
     flat = (df.where(F.col(value).isNotNull()).groupBy(*keys, value)
             .agg(n.alias("n_eq"), *[c.alias(k) for k, c in (extra or {}).items()]))
-    slices = slices_for(df) if slices is None else slices
-    if slices <= 1:
-        run = W.partitionBy(*(keys or [F.lit(0)])).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-        return (flat.withColumn("_cum", F.sum("n_eq").over(run))
-                .withColumn("n_total", F.sum("n_eq").over(W.partitionBy(*(keys or [F.lit(0)]))))
-                .withColumn("n_below", F.col("_cum") - F.col("n_eq")).drop("_cum"))
-    at = F.percentile_approx(value, [i / slices for i in range(1, slices)], 1000)
-    if keys:
-        cut = flat.join(flat.groupBy(*keys).agg(at.alias("_cuts")), keys)
-    else:
-        cut = flat.withColumn("_cuts", flat.agg(at.alias("_cuts")).scalar())
-    cut = cut.withColumn("_slice", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
-    per_slice = cut.groupBy(*keys, "_slice").agg(F.sum("n_eq").alias("_in_slice"))
-    # at most ``slices`` rows per key from here on
-    over = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    before = over.orderBy("_slice").rowsBetween(W.unboundedPreceding, 0)
-    offsets = (per_slice.withColumn("_offset", F.sum("_in_slice").over(before) - F.col("_in_slice"))
-               .withColumn("n_total", F.sum("_in_slice").over(over)).drop("_in_slice"))
+    cut = flat.withColumn("_slice", value_slice(F.col(value), slices))
     run = W.partitionBy(*keys, "_slice").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    return (cut.withColumn("_cum", F.sum("n_eq").over(run))
-            .join(offsets, [*keys, "_slice"])
+    return (join_same(cut.withColumn("_cum", F.sum("n_eq").over(run)), _offsets(cut, keys, F.sum("n_eq")), [*keys, "_slice"])
             .withColumn("n_below", F.col("_offset") + F.col("_cum") - F.col("n_eq"))
             .drop("_cum", "_offset", "_slice"))
 
 
+def positions(df: DataFrame, keys: Sequence[str], by: Column, order: Sequence[str], out: str, slices: int = SLICES) -> DataFrame:
+    """0-based position of every row within ``keys`` in the given order, and ``n_total``; no row is lost.
+
+    ``by`` is a number that never decreases in that order (NULL last).
+    """
+    keys = list(keys)
+    cut = df.withColumn("_slice", value_slice(by, slices))
+    run = W.partitionBy(*keys, "_slice").orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    return (join_same(cut.withColumn("_rn", F.row_number().over(run)), _offsets(cut, keys, F.count(F.lit(1))), [*keys, "_slice"])
+            .withColumn(out, F.col("_offset") + F.col("_rn") - 1).drop("_slice", "_rn", "_offset"))
+
+
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str = "avg_rank",
-                  slices: int | None = None) -> DataFrame:
+                  slices: int = SLICES) -> DataFrame:
     """Attach the tie-averaged rank of ``value`` within ``keys`` and the group's ``n_total``."""
     ranks = (value_ranks(df, keys, value, slices=slices)
              .withColumn(out, F.col("n_below") + (F.col("n_eq") + F.lit(1)) / 2.0)
              .select(*keys, value, out, "n_total"))
-    return df.where(F.col(value).isNotNull()).join(ranks, [*keys, value])
+    return join_same(df.where(F.col(value).isNotNull()), ranks, [*keys, value])
 
 
 def kth_smallest(ranks: DataFrame, keys: Sequence[str], value: str, k: Column, out: str) -> DataFrame:
@@ -80,7 +100,7 @@ def kth_smallest(ranks: DataFrame, keys: Sequence[str], value: str, k: Column, o
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
-                    slices: int | None = None) -> DataFrame:
+                    slices: int = SLICES) -> DataFrame:
     """Linear-interpolation quantiles per key, exact and skew-safe; one column per name in ``probs``."""
     ranks = value_ranks(df, keys, value, slices=slices)
     picks, finish = [], []
@@ -96,47 +116,26 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
 
 
 def dense_index(df: DataFrame, keys: Sequence[str], unit: str, tie: str, out: str = "idx",
-                slices: int | None = None) -> DataFrame:
-    """0-based position of every row within ``keys`` ordered by a uniform hash column ``unit``.
-
-    The hash is uniform, so ``floor(unit * slices)`` already gives balanced slices.
-    """
-    keys = list(keys)
-    slices = slices_for(df) if slices is None else slices
-    if slices <= 1:
-        all_of = W.partitionBy(*(keys or [F.lit(0)]))
-        return (df.withColumn("n_total", F.count(F.lit(1)).over(all_of))
-                .withColumn(out, F.row_number().over(all_of.orderBy(unit, tie)) - 1))
-    cut = df.withColumn("_slice", F.floor(F.col(unit) * slices))
-    over = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    before = over.orderBy("_slice").rowsBetween(W.unboundedPreceding, 0)
-    offsets = (cut.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-               .withColumn("_offset", F.sum("_n").over(before) - F.col("_n"))
-               .withColumn("n_total", F.sum("_n").over(over)).drop("_n"))
-    run = W.partitionBy(*keys, "_slice").orderBy(unit, tie)
-    return (cut.withColumn("_rn", F.row_number().over(run))
-            .join(offsets, [*keys, "_slice"])
-            .withColumn(out, F.col("_offset") + F.col("_rn") - 1)
-            .drop("_slice", "_rn", "_offset"))
+                slices: int = SLICES) -> DataFrame:
+    """0-based position of every row within ``keys`` ordered by a uniform hash column ``unit``, and ``n_total``."""
+    return positions(df, keys, F.col(unit), [unit, tie], out, slices)
 
 
 def benjamini_hochberg(df: DataFrame, keys: Sequence[str], p: str, out: str = "p_adj",
-                       slices: int | None = None) -> DataFrame:
+                       slices: int = SLICES) -> DataFrame:
     """Adjusted p per family: ``min over larger p of p·n/rank``, capped at 1 (a tied p takes its last rank).
 
-    The suffix minimum is taken inside each slice and combined with the minima of the slices behind it.
+    The suffix minimum is taken inside each slice and combined with the minima of the slices behind it; slices
+    follow the powers of two, so p-values that crowd near 0 are spread as well.
     """
     keys = list(keys)
-    slices = slices_for(df) if slices is None else slices
     ranks = (value_ranks(df, keys, p, slices=slices)
              .withColumn("_raw", F.col(p) * F.col("n_total") / (F.col("n_below") + F.col("n_eq")))
-             .withColumn("_slice", F.floor(F.col(p) * slices)))
-    over = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    behind = over.orderBy("_slice").rowsBetween(1, W.unboundedFollowing)
+             .withColumn("_slice", value_slice(F.col(p), slices)))
+    behind = _over(keys).orderBy("_slice").rowsBetween(1, W.unboundedFollowing)
     later = (ranks.groupBy(*keys, "_slice").agg(F.min("_raw").alias("_m"))
              .withColumn("_later", F.min("_m").over(behind)).drop("_m"))
     suffix = W.partitionBy(*keys, "_slice").orderBy(p).rowsBetween(0, W.unboundedFollowing)
-    adj = (ranks.withColumn("_own", F.min("_raw").over(suffix))
-           .join(later, [*keys, "_slice"])
+    adj = (join_same(ranks.withColumn("_own", F.min("_raw").over(suffix)), later, [*keys, "_slice"])
            .select(*keys, p, F.least(F.lit(1.0), F.col("_own"), F.col("_later")).alias(out)))
-    return df.join(adj, [*keys, p], "left")
+    return join_same(df, adj, [*keys, p], "left")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.hashing import unit_hash
-from ..functions.ranking import kth_smallest, value_ranks
+from ..functions.ranking import SLICES, kth_smallest, value_ranks
 from ..session import checked_broadcast
 
 DIGITS = 9  # probabilities are rounded here so that a threshold comparison is reproducible
@@ -58,7 +58,7 @@ def conformal_rank(alpha, n="n_total") -> Column:
     return F.greatest(F.lit(1), F.ceil((F.col(n) + 1) * (1 - a) - 1e-9))
 
 
-def thresholds(scores: DataFrame, run: list[str], alphas: list[float], slices: int | None = None) -> DataFrame:
+def thresholds(scores: DataFrame, run: list[str], alphas: list[float], slices: int = SLICES) -> DataFrame:
     """The conformal threshold per run and α; +∞ where the rank exceeds the number of scores."""
     ranks = value_ranks(scores, run, "score", slices=slices)
     each = ranks.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas])))
@@ -67,7 +67,7 @@ def thresholds(scores: DataFrame, run: list[str], alphas: list[float], slices: i
 
 
 def class_thresholds(scores: DataFrame, run: list[str], alphas: list[float], classes: DataFrame,
-                     floored: bool = False, slices: int | None = None) -> DataFrame:
+                     floored: bool = False, slices: int = SLICES) -> DataFrame:
     """Per-class thresholds for every candidate class of the run.
 
     A class without calibration scores falls back to the marginal threshold; ``floored`` raises every

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..functions.hashing import unit_hash
-from ..functions.ranking import dense_index, exact_quantiles, slices_for, value_ranks
+from ..functions.ranking import dense_index, exact_quantiles, positions
 from ..session import checked_broadcast, settle
 
 FEATURE_BLOCK = 5_000  # features per block when a stacked matrix is made dense
@@ -163,18 +164,15 @@ def map_symbols(features: DataFrame, mapping: DataFrame, source: str, target: st
     return bare.join(m, "_id", "left").drop("_id")
 
 
-def mark_duplicates(table: DataFrame, ident: str, ordinal: str, by: list[str]) -> DataFrame:
+def mark_duplicates(table: DataFrame, ident: str, ordinal: str, within: list[str]) -> DataFrame:
     """Repeated ids get ``__dupN`` in the order of a unique ``ordinal``; nothing is dropped.
 
-    With a numeric ordinal a large table is ranked slice by slice, so one id may hold any share of the rows.
+    The ordinal is a number or a struct that begins with one; NULL ordinals come last.  Rows are numbered slice by
+    slice, so one id may hold any share of them.
     """
-    keys = [*by, ident]
-    numeric = dict(table.dtypes)[ordinal] in ("bigint", "int", "double")
-    if numeric and slices_for(table) > 1:
-        n = value_ranks(table, keys, ordinal).select(*keys, ordinal, F.col("n_below").alias("_n"))
-        marked = table.join(n, [*keys, ordinal])
-    else:
-        marked = table.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(ordinal)) - 1)
+    kind = table.schema[ordinal].dataType
+    by = F.col(ordinal)[kind[0].name] if isinstance(kind, T.StructType) else F.col(ordinal)
+    marked = positions(table, [*within, ident], by, [ordinal], "_n").drop("n_total")
     return marked.withColumn(
         ident, F.when(F.col("_n") == 0, F.col(ident)).otherwise(F.concat_ws("__dup", ident, "_n"))).drop("_n")
 

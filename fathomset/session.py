@@ -42,12 +42,6 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Total size of the inputs below a plan: unlike the plan's own estimate it is not multiplied by every join."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-
-
 def settle(df: DataFrame) -> DataFrame:
     """Materialise a table that several later steps read, as a written table in the shared folder.
 
