@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..session import settle
+
 #: Parts into which each power of two is cut; a key of which half lies in one power has that half in so many slices.
 SLICES = 4096
 
@@ -83,6 +85,16 @@ def positions(df: DataFrame, keys: Sequence[str], by: Column, order: Sequence[st
             .withColumn(out, F.col("_offset") + F.col("_rn") - 1).drop("_slice", "_rn", "_offset"))
 
 
+def in_order(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
+    """0-based position of every row in the order of those columns, over the whole table.
+
+    The table is dealt into ranges and written, so that a row's range is the same whenever it is read; ranges are
+    sorted separately and offset by their sizes.
+    """
+    ranged = settle(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    return positions(ranged, [], F.col("_range"), list(order), out).drop("_range", "n_total")
+
+
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str = "avg_rank",
                   slices: int = SLICES) -> DataFrame:
     """Attach the tie-averaged rank of ``value`` within ``keys`` and the group's ``n_total``."""

@@ -2,44 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import unit_hash
-from ..functions.ranking import average_ranks, dense_index
+from ..functions.ranking import average_ranks, dense_index, join_same
 from ..session import settle
 
 
-def draw_weights(groups: DataFrame, n_draws: int, seed, group: str = "group_id") -> DataFrame:
-    """``(draw, group, w)``: how often each group is picked when G groups are drawn with replacement.
+def draw_weights(groups: DataFrame, n_draws: int, seed, group: str = "group_id", keys: Sequence[str] = ()) -> DataFrame:
+    """``(keys, draw, group, w)``: how often each group is picked when the G groups of a key are drawn with replacement.
 
     Every (draw, slot) pair picks position ⌊u·G⌋; the picks are counted before they meet the groups.
     """
-    idx = dense_index(groups.select(group).distinct().withColumn("_u", unit_hash(seed, group)), [], "_u", group)
-    picks = (idx.select("idx", "n_total", F.explode(F.sequence(F.lit(1), F.lit(n_draws))).alias("draw"))
-             .select("draw", F.floor(unit_hash(seed, "draw", "idx") * F.col("n_total")).alias("idx"))
-             .groupBy("draw", "idx").agg(F.count(F.lit(1)).alias("w")))
-    return picks.join(idx.select("idx", group), "idx").select("draw", group, "w")
+    keys = list(keys)
+    idx = dense_index(groups.select(*keys, group).distinct().withColumn("_u", unit_hash(seed, group)), keys, "_u", group)
+    picks = (idx.select(*keys, "idx", "n_total", F.explode(F.sequence(F.lit(1), F.lit(n_draws))).alias("draw"))
+             .select(*keys, "draw", F.floor(unit_hash(seed, "draw", "idx") * F.col("n_total")).alias("idx"))
+             .groupBy(*keys, "draw", "idx").agg(F.count(F.lit(1)).alias("w")))
+    return join_same(picks, idx.select(*keys, "idx", group), [*keys, "idx"]).select(*keys, "draw", group, "w")
 
 
 def bootstrap_mean(values: DataFrame, keys: list[str], value: str, n_draws: int, seed, level: float = 0.95,
                    boundary: str = "exact", group: str = "group_id") -> DataFrame:
-    """Percentile interval of a mean under resampling of individuals.
+    """Percentile interval of a mean under resampling of the individuals of each key.
 
     Only per-individual (n, Σ) meet the draw weights.  With ``boundary='exact'`` a statistic at which
     every individual sits on 0 (or on 1) gets the exact binomial interval instead of a degenerate one.
     """
     per = values.where(F.col(value).isNotNull()).groupBy(*keys, group).agg(
         F.count(value).alias("n"), F.sum(value).alias("s"))
-    w = draw_weights(per, n_draws, seed, group)
-    boot = (per.join(w, group).groupBy(*keys, "draw")
+    w = draw_weights(per, n_draws, seed, group, keys)
+    boot = (join_same(per, w, [*keys, group]).groupBy(*keys, "draw")
             .agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("m")))
     a = (1 - level) / 2
     ci = boot.groupBy(*keys).agg(  # n_draws rows per key
         F.percentile("m", F.lit(a)).alias("lo"), F.percentile("m", F.lit(1 - a)).alias("hi"))
     point = per.groupBy(*keys).agg((F.sum("s") / F.sum("n")).alias("mean"), F.count(F.lit(1)).alias("n_groups"),
                                    F.min(F.col("s") / F.col("n")).alias("_min"), F.max(F.col("s") / F.col("n")).alias("_max"))
-    j = point.join(ci, keys) if keys else point.withColumn("lo", ci.select("lo").scalar()).withColumn("hi", ci.select("hi").scalar())
+    j = join_same(point, ci, keys) if keys else point.withColumn("lo", ci.select("lo").scalar()).withColumn("hi", ci.select("hi").scalar())
     one = F.col("n_groups") < 2
     lo, hi = F.when(one, F.col("mean")).otherwise(F.col("lo")), F.when(one, F.col("mean")).otherwise(F.col("hi"))
     if boundary == "exact":
@@ -94,14 +97,21 @@ def interval(draws: DataFrame, point: DataFrame, keys: list[str], metrics: list[
 
 def bootstrap_difference(first: DataFrame, second: DataFrame, value: str, n_draws: int, seed, paired: bool,
                          group: str = "group_id") -> DataFrame:
-    """mean(first) − mean(second) with an interval; the same draws for both frames when paired."""
-    def means(df, s):
-        per = df.groupBy(group).agg(F.count(value).alias("n"), F.sum(value).alias("s"))
-        w = draw_weights(per, n_draws, s, group)
-        m = per.join(w, group).groupBy("draw").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("m"))
-        return per, m
-    p1, m1 = means(first, seed)
-    p2, m2 = means(second, seed if paired else f"{seed}b")
+    """mean(first) − mean(second) with an interval.
+
+    Paired: each draw picks from the individuals of either frame, so the same people count in both, and one who is
+    in one frame only counts there alone.  Unpaired: each frame's own individuals are drawn.
+    """
+    def sums(df):
+        return df.groupBy(group).agg(F.count(value).alias("n"), F.sum(value).alias("s"))
+
+    def means(per, w):
+        return per.join(w, group).groupBy("draw").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("m"))
+
+    p1, p2 = sums(first), sums(second)
+    w1 = draw_weights(p1.select(group).union(p2.select(group)) if paired else p1, n_draws, seed, group)
+    w2 = w1 if paired else draw_weights(p2, n_draws, f"{seed}b", group)
+    m1, m2 = means(p1, w1), means(p2, w2)
     point = lambda p: p.agg(F.sum("s") / F.sum("n")).scalar()
     d = m1.join(m2.withColumnRenamed("m", "m2"), "draw").select((F.col("m") - F.col("m2")).alias("d"))
     return d.agg(F.round(F.percentile("d", F.lit(0.025)), 6).alias("lo"), F.round(F.percentile("d", F.lit(0.975)), 6).alias("hi")).select(

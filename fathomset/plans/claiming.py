@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.ranking import in_order
 from ..models import centroid as N
 from ..operators import claims as L
 from ..operators import conformal as C
@@ -66,11 +67,10 @@ def status_counts(spark, sf):
 
 
 @query("priority_order", "W12", BASE + MARG + sets_sql("th", "fold") + CLAIM + CHECK + """
-SELECT sample_id, priority, row_number() OVER (ORDER BY priority, sample_id) AS position FROM ckp WHERE alpha = 0.1 ORDER BY position LIMIT 50""")
+SELECT sample_id, priority, row_number() OVER (ORDER BY priority, sample_id) AS position FROM ckp WHERE alpha = 0.1""")
 def priority_order(spark, sf):
-    from pyspark.sql.window import Window as W
-    top = _checked(spark, sf).select("sample_id", "priority").orderBy("priority", "sample_id").limit(50)
-    return top.withColumn("position", F.row_number().over(W.orderBy("priority", "sample_id")))  # 50 rows
+    ordered = in_order(_checked(spark, sf).select("sample_id", "priority"), ["priority", "sample_id"], "position")
+    return ordered.withColumn("position", (F.col("position") + 1).cast("int"))
 
 
 @query("flag_rates", "C15", BASE + MARG + sets_sql("th", "fold") + CLAIM + CHECK + """
@@ -196,7 +196,7 @@ f AS (SELECT 'f' || (substr(sample_id, 2)::INT % 40) AS feature_id, substr(batch
 SELECT row_number() OVER (ORDER BY o, feature_id) AS position, feature_id, (o // 1000000)::INT AS list_no FROM m ORDER BY o, feature_id LIMIT 25""")
 def ordered_union(spark, sf):
     from ..functions.hashing import unit_hash
-    from ..functions.ranking import dense_index
+    from ..functions.ranking import in_order, dense_index
     s = samples_v(spark, sf).select("batch", "sample_id", unit_hash(91, "sample_id").alias("_u"))
     lists = dense_index(s, ["batch"], "_u", "sample_id").select(
         F.substring("batch", 2, 5).cast("int").alias("list_no"), (F.col("idx") + 1).alias("pos"),

@@ -15,12 +15,14 @@ from .registry import query
 from .selecting import OVR_FOLD, PANEL
 
 
-def weights_sql(src: str, seed, n_draws: int, name: str = "wts") -> str:
-    """DuckDB text of ``draw_weights`` over the distinct group_id of a CTE."""
+def weights_sql(src: str, seed, n_draws: int, name: str = "wts", key: str = "") -> str:
+    """DuckDB text of ``draw_weights`` over the distinct group_id of a CTE, within ``key`` if one is named."""
+    k, own, over = (f"{key}, ", f"p.{key} = i.{key} AND ", f"PARTITION BY {key}") if key else ("", "", "")
     return f""",
-{name}_i AS (SELECT group_id, row_number() OVER (ORDER BY {u_sql(seed, 'group_id')}, group_id) - 1 AS idx, count(*) OVER () AS g FROM (SELECT DISTINCT group_id FROM {src})),
-{name} AS (SELECT p.draw::INT AS draw, i.group_id, count(*) AS w FROM (SELECT d.draw, floor({u_sql(seed, 'd.draw', 'idx')} * g)::BIGINT AS pick FROM {name}_i, range(1, {n_draws + 1}) d(draw)) p
-  JOIN {name}_i i ON i.idx = p.pick GROUP BY ALL)"""
+{name}_i AS (SELECT {k}group_id, row_number() OVER ({over} ORDER BY {u_sql(seed, 'group_id')}, group_id) - 1 AS idx, count(*) OVER ({over}) AS g
+  FROM (SELECT DISTINCT {k}group_id FROM {src})),
+{name}_p AS (SELECT {k}d.draw, floor({u_sql(seed, 'd.draw', 'idx')} * g)::BIGINT AS pick FROM {name}_i, range(1, {n_draws + 1}) d(draw)),
+{name} AS (SELECT {'p.' + k if key else ''}p.draw::INT AS draw, i.group_id, count(*) AS w FROM {name}_p p JOIN {name}_i i ON {own}i.idx = p.pick GROUP BY ALL)"""
 
 
 @query("bootstrap_weights", "R9", f"WITH {V_SAMPLES}{weights_sql('smp', 61, 20)} SELECT draw, group_id, w FROM wts")
@@ -29,8 +31,8 @@ def bootstrap_weights(spark, sf):
 
 
 @query("individual_bootstrap", "R6 R9", f"""WITH {E_ROWS}, x AS (SELECT class, group_id, (value > 60)::INT AS ok FROM ev UNION ALL SELECT 'all-one', group_id, 1 FROM ev WHERE group_id < 20 UNION ALL SELECT 'all-zero', group_id, 0 FROM ev WHERE group_id < 30),
-per AS (SELECT class, group_id, count(*) AS n, sum(ok) AS s FROM x GROUP BY ALL){weights_sql('per', 62, 100)},
-bt AS (SELECT class, draw, sum(w * s) / sum(w * n) AS m FROM per JOIN wts USING (group_id) GROUP BY ALL), ci AS (SELECT class, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM bt GROUP BY ALL),
+per AS (SELECT class, group_id, count(*) AS n, sum(ok) AS s FROM x GROUP BY ALL){weights_sql('per', 62, 100, key='class')},
+bt AS (SELECT class, draw, sum(w * s) / sum(w * n) AS m FROM per JOIN wts USING (class, group_id) GROUP BY ALL), ci AS (SELECT class, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM bt GROUP BY ALL),
 pt AS (SELECT class, sum(s) / sum(n) AS mean, count(*) AS n_groups, min(s / n) AS a, max(s / n) AS b FROM per GROUP BY ALL)
 SELECT class, n_groups, round(mean, 6) AS mean, round(CASE WHEN a = 1 THEN pow(0.025, 1.0 / n_groups) ELSE lo END, 6) AS lo, round(CASE WHEN b = 0 THEN 1 - pow(0.025, 1.0 / n_groups) ELSE hi END, 6) AS hi FROM pt JOIN ci USING (class)""")
 def individual_bootstrap(spark, sf):
@@ -64,10 +66,17 @@ def cluster_bootstrap(spark, sf):
 
 
 def _diff_sql(paired: bool) -> str:
-    second = 64 if paired else "64b"
-    return f"""WITH {E_ROWS}, p1 AS (SELECT group_id, count(value) AS n, sum(value) AS s FROM ev WHERE hour < 12 GROUP BY ALL), p2 AS (SELECT group_id, count(value) AS n, sum(value) AS s FROM ev WHERE hour >= 12 GROUP BY ALL){weights_sql('p1', 64, 80, 'wa')}{weights_sql('p2', second, 80, 'wb')},
-d1 AS (SELECT draw, sum(w * s) / sum(w * n) AS m FROM p1 JOIN wa USING (group_id) GROUP BY draw), d2 AS (SELECT draw, sum(w * s) / sum(w * n) AS m FROM p2 JOIN wb USING (group_id) GROUP BY draw)
-SELECT {str(paired).lower()} AS paired, round((SELECT sum(s) / sum(n) FROM p1) - (SELECT sum(s) / sum(n) FROM p2), 6) AS difference, round(quantile_cont(d1.m - d2.m, 0.025), 6) AS lo, round(quantile_cont(d1.m - d2.m, 0.975), 6) AS hi FROM d1 JOIN d2 USING (draw)"""
+    if paired:
+        drawn = ", both_ids AS (SELECT group_id FROM p1 UNION SELECT group_id FROM p2)" + weights_sql("both_ids", 64, 80, "wa") + ", wb AS (SELECT * FROM wa)"
+    else:
+        drawn = weights_sql("p1", 64, 80, "wa") + weights_sql("p2", "64b", 80, "wb")
+    return f"""WITH {E_ROWS},
+p1 AS (SELECT group_id, count(value) AS n, sum(value) AS s FROM ev WHERE hour < 12 GROUP BY ALL),
+p2 AS (SELECT group_id, count(value) AS n, sum(value) AS s FROM ev WHERE hour >= 12 GROUP BY ALL){drawn},
+d1 AS (SELECT draw, sum(w * s) / sum(w * n) AS m FROM p1 JOIN wa USING (group_id) GROUP BY draw),
+d2 AS (SELECT draw, sum(w * s) / sum(w * n) AS m FROM p2 JOIN wb USING (group_id) GROUP BY draw)
+SELECT {str(paired).lower()} AS paired, round((SELECT sum(s) / sum(n) FROM p1) - (SELECT sum(s) / sum(n) FROM p2), 6) AS difference,
+       round(quantile_cont(d1.m - d2.m, 0.025), 6) AS lo, round(quantile_cont(d1.m - d2.m, 0.975), 6) AS hi FROM d1 JOIN d2 USING (draw)"""
 
 
 def _halves(spark, sf):

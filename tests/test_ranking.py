@@ -104,3 +104,9 @@ def test_one_key_with_most_rows(spark):
     pdf = df.toPandas()
     got = R.average_ranks(df, ["g"], "v").toPandas().set_index("id")["avg_rank"].sort_index()
     assert np.allclose(got.to_numpy(), pdf.groupby("g")["v"].rank().to_numpy())
+
+
+def test_whole_table_order(spark):
+    df = spark.range(500).select((F.col("id") % 3).alias("a"), F.concat(F.lit("s"), F.col("id") * 7 % 500).alias("b")).repartition(6)
+    got = R.in_order(df, ["a", "b"], "at").toPandas().sort_values(["a", "b"])["at"].tolist()
+    assert got == list(range(500))
