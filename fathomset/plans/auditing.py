@@ -295,7 +295,7 @@ def correlation_strata(spark, sf):
 
 @query("discordance_features", "A29 W6", PAIRED + """,
 g AS (SELECT gene, avg(x) AS mean_a, avg(y) AS mean_b, var_samp(x) AS var_a, var_samp(y) AS var_b, stddev_samp(x) / nullif(abs(avg(x)), 0) AS cv_a, corr(x, y) AS rho FROM j GROUP BY gene),
-s AS (SELECT regexp_replace(p_brand || '_' || p_type, '_[^_]*$', '') AS gene, count(DISTINCT p_type) AS n_sites FROM part WHERE p_size > 25 GROUP BY 1)
+s AS (SELECT regexp_replace(p_brand || '_' || p_type, '_[^_]*$', '') AS gene, count(DISTINCT p_type) AS n_sites FROM part GROUP BY 1)
 SELECT gene, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round(var_a, 6) AS var_a, round(var_b, 6) AS var_b, round(cv_a, 6) AS cv_a, round(rho, 6) AS rho,
   round((rank() OVER (ORDER BY mean_b) + (count(*) OVER (PARTITION BY mean_b) - 1) / 2.0) / count(*) OVER (), 6) AS abundance_rank, coalesce(n_sites, 0) AS n_sites FROM g LEFT JOIN s USING (gene)""")
 def discordance_features(spark, sf):
@@ -304,7 +304,7 @@ def discordance_features(spark, sf):
     g = settle(j.groupBy("gene").agg(
         F.avg("x").alias("mean_a"), F.avg("y").alias("mean_b"), F.var_samp("x").alias("var_a"), F.var_samp("y").alias("var_b"),
         F.try_divide(F.stddev_samp("x"), F.abs(F.avg("x"))).alias("cv_a"), F.corr("x", "y").alias("rho")))
-    sites = table(spark, sf, "part").where("p_size > 25").select(F.concat_ws("_", "p_brand", "p_type").alias("site")).select(
+    sites = table(spark, sf, "part").select(F.concat_ws("_", "p_brand", "p_type").alias("site")).select(
         F.regexp_replace("site", "_[^_]*$", "").alias("gene"), "site").groupBy("gene").agg(F.count_distinct("site").alias("n_sites"))
     r = average_ranks(g, [], "mean_b").withColumn("abundance_rank", F.round(F.col("avg_rank") / F.col("n_total"), 6))
     cols = [F.round(c, 6).alias(c) for c in ("mean_a", "mean_b", "var_a", "var_b", "cv_a", "rho")]
@@ -345,11 +345,11 @@ def training_response(spark, sf):
     return s.join(bg, "sex").join(reg, "gene", "left")
 
 
-@query("panel_overlap", "J18", f"""WITH {K_LINES}, a AS (SELECT feature_id AS gene, arg_max(flag, q) AS marker FROM (SELECT feature_id, flag, sum(quantity) AS q FROM lines WHERE status = 'O' AND yr <= 1997 GROUP BY ALL) GROUP BY 1 HAVING max(q) > (SELECT avg(q) FROM (SELECT feature_id, flag, sum(quantity) AS q FROM lines WHERE status = 'O' AND yr <= 1997 GROUP BY ALL))),
-b AS (SELECT feature_id AS gene, arg_max(flag, q) AS marker FROM (SELECT feature_id, flag, sum(quantity) AS q FROM lines WHERE status = 'F' AND yr <= 1997 GROUP BY ALL) GROUP BY 1 HAVING max(q) > (SELECT avg(q) FROM (SELECT feature_id, flag, sum(quantity) AS q FROM lines WHERE status = 'F' AND yr <= 1997 GROUP BY ALL)))
+@query("panel_overlap", "J18", f"""WITH {K_LINES}, a AS (SELECT feature_id AS gene, arg_max(flag, q) AS marker FROM (SELECT feature_id, flag, sum(quantity) AS q FROM lines WHERE status = 'O' GROUP BY ALL) GROUP BY 1 HAVING max(q) > (SELECT avg(q) FROM (SELECT feature_id, flag, sum(quantity) AS q FROM lines WHERE status = 'O' GROUP BY ALL))),
+b AS (SELECT feature_id AS gene, arg_max(flag, q) AS marker FROM (SELECT feature_id, flag, sum(quantity) AS q FROM lines WHERE status = 'F' GROUP BY ALL) GROUP BY 1 HAVING max(q) > (SELECT avg(q) FROM (SELECT feature_id, flag, sum(quantity) AS q FROM lines WHERE status = 'F' GROUP BY ALL)))
 SELECT coalesce(a.gene, b.gene) AS gene, a.gene IS NOT NULL AS in_a, b.gene IS NOT NULL AS in_b, a.marker AS marker_a, b.marker AS marker_b, coalesce(a.marker = b.marker, false) AS same_marker FROM a FULL JOIN b ON a.gene = b.gene""")
 def panel_overlap(spark, sf):
-    li = lines_k(spark, sf).where("yr <= 1997")
+    li = lines_k(spark, sf)
 
     def side(s):
         q = settle(li.where(F.col("status") == s).groupBy(F.col("feature_id").alias("gene"), "flag").agg(F.sum("quantity").alias("q")))
@@ -461,12 +461,12 @@ def percent_rank(spark, sf):
     return r.select("sample_id", "class", F.round(F.col("avg_rank") / F.col("n_total"), 6).alias("pct"), (F.col("hour") - F.col("h0") + 1).alias("relative_hour"))
 
 
-@query("profile_shapes", "W14 M21", f"""WITH {O_ROWS}, p AS (SELECT segment, class, region, yr, round(avg(price), 6) AS v FROM ord WHERE yr <= 2000 GROUP BY ALL),
+@query("profile_shapes", "W14 M21", f"""WITH {O_ROWS}, p AS (SELECT segment, class, region, yr, round(avg(price), 6) AS v FROM ord GROUP BY ALL),
 r AS (SELECT *, rank() OVER (PARTITION BY segment, class, region ORDER BY yr) AS ro, rank() OVER (PARTITION BY segment, class, region ORDER BY v) + (count(*) OVER (PARTITION BY segment, class, region, v) - 1) / 2.0 AS rv FROM p),
 s AS (SELECT segment, class, region, round(CASE WHEN max(v) > min(v) THEN corr(ro, rv) ELSE 0 END, 6) AS rho, arg_min(v, yr) AS f, arg_max(v, yr) AS l, min(v) AS lo, max(v) AS hi FROM r GROUP BY ALL)
 SELECT segment, class, region, rho, CASE WHEN rho >= 0.8 AND l - f > 2000 THEN 'INCREASING' WHEN l = lo AND f - l > 2000 THEN 'DECREASING' WHEN hi - lo <= 2000 THEN 'FLAT' ELSE 'NON-MONOTONE' END AS shape FROM s""")
 def profile_shapes(spark, sf):
-    p = orders_o(spark, sf).where("yr <= 2000").groupBy("segment", "class", "region", "yr").agg(F.round(F.avg("price"), 6).alias("v"))
+    p = orders_o(spark, sf).groupBy("segment", "class", "region", "yr").agg(F.round(F.avg("price"), 6).alias("v"))
     return A.classify_profile(p, ["segment", "class", "region"], "yr", "v", 2000.0)
 
 

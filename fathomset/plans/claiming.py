@@ -132,8 +132,8 @@ def case_audit(spark, sf):
 # ---- stored coefficients: logits, contributions, drivers ----------------------------------------------------------
 LIN = """,
 fx AS (SELECT sample_id, class, 'f' || lpad(i::VARCHAR, 2, '0') AS feature_id, x::DOUBLE AS value FROM (SELECT *, unnest(range(len(embedding))) AS i, unnest(embedding) AS x FROM smp)),
-st0 AS (SELECT feature_id, avg(value) AS m, stddev_pop(value) AS sd FROM fx GROUP BY ALL), z AS (SELECT sample_id, feature_id, (value - m) / sd AS z FROM fx JOIN st0 USING (feature_id) WHERE feature_id <= 'f19'),
-co AS (SELECT class AS candidate, feature_id, avg((value - m) / sd) AS w FROM fx JOIN st0 USING (feature_id) WHERE feature_id <= 'f19' GROUP BY ALL), b AS (SELECT candidate, -sum(w * w) / 2 AS b FROM co GROUP BY ALL),
+st0 AS (SELECT feature_id, avg(value) AS m, stddev_pop(value) AS sd FROM fx GROUP BY ALL), z AS (SELECT sample_id, feature_id, (value - m) / sd AS z FROM fx JOIN st0 USING (feature_id)),
+co AS (SELECT class AS candidate, feature_id, avg((value - m) / sd) AS w FROM fx JOIN st0 USING (feature_id) GROUP BY ALL), b AS (SELECT candidate, -sum(w * w) / 2 AS b FROM co GROUP BY ALL),
 lg AS (SELECT sample_id, candidate, sum(z * w) + any_value(b) AS logit FROM z JOIN co USING (feature_id) JOIN b USING (candidate) GROUP BY ALL),
 pe AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY sample_id)) AS e FROM lg), pp AS (SELECT sample_id, candidate, round(e / sum(e) OVER (PARTITION BY sample_id), 9) AS p FROM pe),
 tp AS (SELECT sample_id, max(candidate) FILTER (WHERE r = 1) AS call, max(p) FILTER (WHERE r = 1) AS call_p, max(candidate) FILTER (WHERE r = 2) AS runner_up, max(p) FILTER (WHERE r = 2) AS runner_up_p FROM (
@@ -144,7 +144,7 @@ df AS (SELECT sample_id, feature_id, call, runner_up, round(max(z * w) FILTER (W
 def _linear(spark, sf):
     """A stored linear model of lens V (20 features): standardised values, coefficients, intercepts."""
     from .lenses import fact_v
-    f = fact_v(spark, sf).where("feature_id <= 'f19'")
+    f = fact_v(spark, sf)
     scale = settle(X.feature_scale(f, ["feature_id"]))
     z = X.zscore(f, scale, ["feature_id"]).select("sample_id", "class", "feature_id", "value")
     coef = settle(z.groupBy(F.col("class").alias("candidate"), "feature_id").agg(F.avg("value").alias("w")))
@@ -172,9 +172,9 @@ def _why(spark, sf):
     return N.contrast(N.contributions(z, coef, ["sample_id"]), pairs, ["sample_id"]).withColumn("diff", F.round("diff", 9))
 
 
-@query("why_x_not_y", "M17", f"WITH {V_SAMPLES}{LIN} SELECT sample_id, feature_id, call, runner_up, round(diff, 6) AS diff FROM df")
+@query("why_x_not_y", "M17", f"WITH {V_SAMPLES}{LIN} SELECT sample_id, feature_id, call, runner_up, round(diff, 5) AS diff FROM df")
 def why_x_not_y(spark, sf):
-    return _why(spark, sf).withColumn("diff", F.round("diff", 6))
+    return _why(spark, sf).withColumn("diff", F.round("diff", 5))
 
 
 @query("driver_features", "W11", f"WITH {V_SAMPLES}{LIN}" + """ SELECT sample_id, feature_id, round(diff, 6) AS diff, rank FROM (
@@ -289,9 +289,9 @@ def gct_columns(spark, sf):
     return wide.read_gct(spark, path, wanted).where("value IS NOT NULL")
 
 
-@query("per_sample_files", "S13", f"WITH {K_LINES} SELECT flag AS sample_id, class, feature_id, sum(quantity) AS value FROM lines JOIN cls USING (group_id) WHERE status = 'O' GROUP BY ALL")
+@query("per_sample_files", "S13", f"WITH {K_LINES} SELECT flag AS sample_id, class, feature_id, sum(quantity) AS value FROM lines JOIN cls USING (group_id) GROUP BY ALL")
 def per_sample_files(spark, sf):
-    li = lines_k(spark, sf).where("status = 'O'").join(supplier_class(spark, sf), "group_id")
+    li = lines_k(spark, sf).join(supplier_class(spark, sf), "group_id")
     c = li.groupBy(F.concat_ws("__", "flag", F.regexp_replace("class", " ", "_")).alias("name"), "feature_id").agg(F.sum("quantity").alias("value"))
     path = scratch_path(spark, "small-files")
     c.select("feature_id", "value", "name").repartition("name").write.partitionBy("name").option("sep", "\t").csv(path)
@@ -299,12 +299,12 @@ def per_sample_files(spark, sf):
     return r.withColumn("class", F.regexp_replace("class", "_", " "))
 
 
-@query("external_cohort", "S10 S11 R10 A1", f"""WITH {K_LINES}, d AS (SELECT class, group_id, row_number() OVER (PARTITION BY class ORDER BY {u_sql(92, 'class', 'group_id')}, group_id) AS r FROM (SELECT DISTINCT class, group_id FROM lines JOIN cls USING (group_id) WHERE flag <> 'N')),
-c AS (SELECT class, group_id, sample_id, feature_id, sum(quantity) AS v FROM lines JOIN d USING (group_id) WHERE r <= 5 AND flag <> 'N' GROUP BY ALL)
+@query("external_cohort", "S10 S11 R10 A1", f"""WITH {K_LINES}, d AS (SELECT class, group_id, row_number() OVER (PARTITION BY class ORDER BY {u_sql(92, 'class', 'group_id')}, group_id) AS r FROM (SELECT DISTINCT class, group_id FROM lines JOIN cls USING (group_id))),
+c AS (SELECT class, group_id, sample_id, feature_id, sum(quantity) AS v FROM lines JOIN d USING (group_id) WHERE r <= 5 GROUP BY ALL)
 SELECT class, group_id, sample_id, feature_id, round(log2(1e6 * v / sum(v) OVER (PARTITION BY sample_id) + 1), 6) AS value FROM c""")
 def external_cohort(spark, sf):
     from ..sources.external import prepare_cohort
-    li = lines_k(spark, sf).where("flag <> 'N'").join(supplier_class(spark, sf), "group_id")
+    li = lines_k(spark, sf).join(supplier_class(spark, sf), "group_id")
     counts = li.groupBy("class", "group_id", "sample_id", "feature_id").agg(F.sum("quantity").alias("value"))
     return prepare_cohort(counts, 5, 92).select("class", "group_id", "sample_id", "feature_id", F.round("value", 6).alias("value"))
 

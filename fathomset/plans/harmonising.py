@@ -175,10 +175,10 @@ def residualize(spark, sf):
 
 
 @query("collapse_to_gene", "A14 J11", K + """,
-map AS (SELECT DISTINCT p_brand AS feature_id, p_type AS gene FROM part WHERE p_size <= 10)
+map AS (SELECT DISTINCT p_brand AS feature_id, p_type AS gene FROM part)
 SELECT sample_id, gene, round(avg(value), 6) AS value FROM counts JOIN map USING (feature_id) GROUP BY ALL""")
 def collapse_to_gene(spark, sf):
-    m = table(spark, sf, "part").where("p_size <= 10").select(F.col("p_brand").alias("feature_id"), F.col("p_type").alias("gene")).distinct()
+    m = table(spark, sf, "part").select(F.col("p_brand").alias("feature_id"), F.col("p_type").alias("gene")).distinct()
     return X.collapse(counts_k(spark, sf, False), m, ["sample_id"]).withColumn("value", F.round("value", 6))
 
 
@@ -213,13 +213,13 @@ def representative_vials(spark, sf):
 
 
 PEP = f"""WITH {K_LINES}, pep AS (SELECT yr AS plex, status || flag AS channel, feature_id AS protein, feature_id || '/' || ptype AS peptide, ptype = 'PROMO' AS is_contaminant,
-  CASE WHEN sum(quantity) % 7 = 0 THEN NULL ELSE sum(quantity) END AS value FROM lines JOIN cls USING (group_id) WHERE nation IN ('NATION_1', 'NATION_2', 'NATION_3') GROUP BY ALL),
+  CASE WHEN sum(quantity) % 7 = 0 THEN NULL ELSE sum(quantity) END AS value FROM lines JOIN cls USING (group_id) GROUP BY ALL),
 kept AS (SELECT plex, protein FROM pep WHERE NOT is_contaminant AND value IS NOT NULL GROUP BY ALL HAVING count(DISTINCT peptide) >= 4),
 sm AS (SELECT plex, channel, protein, sum(value) AS value FROM pep SEMI JOIN kept USING (plex, protein) WHERE NOT is_contaminant GROUP BY ALL)"""
 
 
 def _peptides(spark, sf):
-    li = lines_k(spark, sf).join(supplier_class(spark, sf).where(F.col("nation").isin("NATION_1", "NATION_2", "NATION_3")), "group_id")
+    li = lines_k(spark, sf).join(supplier_class(spark, sf), "group_id")
     g = li.groupBy(F.col("yr").alias("plex"), F.concat("status", "flag").alias("channel"), F.col("feature_id").alias("protein"),
                    F.concat_ws("/", "feature_id", "ptype").alias("peptide"), (F.col("ptype") == "PROMO").alias("is_contaminant")).agg(F.sum("quantity").alias("value"))
     return g.withColumn("value", F.when(F.col("value") % 7 != 0, F.col("value")))

@@ -132,7 +132,7 @@ def oof_scores(spark, sf):
 
 def _scaled_sql(name: str, part: str) -> str:
     return f""",
-z_{name} AS (SELECT f.sample_id, f.class, f.feature_id, CASE WHEN stddev_pop(value) OVER w > 0 THEN (value - avg(value) OVER w) / stddev_pop(value) OVER w ELSE 0 END AS z FROM fx f JOIN smp USING (sample_id) WHERE f.feature_id <= 'f19' WINDOW w AS (PARTITION BY {part}f.feature_id)),
+z_{name} AS (SELECT f.sample_id, f.class, f.feature_id, CASE WHEN stddev_pop(value) OVER w > 0 THEN (value - avg(value) OVER w) / stddev_pop(value) OVER w ELSE 0 END AS z FROM fx f JOIN smp USING (sample_id) WINDOW w AS (PARTITION BY {part}f.feature_id)),
 l_{name} AS (SELECT sample_id, class, candidate, round(sum(z_{name}.z * w) + any_value(b), 9) AS logit FROM z_{name} JOIN co USING (feature_id) JOIN b USING (candidate) GROUP BY ALL)"""
 
 
@@ -142,7 +142,7 @@ SELECT scaling, count(*) AS n, round(avg((class = candidate)::INT), 6) AS accura
 def scaling_sensitivity(spark, sf):
     """Accuracy of one stored model when features are scaled over the whole set, per batch, or per label."""
     _, coef, b, _ = _linear(spark, sf)
-    f, out = fact_v(spark, sf).where("feature_id <= 'f19'"), None
+    f, out = fact_v(spark, sf), None
     for name, on in (("whole set", ["feature_id"]), ("each batch", ["batch", "feature_id"]), ("each label", ["class", "feature_id"])):
         z = Q.zscore(f, Q.feature_scale(f, on), on).withColumn("scaling", F.lit(name))
         out = z.select("scaling", "sample_id", "class", "feature_id", "value") if out is None else out.unionByName(
@@ -155,7 +155,7 @@ def scaling_sensitivity(spark, sf):
 @query("composition_sensitivity", "C16 R10", f"WITH {V_SAMPLES}{LIN}" + f""",
 g AS (SELECT d.draw::INT AS draw, s.sample_id, s.class, row_number() OVER (PARTITION BY d.draw ORDER BY {u_sql(95, 'd.draw', 's.sample_id')}, s.sample_id) AS rn, 8 + floor({u_sql('95n', 'd.draw')} * 60) AS size FROM smp s, range(12) d(draw) WHERE phase = 0),
 k AS (SELECT * FROM g WHERE rn <= size), v AS (SELECT draw FROM k GROUP BY draw HAVING count(DISTINCT class) >= 3),
-z2 AS (SELECT draw, sample_id, k.class, feature_id, CASE WHEN stddev_pop(value) OVER w > 0 THEN (value - avg(value) OVER w) / stddev_pop(value) OVER w ELSE 0 END AS zz FROM k SEMI JOIN v USING (draw) JOIN fx USING (sample_id) WHERE feature_id <= 'f19' WINDOW w AS (PARTITION BY draw, feature_id)),
+z2 AS (SELECT draw, sample_id, k.class, feature_id, CASE WHEN stddev_pop(value) OVER w > 0 THEN (value - avg(value) OVER w) / stddev_pop(value) OVER w ELSE 0 END AS zz FROM k SEMI JOIN v USING (draw) JOIN fx USING (sample_id) WINDOW w AS (PARTITION BY draw, feature_id)),
 l2 AS (SELECT draw, sample_id, z2.class, candidate, round(sum(zz * w) + any_value(b), 9) AS logit FROM z2 JOIN co USING (feature_id) JOIN b USING (candidate) GROUP BY ALL),
 a AS (SELECT draw, count(*) AS n, avg((class = candidate)::INT) AS acc FROM (SELECT *, row_number() OVER (PARTITION BY draw, sample_id ORDER BY logit DESC, candidate) AS r FROM l2) WHERE r = 1 GROUP BY draw)
 SELECT count(*) AS n_subsets, min(n) AS min_size, max(n) AS max_size, round(quantile_cont(acc, 0.05), 6) AS p05, round(quantile_cont(acc, 0.5), 6) AS p50, round(quantile_cont(acc, 0.95), 6) AS p95 FROM a""")
@@ -167,7 +167,7 @@ def composition_sensitivity(spark, sf):
     g = dense_index(s.withColumn("_u", unit_hash(95, "draw", "sample_id")), ["draw"], "_u", "sample_id")
     k = settle(g.where(F.col("idx") < 8 + F.floor(unit_hash("95n", "draw") * 60)).select("draw", "sample_id", "class"))
     ok = k.groupBy("draw").agg(F.count_distinct("class").alias("c")).where("c >= 3").select("draw")
-    f = fact_v(spark, sf).where("feature_id <= 'f19'").select("sample_id", "feature_id", "value").join(k.join(ok, "draw", "left_semi"), "sample_id")
+    f = fact_v(spark, sf).select("sample_id", "feature_id", "value").join(k.join(ok, "draw", "left_semi"), "sample_id")
     z = Q.zscore(f, Q.feature_scale(f, ["draw", "feature_id"]), ["draw", "feature_id"])
     lg = N.linear_logits(z, coef, b, ["draw", "sample_id", "class"]).withColumn("logit", F.round("logit", 9))
     call = lg.groupBy("draw", "sample_id", "class").agg(F.min_by("candidate", F.struct(-F.col("logit"), F.col("candidate"))).alias("call"))

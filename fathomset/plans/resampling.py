@@ -109,7 +109,7 @@ pm AS (SELECT perm, sample_id, {s}{col} FROM pl JOIN hd USING {using})"""
 _PR2 = "sum(n * (m - g) * (m - g)) / (sum(n * (m - g) * (m - g)) + sum(w))"
 
 
-@query("perm_r2", "R12 A12", f"""WITH {V_FACT}, s AS (SELECT sample_id, batch FROM smp), sc AS (SELECT sample_id, feature_id, value FROM fact WHERE feature_id IN ('f00', 'f01', 'f02')){perm_sql('s', '', 'batch', 30, 71)},
+@query("perm_r2", "R12 A12", f"""WITH {V_FACT}, s AS (SELECT sample_id, batch FROM smp), sc AS (SELECT sample_id, feature_id, value FROM fact){perm_sql('s', '', 'batch', 30, 71)},
 l AS (SELECT perm, feature_id, batch, count(*) AS n, avg(value) AS m, var_pop(value) * count(*) AS w FROM pm JOIN sc USING (sample_id) GROUP BY ALL),
 r AS (SELECT perm, max(r2) AS r2 FROM (SELECT perm, feature_id, {_PR2} AS r2 FROM (SELECT *, sum(n * m) OVER (PARTITION BY perm, feature_id) / sum(n) OVER (PARTITION BY perm, feature_id) AS g FROM l) GROUP BY ALL) GROUP BY perm),
 o AS (SELECT feature_id, {_PR2} AS r2 FROM (SELECT *, sum(n * m) OVER (PARTITION BY feature_id) / sum(n) OVER (PARTITION BY feature_id) AS g FROM (SELECT feature_id, batch, count(*) AS n, avg(value) AS m, var_pop(value) * count(*) AS w FROM s JOIN sc USING (sample_id) GROUP BY ALL)) GROUP BY ALL)
@@ -117,20 +117,20 @@ SELECT round((SELECT max(r2) FROM o), 6) AS observed_max, round(quantile_cont(r2
 def perm_r2(spark, sf):
     from ..operators.audit import r2_categorical
     s = samples_v(spark, sf).select("sample_id", "batch")
-    sc = settle(fact_v(spark, sf).where("feature_id IN ('f00', 'f01', 'f02')").select("sample_id", "feature_id", "value"))
+    sc = settle(fact_v(spark, sf).select("sample_id", "feature_id", "value"))
     p = R.permuted(s, [], ["batch"], 30, 71).join(sc, "sample_id")
     null = r2_categorical(p, ["perm", "feature_id"], ["batch"]).groupBy("perm").agg(F.max("r2").alias("r2"))
     obs = r2_categorical(s.join(sc, "sample_id"), ["feature_id"], ["batch"]).agg(F.round(F.max("r2"), 6)).scalar()
     return null.agg(F.round(F.percentile("r2", F.lit(0.95)), 6).alias("null_95"), F.count(F.lit(1)).alias("n_perm")).withColumn("observed_max", obs)
 
 
-@query("perm_auroc_stratified", "R13 A21", f"""WITH {O_ROWS}, s AS (SELECT sample_id, status, (class IN ('1-URGENT', '2-HIGH')) AS pos, price FROM ord WHERE segment = 'BUILDING'){perm_sql('s', 'status', 'pos', 20, 72)},
+@query("perm_auroc_stratified", "R13 A21", f"""WITH {O_ROWS}, s AS (SELECT sample_id, status, (class IN ('1-URGENT', '2-HIGH')) AS pos, price FROM ord){perm_sql('s', 'status', 'pos', 20, 72)},
 rk AS (SELECT sample_id, rank() OVER (ORDER BY price) + (count(*) OVER (PARTITION BY price) - 1) / 2.0 AS r FROM s),
 z AS (SELECT perm, (sum(r) FILTER (WHERE pos) - count(*) FILTER (WHERE pos) * (count(*) FILTER (WHERE pos) + 1) / 2.0) / (count(*) FILTER (WHERE pos) * count(*) FILTER (WHERE NOT pos)) AS a FROM (SELECT perm, sample_id, pos FROM pm UNION ALL SELECT 0, sample_id, pos FROM s) JOIN rk USING (sample_id) GROUP BY perm),
 y AS (SELECT perm, round(greatest(a, 1 - a), 9) AS a FROM z)
 SELECT round((SELECT a FROM y WHERE perm = 0), 6) AS auroc, round((count(*) FILTER (WHERE a >= (SELECT a FROM y WHERE perm = 0) - 1e-9) + 1) / (count(*) + 1), 6) AS p_value, count(*) AS n_perm FROM y WHERE perm > 0""")
 def perm_auroc_stratified(spark, sf):
-    s = settle(orders_o(spark, sf).where("segment = 'BUILDING'").select(
+    s = settle(orders_o(spark, sf).select(
         "sample_id", "status", F.col("class").isin("1-URGENT", "2-HIGH").alias("pos"), "price"))
     lab = R.permuted(s, ["status"], ["pos"], 20, 72).select("perm", "sample_id", "pos").unionByName(
         s.select(F.lit(0).alias("perm"), "sample_id", "pos"))

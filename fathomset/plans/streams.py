@@ -18,12 +18,12 @@ def stream_scores(spark, sf):
     model = settle(T.model_row("v1", coef, b, scale, 0.88))
     s = T.parquet_stream(spark, sf, "embeddings").select(
         F.concat(F.lit("v"), "vec_id").alias("sample_id"), F.concat(F.lit("c"), "label").alias("class"), F.lit("v1").alias("model_id"), "embedding")
-    out = T.run_to_files(T.score_vectors(s, model, "embedding", 20).drop("embedding", "model_id"), "scores")
+    out = T.run_to_files(T.score_vectors(s, model, "embedding", 64).drop("embedding", "model_id"), "scores")
     return out.select("sample_id", "class", "call", "call_p", F.concat_ws(";", "set_members").alias("set_members"), "set_size", "status")
 
 
 @query("stream_submissions", "ST2 A5 C13", f"WITH {V_SAMPLES}{LIN}" + """,
-sz AS (SELECT sample_id, batch AS submission_id, feature_id, CASE WHEN stddev_pop(value) OVER w > 0 THEN (value - avg(value) OVER w) / stddev_pop(value) OVER w ELSE 0 END AS z FROM fx JOIN smp USING (sample_id) WHERE feature_id <= 'f19' WINDOW w AS (PARTITION BY batch, feature_id)),
+sz AS (SELECT sample_id, batch AS submission_id, feature_id, CASE WHEN stddev_pop(value) OVER w > 0 THEN (value - avg(value) OVER w) / stddev_pop(value) OVER w ELSE 0 END AS z FROM fx JOIN smp USING (sample_id) WINDOW w AS (PARTITION BY batch, feature_id)),
 sl AS (SELECT submission_id, sample_id, candidate, sum(sz.z * w) + any_value(b) AS logit FROM sz JOIN co USING (feature_id) JOIN b USING (candidate) GROUP BY ALL),
 se AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY submission_id, sample_id)) AS e FROM sl)
 SELECT submission_id, sample_id, candidate, round(e / sum(e) OVER (PARTITION BY submission_id, sample_id), 9) AS p FROM se""")
@@ -31,7 +31,7 @@ def stream_submissions(spark, sf):
     _, coef, b, _ = _linear(spark, sf)
     s = T.parquet_stream(spark, sf, "embeddings").select(
         F.concat(F.lit("v"), "vec_id").alias("sample_id"), F.concat(F.lit("b"), F.col("vec_id") % 7).alias("submission_id"),
-        F.posexplode("embedding").alias("i", "x")).where("i < 20").select(
+        F.posexplode("embedding").alias("i", "x")).select(
         "sample_id", "submission_id", F.concat(F.lit("f"), F.lpad(F.col("i").cast("string"), 2, "0")).alias("feature_id"), F.col("x").cast("double").alias("value"))
     return T.score_submissions(s, coef, settle(b), "submissions")
 

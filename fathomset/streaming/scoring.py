@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..models.centroid import linear_logits
 from ..operators.conformal import DIGITS, softmax_over
 from ..operators.matrices import feature_scale, zscore
-from ..session import scratch_path
+from ..session import checked_broadcast, scratch_path
 
 
 def model_row(model_id: str, coef: DataFrame, intercept: DataFrame, scale: DataFrame, q: float) -> DataFrame:
@@ -28,7 +28,7 @@ def model_row(model_id: str, coef: DataFrame, intercept: DataFrame, scale: DataF
 def score_vectors(samples: DataFrame, models: DataFrame, vector: str, n_features: int) -> DataFrame:
     """Reference-scaled scores of each row: probabilities, call, prediction set and status (stateless)."""
     x = F.slice(F.transform(vector, lambda v: v.cast("double")), 1, n_features)
-    j = samples.withColumn("_x", x).join(F.broadcast(models), "model_id")  # one small row per stored model
+    j = samples.withColumn("_x", x).join(checked_broadcast(models), "model_id")  # one row per stored model
     centred = F.zip_with("_x", "mean", lambda a, m: a - m)
     j = j.withColumn("_z", F.zip_with(centred, "sd", lambda a, s: F.when(s > 0, a / s).otherwise(F.lit(0.0))))
     dot = lambda m: F.aggregate(F.zip_with("_z", m["w"], lambda z, w: z * w), m["b"], lambda a, t: a + t)
