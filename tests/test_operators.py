@@ -17,20 +17,24 @@ from fathomset.operators import matrices as Q
 from fathomset.operators import splits as S
 
 
-def test_nested_design(spark):
+def test_two_chains_of_classes(spark):
+    """Days link elm to oak and to fir, and ivy to yew; operators link other pairs; kits link none."""
+    days = {"elm": ["mon", "tue"], "oak": ["mon"], "fir": ["tue"], "ivy": ["wed"], "yew": ["wed"]}
+    operators = {"elm": "ada", "oak": "ada", "ivy": "ada", "fir": "bob", "yew": "bob"}
     rows = []
-    plates = {"A": "P1", "B": "P2", "C": "P3", "D": "P3"}
-    for c in "ABCD":
-        for i in range(12):
-            for var, level in (("plate", plates[c]), ("lib", f"L{c}"), ("flowcell", "F1"), ("noise", "xyz"[i % 3])):
-                rows.append((c, var, level))
+    for n, (c, own) in enumerate(days.items()):
+        for i in range(4 + 2 * n):  # classes of unequal size
+            rows += [(c, "day", own[i % len(own)]), (c, "operator", operators[c]), (c, "kit", f"kit-{c}"), (c, "room", "r")]
     cov = spark.createDataFrame(rows, "class string, variable string, level string")
     pairs = A.sharing_pairs(A.class_levels(cov))
-    got = lambda vs: [tuple(r) for r in A.estimable_pairs(pairs, vs).collect()]
-    assert got(["plate", "flowcell"]) == [("C", "D")] and got(["plate", "lib"]) == []
+    linked = lambda v: {tuple(r) for r in A.estimable_pairs(pairs, v).collect()}
+    assert linked(["day"]) == {("elm", "oak"), ("elm", "fir"), ("ivy", "yew")}
+    assert linked(["day", "operator", "room"]) == {("elm", "oak")} and linked(["kit"]) == set()
     t = A.nesting_table(cov).toPandas().set_index("variable")
-    assert t.loc["lib", "cramers_v"] == 1 and t.loc["noise", "cramers_v"] == 0 and t.loc["flowcell", "cramers_v"] == 0
-    assert t.loc["plate", ["n_levels", "n_classes", "n_levels_shared", "n_pairs_sharing", "n_pairs_total"]].tolist() == [3, 4, 1, 1, 6]
+    assert t["n_pairs_sharing"].to_dict() == {"day": 3, "operator": 4, "kit": 0, "room": 10} and set(t["n_pairs_total"]) == {10}
+    assert t["max_levels_per_class"].to_dict() == {"day": 2, "operator": 1, "kit": 1, "room": 1}
+    assert t.loc["day", "n_levels_shared"] == 3 and t.loc["day", "classes_in_one_level"] == 4
+    assert t.loc["kit", "cramers_v"] == 1 and t.loc["room", "cramers_v"] == 0 and 0 < t.loc["day", "cramers_v"] < 1
 
 
 def test_grouped_folds_and_roles(spark):
