@@ -140,23 +140,24 @@ def _sketcher(bands: int, rows: int, shingle: int):
     return sketch
 
 
-def _contents(shingle: int):
-    @F.arrow_udf("struct<key:long,hashes:array<long>>")
-    def contents(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kind = pa.struct([("key", pa.int64()), ("hashes", pa.list_(pa.int64()))])
-        for column in batches:
-            keys, values, offsets = [], [], [0]
-            for data, at in blocks(column):
+def _contents(texts: DataFrame, shingle: int) -> DataFrame:
+    """Rows (own, hashes) of a table (t): content keys and bags, the repeats of a shingle under hashes of their own.
+
+    Bags leave a block of texts at a time, so that a batch of long documents is never held as a whole.
+    """
+    names = ["own", "hashes"]
+
+    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data, at in blocks(batch.column(0)):
                 words = words_of(data, at)
-                grams, first = shingles(words, shingle)
-                keys.append(content_keys(words))
-                for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                    values.append(np.sort(grams[a:b].view(np.int64)))
-                    offsets.append(offsets[-1] + b - a)
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64)))
-            yield pa.StructArray.from_arrays([pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), lists], fields=list(kind))
+                doc, gram, count = bags(*(found := shingles(words, shingle)))
+                turn = np.arange(len(found[0])) - np.repeat(np.cumsum(count) - count, count)
+                every = np.repeat(gram, count) ^ mixed(turn.astype(np.uint64) * _GOLD)  # the first keeps its hash
+                lists = pa.ListArray.from_arrays(pa.array(found[1].astype(np.int32)), pa.array(every.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(content_keys(words)), lists], names=names)
 
-    return contents
+    return texts.select("t").mapInArrow(contents, "own long, hashes array<long>")
 
 
 def _content_key(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -188,10 +189,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         """The bags of these keys, from one document of each."""
         wanted = units.join(keys, "key", "left_semi").where("doc_id IS NOT NULL").select("doc_id", "key")
         texts = docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("t"))
-        found = texts.join(checked_broadcast(wanted), "doc_id").select("key", _contents(shingle)(F.col("t")).alias("c"))
-        nameless = units.join(keys, "key", "left_semi").where("doc_id IS NULL").select("key")
-        rest = texts.where("doc_id IS NULL").select(_contents(shingle)(F.col("t")).alias("c")).join(nameless, F.col("c.key") == F.col("key"))
-        whole = found.where(F.col("c.key") == F.col("key")).select("key", "c.hashes").union(rest.select("key", "c.hashes"))
+        named = texts.join(checked_broadcast(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
+        nameless = texts.where("doc_id IS NULL")  # all of them: their keys tell which are asked for
+        whole = (_contents(named.union(nameless), shingle).withColumnRenamed("own", "key")
+                 .join(checked_broadcast(keys), "key", "left_semi"))
         return whole.groupBy("key").agg(F.first("hashes").alias("hashes"))
 
     roots = classes(units, contents, similarity)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +50,15 @@ def grouped(texts: Iterable[str], limit: int = GROUP_CHARS) -> Iterator[list[str
         yield group
 
 
-def strings(column: pa.Array) -> list[str]:
-    """The texts of an Arrow column, null as the empty text."""
-    return [t or "" for t in column.to_pylist()]
+def text_groups(column: pa.Array, limit: int = GROUP_CHARS) -> Iterator[list[str]]:
+    """The texts of an Arrow column, null as the empty text, in lists of about ``limit`` bytes.
+
+    No more than a list is held as Python strings at a time, however many rows Spark puts into a batch.
+    """
+    ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(column), 0).cast(pa.int64())).to_numpy()
+    a = 0
+    while a < len(column):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + limit, "right")))
+        yield [t or "" for t in column.slice(a, b - a).to_pylist()]
+        a = b
+    pa.default_memory_pool().release_unused()

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GROUP_CHARS, fresh, grouped, quoted, strings
+from .common import GROUP_CHARS, fresh, grouped, quoted, text_groups
 
 LEAST, NORMAL, MOST = 32, 64, 256
 STRICT_BITS, LOOSE_BITS = 7, 5
@@ -107,7 +107,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprin
     @F.arrow_udf("string")
     def compute(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            yield pa.array([to_text(c) for group in grouped(strings(column)) for c in chunk_sets(group)], pa.string())
+            yield pa.array([to_text(c) for group in text_groups(column) for c in chunk_sets(group)], pa.string())
 
     return docs.withColumn(fresh(docs, out), compute(quoted(text)))
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .common import fresh, grouped, quoted, strings
+from .common import fresh, quoted, text_groups
 
 #: Labelled documents per language that the fit reads, about; a uniform sample by hash of the text.
 TRAIN_ROWS = 500
@@ -32,7 +32,7 @@ LANGUAGES = 500
 LONGEST = 60
 SMOOTH = 0.05
 #: Words that a worker remembers at most.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 200_000
 #: Per-letter factor that keeps forward sums near one; taken out again in the logarithm.
 LETTER = 16.0
 
@@ -162,7 +162,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", path: str |
     @F.arrow_udf("array<string>")
     def split(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            yield pa.array([[w for w in words_of(t) if any(map(str.isalpha, w))] for t in strings(column)], pa.list_(pa.string()))
+            yield pa.array([[w for w in words_of(t) if any(map(str.isalpha, w))] for group in text_groups(column) for t in group], pa.list_(pa.string()))
 
     chosen = rows.where(unit < share[F.col("lang")])
     counts = settle(chosen.select("lang", F.explode(split("t")).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n")))
@@ -250,7 +250,7 @@ def language_scorer(docs: DataFrame, model: Model):
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(sent.value)
         for column in batches:
-            found = [x for group in grouped(strings(column)) for x in scorer.score(group)]
+            found = [x for group in text_groups(column) for x in scorer.score(group)]
             yield pa.array([{"lang": k, "score": s} for k, s in found], kind)
 
     return predict

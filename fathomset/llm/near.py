@@ -2,8 +2,8 @@
 
 A *unit* (a document, a paragraph) is known by the hash of its content, so copies are one unit from the start.
 Units that share a band form a bucket.  A bucket is not compared all against all: its units are compared with one
-leader.  Buckets whose units still lie in several components take another leader in the next round, and so on until
-a round finds no new link, so that work is linear in a bucket's size in each round.  A pair is missed only if no
+leader.  Buckets whose units still lie in several components take more and other leaders in the next round, and so on
+until a round finds no new link; a round's work is linear in a bucket's size.  A pair is missed only if no
 bucket it shares ever links the two, directly or over others; two units of similarity ``s`` share a bucket with
 probability ``1 - (1 - s ** rows) ** bands``.
 """
@@ -13,14 +13,14 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import settle
+from ..session import checked_broadcast, settle
 
 SIMILARITY = 0.8
+#: Leaders of a bucket in the first rounds; later rounds take as many as the last.
+LEADERS = (1, 6, 16)
 
 
 def bands_for(similarity: float, rows: int, miss: float) -> int:
@@ -35,7 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
     ones, until nothing changes; the number of rounds grows with the logarithm of the size.
     """
     edges = settle(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    seen = None
+    state_of = lambda e: e.select(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    seen = state_of(edges)
     while True:
         both = edges.union(edges.select("b", "a"))
         # large star: larger neighbours go below the smallest neighbour (or the key itself)
@@ -45,60 +46,57 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("b").agg(F.min("m").alias("r"))
         small = large.join(low, "b").select(F.explode(F.array("b", "m")).alias("x"), "r").where("x <> r").distinct()
         edges = settle(small.select(F.col("r").alias("a"), F.col("x").alias("b")))
-        state = edges.select(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        state = state_of(edges)
         if state == seen:
             return edges.select(F.col("b").alias("key"), F.col("a").alias("root")).union(edges.select("a", "a").distinct())
         seen = state
 
 
-def _overlaps(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Weighted Jaccard of sorted hash arrays with repeats (of sets: plain Jaccard)."""
-    out = np.zeros(len(a))
-    flat = [(x.values.to_numpy(zero_copy_only=False), x.offsets.to_numpy()) for x in (a, b)]
-    for i in range(len(a)):
-        x, y = (v[o[i]:o[i + 1]] for v, o in flat)
-        whole = np.sort(np.concatenate([x, y]), kind="stable")
-        if not len(whole):
-            continue
-        starts = np.flatnonzero(np.concatenate([[True], whole[1:] != whole[:-1]]))
-        values, n = whole[starts], np.diff(np.append(starts, len(whole)))
-        of_x = np.searchsorted(x, values, "right") - np.searchsorted(x, values, "left")
-        shared = np.minimum(of_x, n - of_x).sum()
-        out[i] = shared / (len(whole) - shared)
-    return pa.array(out)
+def overlap(x: Column, y: Column) -> Column:
+    """Jaccard of two arrays of distinct hashes."""
+    shared = F.size(F.array_intersect(x, y))
+    return shared / (F.size(x) + F.size(y) - shared)
 
 
 def classes(units: DataFrame, contents: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY) -> DataFrame:
     """Rows (key, root) for the units that are linked to others; other units are classes of their own.
 
-    units: rows (key, size, bands array<long>), one per unit; ``contents`` gives (key, hashes) for a table of keys.
+    units: rows (key, size, bands array<long>), one per unit; ``contents`` gives (key, hashes) for a table of keys,
+    where hashes are distinct (the repeats of a bag's element have hashes of their own).
     """
-    overlap = F.arrow_udf(_overlaps, "double")
     each = settle(units.select("key", "size", F.posexplode("bands").alias("band", "value")))
     at = ["band", "value"]
     shared = each.groupBy(*at).agg(F.count("*").alias("n")).where("n > 1")
     each = settle(each.join(shared.drop("n"), at))
     held = settle(contents(each.select("key").distinct()))
-    links, roots, tried = None, None, 0
+    roots, tried = None, 0
     while True:
         if roots is None:
             members = each.withColumn("root", F.col("key"))
         else:
             members = each.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-        # the leader of a bucket is the smallest by a hash that is the same in all bands, another one in each round
-        rank = F.xxhash64("key", F.lit(tried))
-        leaders = (members.groupBy(*at)
-                   .agg(F.min(F.struct(rank.alias("r"), "key", "root", "size")).alias("l"), F.min("root").alias("a"), F.max("root").alias("b"))
-                   .where("a <> b").select(*at, "l"))
-        pairs = (members.join(leaders, at).where("root <> l.root")
-                 .where(F.least("size", F.col("l.size")) >= similarity * F.greatest("size", F.col("l.size")))
-                 .select("key", F.col("l.key").alias("leader")).distinct())
-        near = settle(pairs.join(held.withColumnRenamed("hashes", "x"), "key")
-                      .join(held.select(F.col("key").alias("leader"), F.col("hashes").alias("y")), "leader")
-                      .where(overlap("x", "y") >= similarity).select(F.col("key").alias("a"), F.col("leader").alias("b")))
+        # the leader of a bucket is the smallest key (which is a hash), the same in all bands; later rounds take others
+        count = LEADERS[min(tried, len(LEADERS) - 1)]
+        ranks = [F.xxhash64("key", F.lit(100 * tried + i)) for i in range(count)] if tried else [F.col("key")]
+        chosen = [F.min(F.struct(r.alias("r"), "key", "root", "size")).alias(f"l{i}") for i, r in enumerate(ranks)]
+        leaders = (members.groupBy(*at).agg(*chosen, F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
+                   .select(*at, F.explode(F.array_distinct(F.array(*[f"l{i}" for i in range(len(ranks))]))).alias("l")))
+        pairs = settle(members.join(leaders, at).where("root <> l.root")
+                       .where(F.least("size", F.col("l.size")) >= similarity * F.greatest("size", F.col("l.size")))
+                       .select("key", "root", F.col("l.key").alias("leader"), F.col("l.root").alias("leader_root")).distinct())
+        led = held.join(checked_broadcast(pairs.select(F.col("leader").alias("key")).distinct()), "key", "left_semi")
+        near = settle(held.withColumnRenamed("hashes", "x").join(checked_broadcast(pairs), "key")
+                      .join(led.select(F.col("key").alias("leader"), F.col("hashes").alias("y")), "leader")
+                      .where(overlap(F.col("x"), F.col("y")) >= similarity)
+                      .select(F.col("root").alias("a"), F.col("leader_root").alias("b")).distinct())
         if near.head(1):
-            links = near if links is None else links.union(near)
-            roots = settle(components(links))
+            # links join components found so far: only their roots take part
+            joined = settle(components(near))
+            if roots is None:
+                roots = joined
+            else:
+                moved = roots.join(joined.select(F.col("key").alias("root"), F.col("root").alias("to")), "root", "left")
+                roots = settle(moved.select("key", F.coalesce("to", "root").alias("root")).union(joined.join(roots, "key", "left_anti").select("key", "root")))
         elif tried:
             break
         tried += 1

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..session import checked_broadcast, settle
 from .bagminhash import SHINGLE, band_values, content_keys, shingles
-from .common import fresh, grouped, quoted, strings
+from .common import fresh, quoted, text_groups
 from .near import SIMILARITY, bands_for, classes
 from .words import MIX, Words, words_of
 
@@ -62,7 +62,7 @@ def _sketcher(least_words: int, bands: int, rows: int, shingle: int):
     def sketch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
             out: list[list[dict]] = []
-            for group in grouped(strings(column), 1 << 19):
+            for group in text_groups(column, 1 << 19):
                 own: list[list[dict]] = [[] for _ in group]
                 lines, words = _lines(group)
                 counts = np.diff(words.first)
@@ -83,23 +83,19 @@ def _sketcher(least_words: int, bands: int, rows: int, shingle: int):
     return sketch
 
 
-def _contents(least_words: int, shingle: int):
-    @F.arrow_udf("array<struct<key:long,hashes:array<long>>>")
-    def contents(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kind = pa.list_(pa.struct([("key", pa.int64()), ("hashes", pa.list_(pa.int64()))]))
-        for column in batches:
-            out: list[list[dict]] = []
-            for group in grouped(strings(column), 1 << 19):
-                own: list[list[dict]] = [[] for _ in group]
-                lines, words = _lines(group)
+def _contents(texts: DataFrame, least_words: int, shingle: int) -> DataFrame:
+    """Rows (key, hashes) of the paragraphs of a table (t), a group of texts at a time."""
+    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for group in text_groups(batch.column(0), 1 << 19):
+                _, words = _lines(group)
                 keys = content_keys(words)
                 grams, first = shingles(words, shingle)
-                for line in np.flatnonzero(np.diff(words.first) >= least_words).tolist():
-                    own[lines[line][0]].append({"key": int(keys[line]), "hashes": np.unique(grams[first[line]:first[line + 1]].view(np.int64))})
-                out += own
-            yield pa.array(out, kind)
+                held = np.flatnonzero(np.diff(words.first) >= least_words).tolist()
+                sets = [np.unique(grams[first[n]:first[n + 1]].view(np.int64)) for n in held]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[held], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["key", "hashes"])
 
-    return contents
+    return texts.select("t").mapInArrow(contents, "key long, hashes array<long>")
 
 
 def repeated_paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, similarity: float = SIMILARITY,
@@ -121,8 +117,7 @@ def repeated_paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
         holders = units.join(keys, "key", "left_semi").select("doc_id").distinct()
         texts = docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("t"))
         named = texts.join(checked_broadcast(holders), "doc_id", "left_semi").union(texts.where("doc_id IS NULL"))
-        sets = named.select(F.explode(_contents(least_words, shingle)(F.col("t"))).alias("c")).select("c.key", "c.hashes")
-        return sets.join(checked_broadcast(keys), "key", "left_semi").groupBy("key").agg(F.first("hashes").alias("hashes"))
+        return _contents(named, least_words, shingle).join(checked_broadcast(keys), "key", "left_semi").groupBy("key").agg(F.first("hashes").alias("hashes"))
 
     roots = classes(units.select("key", "size", "bands"), contents, similarity)
     placed = found.select("doc_id", "paragraph", "first", "until", "words", "key").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))

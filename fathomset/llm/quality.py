@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .common import fresh, quoted, strings
+from .common import fresh, quoted, text_groups
 
 #: Labelled rows the fit reads, about (a uniform sample by hash), whatever the input's size.
 TRAIN_ROWS = 20_000
@@ -65,7 +65,7 @@ def with_features(docs: DataFrame, text: str, out: str) -> DataFrame:
     @F.arrow_udf("array<double>")
     def compute(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            yield pa.array([features(t) for t in strings(column)], pa.list_(pa.float64()))
+            yield pa.array([features(t) for group in text_groups(column) for t in group], pa.list_(pa.float64()))
 
     return docs.withColumn(out, compute(quoted(text)))
 
@@ -201,7 +201,7 @@ def with_quality(docs: DataFrame, model: Model, text: str = "text", out: str = "
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            x = np.array([features(t) for t in strings(column)]).reshape(-1, len(FEATURES))
+            x = np.array([features(t) for group in text_groups(column) for t in group]).reshape(-1, len(FEATURES))
             yield pa.array(sent.value.scores(x))
 
     return docs.withColumn(fresh(docs, out), score(quoted(text)))
