@@ -3,7 +3,7 @@ import random
 import public_tokenizers
 import pytest
 
-from fathomset.llm.token_counts import count_tokens, load_tokenizer, with_token_counts
+from fathomset.llm.token_counts import ChunkCounter, count_tokens, load_tokenizer, with_token_counts
 
 from .frames import awkward, empty
 
@@ -32,3 +32,13 @@ def test_awkward_rows(spark):
     for r in got:
         assert r["n_tokens_"] == len(tokenizer.encode(r["text"] or "", add_special_tokens=False).ids)
     assert with_token_counts(empty(spark)).collect() == []
+
+
+def test_remembered_counts_equal_whole_counts(monkeypatch):
+    monkeypatch.setattr("fathomset.llm.token_counts.MEMO", 40)
+    tokenizer, rng = load_tokenizer(PATH), random.Random(3)
+    counter = ChunkCounter(tokenizer)
+    parts = [*PARTS, "don't", " 'll", "It's", "\u00b2\u00bd", " \u0130", "\u017eena", "\t\t", "\r\n", "a\u0301", "\x1c", "_", "\u00a0"]
+    for _ in range(60):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(12)]
+        assert counter.count(texts) == [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
