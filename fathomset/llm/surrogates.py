@@ -105,9 +105,8 @@ def _name_parts(mention: Column) -> Column:
     return F.transform(F.slice(words, 2, 10), part)
 
 
-def parts_of(mention: Column) -> Column:
-    """The entities of a mention as an array of (kind, canon): one, or one for each part of a name."""
-    kind = kind_of(mention)
+def _parts(mention: Column, kind: Column) -> Column:
+    """The entities of a mention of that kind as an array of (kind, canon): one, or one for each part of a name."""
     canon = (F.when(kind == "email", F.lower(mention)).when(kind.isin("phone", "card", "ssn"), _digits(mention))
              .when(kind == "iban", F.replace(mention, F.lit(" "), F.lit(""))).otherwise(mention))
     none = F.array().cast("array<struct<kind:string,canon:string>>")
@@ -115,6 +114,15 @@ def parts_of(mention: Column) -> Column:
             .otherwise(F.array(F.struct(kind.alias("kind"), canon.alias("canon")))))
 
 
+def analysed(found: Column) -> Column:
+    """Mentions as (m, p): the mention and its entities, none where a check digit fails.
+
+    Each step is a transform of its own, so that a kind is found once however often it is asked for.
+    """
+    kinds = F.transform(found, lambda m: F.struct(m.alias("m"), kind_of(m).alias("k")))
+    return F.transform(kinds, lambda x: F.struct(x["m"].alias("m"), _parts(x["m"], x["k"]).alias("p")))
+
+
 def _draw(hexes: Column, i: Column) -> Column:
     """The i-th number 0 to 255 of an entity's keyed stream (i from 0)."""
     return F.conv(F.substring(hexes, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
@@ -203,9 +211,8 @@ def _written_like(mention: Column, stand_in: Column, moved: str) -> Column:
     return F.aggregate(_chars(mention), start, each, lambda a: a["o"])
 
 
-def _rendered(mention: Column, stand_ins: Column) -> Column:
-    """A mention with its parts replaced; ``stand_ins`` maps kind:canon to stand-in."""
-    own = parts_of(mention)
+def _rendered(mention: Column, own: Column, stand_ins: Column) -> Column:
+    """A mention with its entities ``own`` replaced; ``stand_ins`` maps kind:canon to stand-in."""
     look = lambda p: stand_ins[F.concat(p["kind"], F.lit(":"), p["canon"])]
     kind, one = own[0]["kind"], look(own[0])
     word = lambda p, w: F.when(w == F.upper(w), F.upper(look(p))).otherwise(F.initcap(F.replace(look(p), F.lit("-"), F.lit("- "))))
@@ -228,18 +235,18 @@ def with_surrogates(docs: DataFrame, text: str = "text", count: str | None = "n_
     number = fresh(docs, count or "n_entities")
     plain = docs.where(~F.coalesce(held, F.lit(False))).withColumn(number, F.lit(0).cast("long"))
     found, mark, table = fresh(docs, "mentions"), fresh(docs, "text_hash"), fresh(docs, "stand_ins")
-    marked = docs.where(held).withColumn(found, mentions(body)).withColumn(mark, F.xxhash64(body))
+    marked = docs.where(held).withColumn(found, analysed(mentions(body))).withColumn(mark, F.xxhash64(body))
     # a text's entities; equal texts once, so that a text with many copies weighs as one
-    entities = settle(marked.select(F.col(mark).alias("h"), F.explode(F.array_distinct(F.flatten(F.transform(quoted(found), parts_of)))).alias("p"))
+    entities = settle(marked.select(F.col(mark).alias("h"), F.explode(F.array_distinct(F.flatten(F.transform(quoted(found), lambda x: x["p"])))).alias("p"))
                       .select("h", "p.kind", "p.canon").distinct())
     chosen = assign(entities, key)
     per_text = (entities.join(chosen, ["kind", "canon"]).groupBy("h")
                 .agg(F.map_from_entries(F.collect_list(F.struct(F.concat("kind", F.lit(":"), "canon"), "stand_in"))).alias(table)).withColumnRenamed("h", mark + "of"))
     joined = marked.join(checked_broadcast(per_text), quoted(mark) == quoted(mark + "of"), "left")
     pieces = F.split(body, ANY, -1)
-    new = F.array_join(F.zip_with(pieces, F.transform(quoted(found), lambda m: _rendered(m, quoted(table))), lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
+    new = F.array_join(F.zip_with(pieces, F.transform(quoted(found), lambda x: _rendered(x["m"], x["p"], quoted(table))), lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
     changed = F.when(quoted(table).isNull(), body).otherwise(new)
-    n = F.size(F.filter(quoted(found), lambda m: kind_of(m).isNotNull())).cast("long")
+    n = F.size(F.filter(quoted(found), lambda x: F.size(x["p"]) > 0)).cast("long")
     replaced = joined.select(*[(changed if c == text else quoted(c)).alias(c) for c in docs.columns], n.alias(number))
     out = plain.unionByName(replaced)
     return out if count else out.drop(number)
