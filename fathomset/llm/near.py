@@ -2,10 +2,10 @@
 
 A *unit* (a document, a paragraph) is known by the hash of its content, so copies are one unit from the start.
 Units that share a band form a bucket.  A bucket is not compared all against all: its units are compared with one
-leader.  Buckets whose units still lie in several components take more and other leaders in the next round, and so on
-until a round finds no new link; a round's work is linear in a bucket's size.  A pair is missed only if no
-bucket it shares ever links the two, directly or over others; two units of similarity ``s`` share a bucket with
-probability ``1 - (1 - s ** rows) ** bands``.
+leader.  Buckets whose units still lie in several components take more and other leaders in the next rounds; a round's
+work is linear in a bucket's size.  What the leaders leave open is finished exactly: all units of buckets that still
+hold several components meet over their rarest hashes (``links_between``).  So a pair is missed only if it shares no
+bucket; two units of similarity ``s`` share one with probability ``1 - (1 - s ** rows) ** bands``.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..session import checked_broadcast, settle
 
 SIMILARITY = 0.8
-#: Leaders of a bucket in the first rounds; later rounds take as many as the last.
+#: Leaders of a bucket in each round; they join the large classes cheaply, and what they leave open is finished exactly.
 LEADERS = (1, 6, 16)
 
 
@@ -58,6 +58,41 @@ def overlap(x: Column, y: Column) -> Column:
     return shared / (F.size(x) + F.size(y) - shared)
 
 
+def links_between(pool: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """Rows (a, b): the roots of all pairs of units of the pool (key, root, size) that are similar and differ in root.
+
+    An exact prefix filter.  All hashes have one order: those found under one root alone first (no pair asked for shares
+    them), then from the rarest to the commonest.  Two similar sets x and y share at least
+    ``similarity / (1 + similarity) * (|x| + |y|)`` hashes, so the first they share lies within the first
+    ``1 - similarity`` of either, and enough of both sets comes after it.  The text of a template, which is common, comes
+    last and is met only by units that hold little else.
+    """
+    tokens = held.join(checked_broadcast(pool.select("key", "root")), "key").select("key", "root", F.explode("hashes").alias("token"))
+    mixed = tokens.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("token", "n")
+    ordered = tokens.select("key", "token").join(mixed, "token").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("last"))
+    spot = F.col("size") - F.size("last") + F.col("i")
+    prefix = settle(ordered.join(checked_broadcast(pool), "key").select("key", "root", "size", "last", F.posexplode("last").alias("i", "t"))
+                    .where(spot <= F.col("size") * (1 - similarity) + 1e-6).select(F.col("t.token").alias("token"), "key", "root", "size", spot.alias("spot")))
+    x, y = (prefix.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("key", "root", "size", "spot")]) for side in "xy")
+    enough = similarity / (1 + similarity) * (F.col("size_x") + F.col("size_y")) - 1e-6
+    pairs = settle(x.join(y, "token").where("root_x < root_y").where(F.least("size_x", "size_y") >= similarity * F.greatest("size_x", "size_y"))
+                   .where(F.least(F.col("size_x") - F.col("spot_x"), F.col("size_y") - F.col("spot_y")) >= enough)
+                   .select("key_x", "root_x", "key_y", "root_y").distinct())
+    return (pairs.join(held.select(F.col("key").alias("key_x"), F.col("hashes").alias("x")), "key_x")
+            .join(held.select(F.col("key").alias("key_y"), F.col("hashes").alias("y")), "key_y")
+            .where(overlap(F.col("x"), F.col("y")) >= similarity)
+            .select(F.col("root_x").alias("a"), F.col("root_y").alias("b")).distinct())
+
+
+def joined_roots(roots: DataFrame | None, near: DataFrame) -> DataFrame:
+    """``roots`` after the links (a, b) between roots."""
+    joined = settle(components(near))
+    if roots is None:
+        return joined
+    moved = roots.join(joined.select(F.col("key").alias("root"), F.col("root").alias("to")), "root", "left")
+    return settle(moved.select("key", F.coalesce("to", "root").alias("root")).union(joined.join(roots, "key", "left_anti").select("key", "root")))
+
+
 def classes(units: DataFrame, contents: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY) -> DataFrame:
     """Rows (key, root) for the units that are linked to others; other units are classes of their own.
 
@@ -69,14 +104,16 @@ def classes(units: DataFrame, contents: Callable[[DataFrame], DataFrame], simila
     shared = each.groupBy(*at).agg(F.count("*").alias("n")).where("n > 1")
     each = settle(each.join(shared.drop("n"), at))
     held = settle(contents(each.select("key").distinct()))
-    roots, tried = None, 0
-    while True:
+    roots: DataFrame | None = None
+
+    def placed() -> DataFrame:
         if roots is None:
-            members = each.withColumn("root", F.col("key"))
-        else:
-            members = each.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+            return each.withColumn("root", F.col("key"))
+        return each.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+
+    for tried, count in enumerate(LEADERS):
+        members = placed()
         # the leader of a bucket is the smallest key (which is a hash), the same in all bands; later rounds take others
-        count = LEADERS[min(tried, len(LEADERS) - 1)]
         ranks = [F.xxhash64("key", F.lit(100 * tried + i)) for i in range(count)] if tried else [F.col("key")]
         chosen = [F.min(F.struct(r.alias("r"), "key", "root", "size")).alias(f"l{i}") for i, r in enumerate(ranks)]
         leaders = (members.groupBy(*at).agg(*chosen, F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
@@ -91,13 +128,14 @@ def classes(units: DataFrame, contents: Callable[[DataFrame], DataFrame], simila
                       .select(F.col("root").alias("a"), F.col("leader_root").alias("b")).distinct())
         if near.head(1):
             # links join components found so far: only their roots take part
-            joined = settle(components(near))
-            if roots is None:
-                roots = joined
-            else:
-                moved = roots.join(joined.select(F.col("key").alias("root"), F.col("root").alias("to")), "root", "left")
-                roots = settle(moved.select("key", F.coalesce("to", "root").alias("root")).union(joined.join(roots, "key", "left_anti").select("key", "root")))
+            roots = joined_roots(roots, near)
         elif tried:
             break
-        tried += 1
+    members = placed()
+    several = members.groupBy(*at).agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select(*at)
+    pool = settle(members.join(several, at, "left_semi").select("key", "root", "size").distinct())
+    if pool.head(1):
+        near = settle(links_between(pool, held, similarity))
+        if near.head(1):
+            roots = joined_roots(roots, near)
     return each.select("key", F.col("key").alias("root")).limit(0) if roots is None else roots
