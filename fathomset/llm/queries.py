@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Entry
 from . import language_id, quality
+from .alignment import with_agreement
 from .bagminhash import with_classes
 from .common import remainder_is, table
 from .fingerprints import compare_edits
@@ -101,6 +102,12 @@ def token_counts(spark: SparkSession, folder: str) -> DataFrame:
                                           (F.col("n_tokens") > LIMIT_TOKENS).alias("over_limit"))
 
 
+def token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    found = with_agreement(table(spark, folder, "documents").select("doc_id", "text"))
+    fields = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+    return found.select("doc_id", *[F.col("agreement")[c].alias(c) for c in fields])
+
+
 def text_catalogue() -> dict[str, Entry]:
     return {
         "op1_language_id": Entry(languages, "1", None),
@@ -113,5 +120,6 @@ def text_catalogue() -> dict[str, Entry]:
         "op8_decontamination": Entry(decontamination, "8", DECONTAMINATION_SQL),
         "op9_packing": Entry(packing, "9", None),
         "op10_token_counts": Entry(token_counts, "10", None),
+        "op11_token_alignment": Entry(token_alignment, "11", None),
         "pipeline": Entry(corpus_pipeline.run, "1 6 8 5 9", corpus_pipeline.ORACLE_SQL),
     }
