@@ -6,10 +6,6 @@ B's proto) are the coarse cuts: where a span is as long in bytes as its token's
 that share a character (pieces of a multibyte character, byte-fallback pieces) have spans of other lengths; they are
 refined by the lengths of their decoded bytes.  The decoded bytes joined must be the text, or it has no tokens at all.
 
-Texts are encoded in units.  A unit ends before a single space between two solid characters: A's pre-tokeniser starts a
-pre-token at such a space, and no piece of B holds the space mark behind another character, so no merge crosses it.  A
-worker encodes a unit once and remembers what it found.  Vocabularies without these properties get whole texts as units.
-
 Corpus counts are sums over (text, distinct pair) rows; they are joined as a broadcast while their table is small and by
 a shuffle beyond that.
 """
@@ -17,10 +13,9 @@ a shuffle beyond that.
 from __future__ import annotations
 
 import functools
-import json
-import re
+import itertools
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from hashlib import sha256
 
 import numpy as np
@@ -29,7 +24,6 @@ import public_tokenizers
 import sentencepiece
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from sentencepiece import sentencepiece_model_pb2
 from tokenizers import Tokenizer
 
 from ..session import checked_broadcast, settle
@@ -38,12 +32,8 @@ from .token_counts import load_tokenizer
 
 #: A pair of ids is the number ``a * WIDTH + b``.
 WIDTH = 1 << 24
-#: Units (and their bytes) that a worker remembers at most.
-MEMO_UNITS, MEMO_BYTES = 100_000, 32 << 20
-#: Between two characters that are space or format characters in no version of Unicode.
-_ODD = [*range(0x21), *range(0x7F, 0xA1), 0xAD, 0x1680, 0x180E, *range(0x2000, 0x2010), *range(0x2028, 0x2030), *range(0x205F, 0x2070), 0x3000, 0xFEFF]
-_SOLID = f"[^{re.escape(''.join(map(chr, _ODD)))}]"
-_UNIT_END = re.compile(f"(?<={_SOLID}) (?={_SOLID})")
+#: Bytes of texts that are encoded at a time.
+GROUP = 1 << 18
 SPACE_MARK = chr(0x2581)
 
 _DIGEST = "struct<n_a:long,n_b:long,n_groups:long,n_links:long,groups_sha256:string,pairs:array<long>,times:array<int>>"
@@ -63,15 +53,27 @@ def _piece_bytes(model: sentencepiece.SentencePieceProcessor, i: int) -> bytes:
     return b"" if model.is_control(i) or model.is_unknown(i) else model.id_to_piece(i).replace(SPACE_MARK, " ").encode()
 
 
+def _sizes(parts: list[bytes]) -> np.ndarray:
+    return np.array([len(p) for p in parts], np.int64)
+
+
+def _written(n: int, ends: str) -> np.ndarray:
+    """The numbers below n as text, each with either of two characters behind it: entry ``2 * id + which``."""
+    return np.array([f"{i}{e}" for i in range(n) for e in ends], object)
+
+
 @dataclass
 class Encoders:
-    """The two libraries' encoders with the bytes of every token."""
+    """The two libraries' encoders with the bytes, byte lengths and texts of every id."""
 
     a: Tokenizer
     b: sentencepiece.SentencePieceProcessor
     a_bytes: list[bytes]
     b_bytes: list[bytes]
-    in_units: bool
+
+    def __post_init__(self):
+        self.a_sizes, self.b_sizes = _sizes(self.a_bytes), _sizes(self.b_bytes)
+        self.a_written, self.b_written = _written(len(self.a_bytes), ",|"), _written(len(self.b_bytes), ",;")
 
     @classmethod
     def load(cls, a_path: str, b_path: str) -> Encoders:
@@ -82,35 +84,30 @@ class Encoders:
         a_bytes = [b""] * a.get_vocab_size(with_added_tokens=True)
         for piece, i in a.get_vocab(with_added_tokens=True).items():
             a_bytes[i] = piece.encode() if i in added else bytes(alphabet[c] for c in piece)
-        spec = json.loads(a.to_str())
-        pre = spec["pre_tokenizer"] or {}
-        model = sentencepiece_model_pb2.ModelProto()
-        model.ParseFromString(b.serialized_model_proto())
-        normal = model.normalizer_spec
-        apart = not any(re.search(f"[^{SPACE_MARK}]{SPACE_MARK}", p.piece) for p in model.pieces)
-        plain = normal.name == "identity" and normal.add_dummy_prefix and normal.escape_whitespaces and not normal.remove_extra_whitespaces
-        level = spec["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
-        return cls(a, b, a_bytes, [_piece_bytes(b, i) for i in range(b.get_piece_size())], bool(apart and plain and level))
-
-    def units(self, text: str) -> list[str]:
-        return _UNIT_END.split(text) if self.in_units else [text]
-
-    def aligned(self, units: list[str]) -> Iterator[Aligned | None]:
-        """For each unit, which stands behind a space, its tokens and groups; None if the bytes are not the unit's."""
-        encoded = self.a.encode_batch([" " + u for u in units], add_special_tokens=False)
-        for unit, x, y in zip(units, encoded, self.b.encode(units, return_type="proto"), strict=True):
-            text = " " + unit
-            whole = text.encode()
-            a, b = x.ids, [p.id for p in y.pieces]
-            parts_a, parts_b = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-            if b"".join(parts_a) != whole or b"".join(parts_b) != whole:
-                yield None
-                continue
-            at = range(len(text) + 1) if len(whole) == len(text) else np.cumsum([0, *(len(c.encode()) for c in text)]).tolist()
-            ends_a = byte_ends([(at[s], at[e]) for s, e in x.offsets], parts_a)
-            # B's spans count from the text behind the space, which its first piece takes in
-            ends_b = byte_ends([(p.begin + 1 if k else 0, p.end + 1) for k, p in enumerate(y.pieces)], parts_b)
-            yield Aligned.of(a, ends_a, b, ends_b)
+        return cls(a, b, a_bytes, [_piece_bytes(b, i) for i in range(b.get_piece_size())])
+
+    def aligned(self, texts: list[str]) -> Iterator[Aligned | None]:
+        """For each text its tokens and their cuts; None for an empty one and where the bytes are not the text's."""
+        whole = [t for t in texts if t]
+        found = zip(whole, self.a.encode_batch([" " + t for t in whole], add_special_tokens=False), self.b.encode(whole, return_type="proto"), strict=True)
+        for text in texts:
+            yield self._aligned(*next(found)) if text else None
+
+    def _aligned(self, text: str, x, y) -> Aligned | None:
+        data, pieces = (" " + text).encode(), y.pieces
+        a, b = x.ids, [p.id for p in pieces]
+        if b"".join(map(self.a_bytes.__getitem__, a)) != data or b"".join(map(self.b_bytes.__getitem__, b)) != data:
+            return None
+        spans = np.fromiter(itertools.chain.from_iterable(x.offsets), np.int64, 2 * len(a)).reshape(-1, 2)
+        if len(data) > len(text) + 1:
+            # from characters to bytes: a character begins at every byte that continues none
+            begins = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
+            spans = np.append(begins, len(data))[spans]
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        ends_a = byte_ends(spans[:, 0], spans[:, 1], self.a_sizes[a])
+        # B's spans are bytes of the text behind the space, which its first piece takes in; each begins where the last ends
+        until = np.array([p.end for p in pieces], np.int64) + 1
+        return Aligned(a, ends_a, b, byte_ends(np.append(0, until[:-1]), until, self.b_sizes[b]))
 
 
 @functools.cache
@@ -118,94 +115,71 @@ def encoders(a_path: str, b_path: str) -> Encoders:
     return Encoders.load(a_path, b_path)
 
 
-def byte_ends(spans: list[tuple[int, int]], parts: list[bytes]) -> list[int]:
-    """Where each token ends: at its span's end if the span has the token's length, else after its decoded bytes."""
-    ends, last = [], 0
-    for (begin, end), part in zip(spans, parts, strict=True):
-        last = end if begin == last and end - begin == len(part) else last + len(part)
-        ends.append(last)
-    return ends
+def byte_ends(begins: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Where each token ends: at its span's end if the span has the token's length, else as many bytes on as its decoded bytes are."""
+    behind = np.cumsum(sizes)
+    coarse = np.where(ends - begins == sizes, np.arange(len(sizes)), -1)
+    last = np.maximum.accumulate(coarse)  # the last cut taken from a span
+    known = last >= 0
+    return np.where(known, ends[last] - behind[last], 0) + behind
 
 
 @dataclass
 class Aligned:
-    """Tokens of a text: groups (a ids, b ids, end byte) between common ends, and the pairs that overlap."""
-
-    groups: list[tuple[list[int], list[int], int]]
-    pairs: list[int]
-
-    @classmethod
-    def of(cls, a: list[int], ends_a: list[int], b: list[int], ends_b: list[int]) -> Aligned:
-        groups, pairs, i, j, from_a, from_b = [], [], 0, 0, 0, 0
-        while i < len(a):
-            pairs.append(a[i] * WIDTH + b[j])
-            x, y = ends_a[i], ends_b[j]
-            i, j = i + (x <= y), j + (y <= x)
-            if x == y:
-                groups.append((a[from_a:i], b[from_b:j], x))
-                from_a, from_b = i, j
-        return cls(groups, pairs)
-
-    def written(self) -> str:
-        return ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b, _ in self.groups)
-
-
-@dataclass
-class Memory:
-    """What was found in the units a worker has met."""
-
-    tools: Encoders
-    at: dict[str, int] = field(default_factory=dict)
-    held: list[Aligned | None] = field(default_factory=list)
-    written: list[str] = field(default_factory=list)
-    counts: list[tuple[int, int, int, int]] = field(default_factory=list)
-    pairs: list[np.ndarray] = field(default_factory=list)
-    size: int = 0
-
-    def places(self, units_of: list[list[str]]) -> list[list[int]]:
-        """Where each unit of each text is held; forgets all units before it takes in too many."""
-        seen = set().union(*units_of)
-        new = [u for u in seen if u not in self.at]
-        if self.at and (len(self.at) + len(new) > MEMO_UNITS or self.size > MEMO_BYTES):
-            self.at, self.held, self.written, self.counts, self.pairs, self.size = {}, [], [], [], [], 0
-            new = list(seen)
-        for u, found in zip(new, self.tools.aligned(new), strict=True):
-            self.at[u] = len(self.held)
-            self.held.append(found)
-            self.written.append(found.written() if found else "")
-            n = [sum(len(g[0]) for g in found.groups), sum(len(g[1]) for g in found.groups), len(found.groups), len(found.pairs)] if found else [0] * 4
-            self.counts.append(tuple(n))
-            self.pairs.append(np.array(found.pairs if found else [], np.int64))
-            self.size += 20 * len(u)
-        return [list(map(self.at.__getitem__, units)) for units in units_of]
-
-
-def _found_in(memory: Memory, column: pa.Array) -> Iterator[list[list[int]]]:
-    """By groups of texts: where the units of each text are held, none for texts without tokens."""
-    for group in text_groups(column):
-        placed = memory.places([memory.tools.units(t) if t else [] for t in group])
-        yield [[] if any(memory.held[i] is None for i in p) else p for p in placed]
+    """Ids of both tokenizers over one text and the byte at which each token ends."""
+
+    a: np.ndarray
+    ends_a: np.ndarray
+    b: np.ndarray
+    ends_b: np.ndarray
+
+    def common(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each group the number of tokens up to its end, in A and in B."""
+        cuts = np.intersect1d(self.ends_a, self.ends_b, assume_unique=True)
+        return np.searchsorted(self.ends_a, cuts) + 1, np.searchsorted(self.ends_b, cuts) + 1
+
+    def pairs(self) -> np.ndarray:
+        """The pairs that overlap: between two neighbouring cuts of either lies one token of each."""
+        cuts = np.union1d(self.ends_a, self.ends_b)
+        return self.a[np.searchsorted(self.ends_a, cuts)] * WIDTH + self.b[np.searchsorted(self.ends_b, cuts)]
+
+    def written(self, tools: Encoders) -> str:
+        """``a1,a2|b1;a3|b2,b3``: the ids of each group."""
+        upto_a, upto_b = self.common()
+        ends = np.zeros(len(self.a), np.int64), np.zeros(len(self.b), np.int64)
+        ends[0][upto_a - 1], ends[1][upto_b - 1] = 1, 1
+        out = np.empty(len(self.a) + len(self.b), object)
+        # a token of A stands behind the B tokens of earlier groups, one of B behind the A tokens of its own group too
+        group_a, group_b = np.cumsum(ends[0]) - ends[0], np.cumsum(ends[1]) - ends[1]
+        out[np.arange(len(self.a)) + np.append(0, upto_b)[group_a]] = tools.a_written[2 * self.a + ends[0]]
+        out[np.arange(len(self.b)) + upto_a[group_b]] = tools.b_written[2 * self.b + ends[1]]
+        return "".join(out.tolist())[:-1]
 
 
 def _digest(a_path: str, b_path: str):
     @F.arrow_udf(_DIGEST)
     def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        memory = Memory(encoders(a_path, b_path))
+        tools = encoders(a_path, b_path)
         for column in batches:
-            counts, hashes, pairs, times = [], [], [], []
-            for placed in _found_in(memory, column):
-                all_counts = np.array(memory.counts, np.int64).reshape(-1, 4)
-                for p in placed:
-                    counts.append(all_counts[p].sum(axis=0) if p else np.zeros(4, np.int64))
-                    hashes.append(sha256(";".join(map(memory.written.__getitem__, p)).encode()).hexdigest() if p else "")
-                    values, n = np.unique(np.concatenate([memory.pairs[i] for i in p]), return_counts=True) if p else (np.zeros(0, np.int64),) * 2
-                    pairs.append(values)
-                    times.append(n.astype(np.int32))
-            ends = np.cumsum([0, *map(len, pairs)]).astype(np.int32)
-            columns = [*(pa.array(c) for c in np.array(counts, np.int64).reshape(-1, 4).T), pa.array(hashes, pa.string())]
-            columns += [pa.ListArray.from_arrays(ends, np.concatenate([x[:0] for x in xs[:1]] + xs)) if xs else pa.array([], pa.list_(t))
-                        for xs, t in ((pairs, pa.int64()), (times, pa.int32()))]
-            yield pa.StructArray.from_arrays(columns, ["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"])
+            counts, hashes, pairs, times = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for group in text_groups(column, GROUP):
+                for found in tools.aligned(group):
+                    if found is None:
+                        counts.append((0, 0, 0, 0, 0))
+                        hashes.append("")
+                        continue
+                    links = found.pairs()
+                    own, n = np.unique(links, return_counts=True)
+                    counts.append((len(found.a), len(found.b), len(found.common()[0]), len(links), len(own)))
+                    hashes.append(sha256(found.written(tools).encode()).hexdigest())
+                    pairs.append(own)
+                    times.append(n)
+            table = np.array(counts, np.int64).reshape(-1, 5)
+            ends = np.append(0, np.cumsum(table[:, 4])).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x), t)) for x, t in ((pairs, pa.int64()), (times, pa.int64()))]
+            lists[1] = lists[1].cast(pa.list_(pa.int32()))
+            yield pa.StructArray.from_arrays([*(pa.array(table[:, i]) for i in range(4)), pa.array(hashes, pa.string()), *lists],
+                                             ["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"])
 
     return digest
 
@@ -220,17 +194,15 @@ def with_groups(docs: DataFrame, text: str = "text", out: str = "groups", a_path
 
     @F.arrow_udf(_GROUPS)
     def groups(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        memory = Memory(encoders(a_path, b_path))
+        tools = encoders(a_path, b_path)
         kind = pa.list_(pa.struct([("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32())), ("end", pa.int64())]))
         for column in batches:
             rows = []
-            for placed in _found_in(memory, column):
-                for p in placed:
-                    own, base = [], 0
-                    for i in p:
-                        own += [{"a": a, "b": b, "end": base + end} for a, b, end in memory.held[i].groups]
-                        base = own[-1]["end"]
-                    rows.append(own)
+            for group in text_groups(column, GROUP):
+                for found in tools.aligned(group):
+                    upto_a, upto_b = found.common() if found else ((), ())
+                    rows.append([{"a": found.a[i:k].tolist(), "b": found.b[j:m].tolist(), "end": int(found.ends_a[k - 1])}
+                                 for i, k, j, m in zip([0, *upto_a], upto_a, [0, *upto_b], upto_b)])
             yield pa.array(rows, kind)
 
     return docs.withColumn(fresh(docs, out), groups(quoted(text)))

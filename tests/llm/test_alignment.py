@@ -2,13 +2,13 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from fathomset.llm import alignment
-from fathomset.llm.alignment import Aligned, Memory, byte_ends, encoders, with_agreement, with_groups
+from fathomset.llm.alignment import Aligned, byte_ends, encoders, with_agreement, with_groups
 
 from .frames import awkward, empty
 
@@ -78,27 +78,14 @@ def test_equals_whole_texts_both_joins(spark, monkeypatch, rows, bound):
     assert sum(r[0] > 0 for r in got.values()) > 50 and any(t and not got[i][0] for i, t in enumerate(texts))
 
 
-def test_units_equal_whole_texts(monkeypatch):
-    monkeypatch.setattr(alignment, "MEMO_UNITS", 30)
-    tools = encoders(A_PATH, B_PATH)
-    assert tools.in_units
-    memory = Memory(tools)
-    for seed in range(20):
-        texts = [t for t in mixed_texts(12, seed) if t]
-        placed = memory.places([tools.units(t) for t in texts])
-        for t, p, whole in zip(texts, placed, tools.aligned(texts), strict=True):
-            parts = [memory.held[i] for i in p]
-            assert (whole is None) == any(x is None for x in parts)
-            if whole:
-                assert [g[:2] for x in parts for g in x.groups] == [g[:2] for g in whole.groups]
-                assert [v for x in parts for v in x.pairs] == whole.pairs
-
-
 def test_spans_are_refined_by_decoded_bytes():
     # three tokens share the span of one three-byte character, then a token with a span of its own
-    assert byte_ends([(0, 1), (1, 4), (1, 4), (1, 4), (4, 6)], [b"x", b"\xe6", b"\x97", b"\xa5", b"yz"]) == [1, 2, 3, 4, 6]
-    found = Aligned.of([1, 2], [2, 4], [7, 8, 9], [1, 3, 4])
-    assert found.groups == [([1, 2], [7, 8, 9], 4)] and len(found.pairs) == 4
+    ends = byte_ends(np.array([0, 1, 1, 1, 4]), np.array([1, 4, 4, 4, 6]), np.array([1, 1, 1, 1, 2]))
+    assert ends.tolist() == [1, 2, 3, 4, 6]
+    assert byte_ends(np.array([0, 0]), np.array([2, 2]), np.array([1, 1])).tolist() == [1, 2]
+    found = Aligned(np.array([1, 2]), np.array([2, 4]), np.array([7, 8, 9]), np.array([1, 3, 4]))
+    assert [x.tolist() for x in found.common()] == [[2], [3]] and len(found.pairs()) == 4
+    assert found.written(encoders(A_PATH, B_PATH)) == "1,2|7,8,9"
 
 
 def test_groups_and_awkward_rows(spark):
