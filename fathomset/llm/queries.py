@@ -15,8 +15,10 @@ from .fingerprints import compare_edits
 from .katz import score_texts
 from .paragraphs import repeated_paragraphs
 from .packing import pack_documents
+from .suffixes import without_repeats
 from .surrogates import with_surrogates
 from .token_counts import n_bytes, with_token_counts
+from .whitening import usable, whiten
 from .winnowing import with_contamination
 
 LIMIT_TOKENS = 1024
@@ -108,6 +110,26 @@ def token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *[F.col("agreement")[c].alias(c) for c in fields])
 
 
+def repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    found = without_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    r = F.col("repeats")
+    return found.select("doc_id", n_bytes(F.col("text")).alias("n_bytes"), r.n_removed.alias("n_removed"), F.size(r.spans).cast("long").alias("n_spans"),
+                        F.sha2(r.kept, 256).alias("kept_sha256"))
+
+
+#: Whole numbers from the entries of a vector: so many per unit, from so many on; entries beyond the range stand at its end.
+GRID, ORIGIN, RANGE = 64, 1_000_000, 1 << 52
+
+
+def whitened_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    on_grid = lambda c: F.greatest(F.least(F.floor(GRID * c.cast("double")), F.lit(RANGE)), F.lit(-RANGE)).cast("long") + ORIGIN
+    v = table(spark, folder, "embeddings").where(usable(F.col("embedding"))).select("vec_id", F.transform("embedding", on_grid).alias("x"))
+    w = F.col("whitened")
+    found = whiten(v, "x").select("vec_id", w.n.alias("n"), F.expr("try_cast(whitened.deviation AS bigint)").alias("deviation"), w.identity_error.alias("identity_error"),
+                                  F.posexplode(F.arrays_zip(w["values"].alias("whitened"), w.explained.alias("explained"))).alias("i", "c"))
+    return found.select("vec_id", (F.col("i") + 1).alias("component"), "n", "deviation", F.col("c.whitened").alias("whitened"), F.col("c.explained").alias("explained"), "identity_error")
+
+
 def text_catalogue() -> dict[str, Entry]:
     return {
         "op1_language_id": Entry(languages, "1", None),
@@ -121,5 +143,7 @@ def text_catalogue() -> dict[str, Entry]:
         "op9_packing": Entry(packing, "9", None),
         "op10_token_counts": Entry(token_counts, "10", None),
         "op11_token_alignment": Entry(token_alignment, "11", None),
+        "op12_repeated_bytes": Entry(repeated_bytes, "12", None),
+        "op13_whitening": Entry(whitened_embeddings, "13", None),
         "pipeline": Entry(corpus_pipeline.run, "1 6 8 5 9", corpus_pipeline.ORACLE_SQL),
     }
