@@ -5,7 +5,8 @@ number's digits, each part of a name), so that differently written mentions of o
 surrogate is drawn by a keyed hash of kind, canonical form and attempt, in the entity's own format: digits for
 digits, letters for letters, check digits made right, given names of the same gender, names in the same script.
 The distinct entities of the whole table are checked: no two of a kind share a surrogate and none gets one that is
-another's real value; those that would are drawn again.
+another's real value; those that would are drawn again, after some attempts from a wider format.  What holds no letter or digit to
+replace (a masked secret) is no entity and stays as written.
 """
 
 from __future__ import annotations
@@ -17,10 +18,13 @@ from ..session import checked_broadcast, settle
 from .common import fresh, quoted
 
 KEY = "surrogates"
+#: Attempts after which a secret or an address may be replaced by a longer one.
+NARROW = 6
 
 # How entities are written, titles that tell a gender, and names to draw from.
 _SECRET = r"(?:(?<!\w)(?:AKIA[A-Z0-9]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})(?!\w)|(?<!\w)(?i:password|passwd|pwd|secret|api_key|apikey|token)\s?[=:]\s?[\"']?[^\s\"']{6,})"
-_EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
+_SECRET_LEAD = r"^(?:AKIA|ghp_|sk-|(?i:password|passwd|pwd|secret|api_key|apikey|token)\s?[=:]\s?[\"']?)"
+_EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-][A-Za-z0-9.\-]*\.[A-Za-z]{2,}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _IP = rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)"
 _IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
@@ -38,6 +42,11 @@ _GIVEN_MALE = ["Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Georg", "Hugo
 _GIVEN_FEMALE = ["Alice", "Bella", "Clara", "Diana", "Emma", "Flora", "Greta", "Helen", "Irene", "Julia", "Karin", "Laura", "Maria", "Nora", "Olga", "Paula"]
 _GIVEN_MALE_CYRILLIC = ["Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Иван", "Кирилл", "Лев", "Максим", "Олег", "Павел", "Роман", "Семён", "Тимур", "Фёдор"]
 _GIVEN_FEMALE_CYRILLIC = ["Алла", "Белла", "Вера", "Галина", "Дарья", "Елена", "Зоя", "Ирина", "Клара", "Лидия", "Мария", "Нина", "Ольга", "Полина", "Раиса", "Софья"]
+# Letters to draw from for letters beyond ASCII, by script and case; letters of other scripts, and all that no case fits, become plain ones.
+_SCRIPTS = [(r"[\p{IsCyrillic}&&\p{Lu}]", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"), (r"\p{IsCyrillic}", "абвгдежзиклмнопрстуфхцчшэюя"), (r"[\p{IsGreek}&&\p{Lu}]", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"),
+            (r"\p{IsGreek}", "αβγδεζηθικλμνξοπρστυφχψω"), (r"\p{IsHan}", "山川水火木金土日月人口中大小上下左右田石"), (r"\p{IsHiragana}", "あいうえおかきくけこさしすせそたちつてと"), (r"\p{IsKatakana}", "アイウエオカキクケコサシスセソタチツテト"),
+            (r"\p{IsHangul}", "가나다라마바사아자차카타파하고노도로모보"), (r"\p{IsArabic}", "ابتثجحخدذرزسشصضطعغفقكلمنهوي"), (r"\p{IsHebrew}", "אבגדהוזחטיכלמנסעפצקרשת"), (r"\p{Lu}", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+            (r"\p{L}", "abcdefghijklmnopqrstuvwxyz"), (r"\p{N}", "0123456789")]
 _SYLLABLES = ["ba", "co", "du", "fe", "gi", "ha", "ko", "lu", "ma", "ne", "po", "ri", "sa", "to", "vi", "ze"]
 _SYLLABLES_CYRILLIC = ["ба", "во", "гу", "де", "жи", "за", "ко", "лу", "ма", "не", "по", "ри", "са", "то", "фи", "хо"]
 
@@ -56,7 +65,12 @@ def _digits(text: Column) -> Column:
 
 
 def _chars(text: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(text, i, F.lit(1)))
+    return F.split(text, "")
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.transform(F.array(value), body)[0]
 
 
 def _luhn_sum(digits: Column, doubled: int) -> Column:
@@ -110,7 +124,8 @@ def _parts(mention: Column, kind: Column) -> Column:
     canon = (F.when(kind == "email", F.lower(mention)).when(kind.isin("phone", "card", "ssn"), _digits(mention))
              .when(kind == "iban", F.replace(mention, F.lit(" "), F.lit(""))).otherwise(mention))
     none = F.array().cast("array<struct<kind:string,canon:string>>")
-    return (F.when(kind == "name", _name_parts(mention)).when(kind.isNull(), none)
+    free = F.when(kind == "secret", F.regexp_replace(mention, _SECRET_LEAD, "")).when(kind == "email", F.regexp_replace(mention, r"\.[^.]*$", "")).otherwise(mention)
+    return (F.when(kind == "name", _name_parts(mention)).when(kind.isNull() | ~free.rlike(r"[\p{L}\p{N}]"), none)
             .otherwise(F.array(F.struct(kind.alias("kind"), canon.alias("canon")))))
 
 
@@ -124,24 +139,32 @@ def analysed(found: Column) -> Column:
 
 
 def _draw(hexes: Column, i: Column) -> Column:
-    """The i-th number 0 to 255 of an entity's keyed stream (i from 0)."""
-    return F.conv(F.substring(hexes, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
+    """The i-th number 0 to 255 of an entity's keyed stream (i from 0), an array of hexadecimal digits."""
+    return F.conv(F.concat(F.get(hexes, i * 2), F.get(hexes, i * 2 + 1)), 16, 10).cast("int")
 
 
 def _pick(values: list[str], n: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), n % len(values) + 1)
 
 
+def _moved(c: Column, n: Column) -> Column:
+    """A letter or digit of the same script and case; other characters stay."""
+    out = (F.when(c.rlike("[0-9]"), (n % 10).cast("string")).when(c.rlike("[a-z]"), F.chr(n % 26 + 97)).when(c.rlike("[A-Z]"), F.chr(n % 26 + 65)))
+    for rx, letters in _SCRIPTS:
+        out = out.when(c.rlike(rx), F.substring(F.lit(letters), n % len(letters) + 1, F.lit(1)))
+    return out.otherwise(c)
+
+
 def _like(canon: Column, hexes: Column, kept: Column, until: Column, hexadecimal: Column) -> Column:
     """Letters for letters and digits for digits; characters up to ``kept`` and after ``until`` stay."""
-    def each(c: Column, i: Column) -> Column:
-        n = _draw(hexes, i)
-        return (F.when((i < kept) | (i >= until), c)
-                .when(hexadecimal & c.rlike("[0-9a-f]"), F.substring(F.lit("0123456789abcdef"), n % 16 + 1, F.lit(1)))
-                .when(c.rlike("[0-9]"), (n % 10).cast("string"))
-                .when(c.rlike("[a-z]"), F.chr(n % 26 + 97)).when(c.rlike("[A-Z]"), F.chr(n % 26 + 65)).otherwise(c))
+    bounds = F.struct(kept.alias("kept"), until.alias("until"), hexadecimal.alias("hexadecimal"))
+    return _let(bounds, lambda b: F.array_join(F.transform(_chars(canon), lambda c, i: _within(c, i, hexes, b)), ""))
 
-    return F.array_join(F.transform(_chars(canon), each), "")
+
+def _within(c: Column, i: Column, hexes: Column, bounds: Column) -> Column:
+    n = _draw(hexes, i)
+    return (F.when((i < bounds["kept"]) | (i >= bounds["until"]), c)
+            .when(bounds["hexadecimal"] & c.rlike("[0-9a-f]"), F.substring(F.lit("0123456789abcdef"), n % 16 + 1, F.lit(1))).otherwise(_moved(c, n)))
 
 
 def _names(values: list[str], hexes: Column, count: Column, between: str) -> Column:
@@ -149,12 +172,16 @@ def _names(values: list[str], hexes: Column, count: Column, between: str) -> Col
 
 
 def surrogate(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> Column:
-    """What an entity becomes at an attempt; a later attempt of a name draws from more combinations."""
-    block = lambda b: F.sha2(F.concat(F.lit(key + "|"), F.sha2(F.concat_ws("|", F.lit(key), kind, attempt, b, canon), 256)), 512)
-    hexes = F.array_join(F.transform(F.sequence(F.lit(0), (F.length(canon) / 60).cast("int")), block), "")
+    """What an entity becomes at an attempt; later attempts draw from more: longer names, and longer secrets and addresses where a format is so narrow that its values run out."""
+    own = F.sha2(F.concat_ws("|", F.lit(key), kind, attempt, canon), 256)  # the text itself is hashed once, however long it is
+    stream = _let(own, lambda o: F.flatten(F.transform(F.sequence(F.lit(0), (F.length(canon) / 60).cast("int")), lambda b: F.split(F.sha2(F.concat_ws("|", F.lit(key), b, o), 512), ""))))
+    return _let(stream, lambda hexes: _drawn(kind, canon, attempt, hexes))
+
+
+def _drawn(kind: Column, canon: Column, attempt: Column, hexes: Column) -> Column:
     size, no, zero = F.length(canon), F.lit(False), F.lit(0)
     email = _like(canon, hexes, zero, size - F.length(F.substring_index(canon, ".", -1)) - 1, no)
-    prefix = F.length(F.regexp_extract(canon, r"^(AKIA|ghp_|sk-|(?i:password|passwd|pwd|secret|api_key|apikey|token)\s?[=:]\s?[\"']?)", 1))
+    prefix = F.length(F.regexp_extract(canon, _SECRET_LEAD, 0))
     secret = _like(canon, hexes, prefix, size, F.substring(canon, prefix + 1, size).rlike("^[0-9a-f]+$"))
     random = _like(canon, hexes, zero, size, no)
     lead = F.greatest(size - 10, zero)  # a country code stays, area and exchange begin with 2 to 9
@@ -167,8 +194,9 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> C
     country = F.substring(canon, 1, 2)
     iban = F.concat(country, F.lpad((98 - _mod97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0"), account)
     ip = F.concat_ws(".", (_draw(hexes, zero) % 223 + 1).cast("string"), _draw(hexes, F.lit(1)).cast("string"), _draw(hexes, F.lit(2)).cast("string"), _draw(hexes, F.lit(3)).cast("string"))
+    wider = F.when(attempt < NARROW, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(0), attempt - NARROW), lambda i: F.chr(_draw(hexes, i) % 26 + 97)), ""))
     some, more = (attempt / 3 + 1).cast("int"), (attempt / 3 + 3).cast("int")
-    return (F.when(kind == "email", email).when(kind == "secret", secret).when(kind == "phone", phone).when(kind == "card", card)
+    return (F.when(kind == "email", F.concat(wider, email)).when(kind == "secret", F.concat(secret, wider)).when(kind == "phone", phone).when(kind == "card", card)
             .when(kind == "ip", ip).when(kind == "iban", iban)
             .when(kind == "given_male", F.lower(_names(_GIVEN_MALE, hexes, some, "-")))
             .when(kind == "given_female", F.lower(_names(_GIVEN_FEMALE, hexes, some, "-")))
@@ -200,15 +228,16 @@ def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
 
 def _written_like(mention: Column, stand_in: Column, moved: str) -> Column:
     """A stand-in in a mention's layout: characters matching ``moved`` are replaced in turn, capitals stay capitals."""
-    start = F.struct(F.lit("").alias("o"), F.lit(1).alias("i"))
+    def lay_out(x: Column) -> Column:
+        places = F.aggregate(x["m"], F.struct(F.array().cast("array<string>").alias("o"), F.lit(0).alias("i")), lambda acc, c: _next(acc, c, x["s"]), lambda a: a["o"])
+        return F.array_join(places, "")
 
-    def each(acc: Column, c: Column) -> Column:
-        own = F.substring(stand_in, acc["i"], F.lit(1))
-        own = F.when(c.rlike(r"\p{Lu}"), F.upper(own)).otherwise(own)
+    def _next(acc: Column, c: Column, own: Column) -> Column:
+        one = F.get(own, acc["i"])
+        one = F.when(c.rlike(r"\p{Lu}"), F.upper(one)).otherwise(one)
         moves = c.rlike(moved)
-        return F.struct(F.concat(acc["o"], F.when(moves, own).otherwise(c)).alias("o"), (acc["i"] + moves.cast("int")).alias("i"))
-
-    return F.aggregate(_chars(mention), start, each, lambda a: a["o"])
+        return F.struct(F.array_append(acc["o"], F.when(moves, one).otherwise(c)).alias("o"), (acc["i"] + moves.cast("int")).alias("i"))
+    return _let(F.struct(_chars(mention).alias("m"), _chars(stand_in).alias("s")), lay_out)
 
 
 def _rendered(mention: Column, own: Column, stand_ins: Column) -> Column:
@@ -220,7 +249,9 @@ def _rendered(mention: Column, own: Column, stand_ins: Column) -> Column:
     name = F.concat_ws(" ", words[0], F.array_join(F.zip_with(own, F.slice(words, 2, 10), lambda p, w: F.replace(word(p, w), F.lit("- "), F.lit("-"))), " "))
     out = (F.when(F.size(own) == 0, mention).when(kind.rlike("^(given|family)"), name)
            .when(kind.isin("phone", "card", "ssn"), _written_like(mention, one, "[0-9]"))
-           .when(kind.isin("email", "iban"), _written_like(mention, one, r"\S")).otherwise(one))
+           .when((kind == "email") & (F.length(one) > F.length(mention)), one)
+           .when(kind == "email", F.array_join(F.zip_with(_chars(mention), _chars(one), lambda c, o: F.when(c.rlike(r"\p{Lu}"), F.upper(o)).otherwise(o)), ""))
+           .when(kind == "iban", _written_like(mention, one, r"\S")).otherwise(one))
     return F.coalesce(out, mention)
 
 

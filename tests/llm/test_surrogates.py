@@ -70,3 +70,31 @@ def test_awkward_rows(spark):
     assert all(before[r["doc_id"]] == r["text"] for r in rows if r["doc_id"] in before)
     assert S.with_surrogates(empty(spark)).collect() == []
     assert S.with_surrogates(docs, count=None).columns == docs.columns
+
+
+def test_secrets_without_free_characters_and_other_scripts(spark):
+    texts = ["password=****** and pwd: ------", "token: приветмир", "write to -@-.co", "secret=пароль42", "api_key=ΑΒΓδεζ9", "pwd=密码密码密码", "password=*****7", "token: ******"]
+    got = {k: r for k, r in replaced(spark, texts).items()}
+    for i in (0, 2, 7):
+        assert got[i]["text"] == texts[i] and got[i]["n_entities"] == 0
+    assert re.fullmatch(r"token: [а-яё]{9}", got[1]["text"]) and got[1]["text"] != texts[1]
+    assert re.fullmatch(r"secret=[а-я]{6}\d\d", got[3]["text"]) and got[3]["text"] != texts[3]
+    assert re.fullmatch(r"api_key=[Α-Ω]{3}[α-ω]{3}\d", got[4]["text"]) and re.fullmatch(r"pwd=[一-鿿]{6}", got[5]["text"])
+    assert re.fullmatch(r"password=\*{5}\d", got[6]["text"]) and got[6]["text"] != texts[6]
+
+
+def test_a_format_that_runs_out(spark):
+    # all ten secrets of one format: no value of it is free, so stand-ins grow
+    texts = [f"password=*****{i}" for i in range(10)]
+    got = [r["text"] for r in replaced(spark, texts).values()]
+    assert len(set(got)) == 10 and not set(got) & set(texts)
+    assert all(re.fullmatch(r"password=\*{5}\d[a-z]*", t) for t in got)
+
+
+def test_very_long_texts(spark):
+    domain = "x@" + "a." * 20000 + "com"
+    texts = [domain, "password=" + "k7" * 20000, "words " * 170000 + "a.b@c.example.com", "a@" + "-" * 30000, "1 " * 30000, "+1 " * 20000]
+    got = {k: r["text"] for k, r in replaced(spark, texts).items()}
+    assert got[0] != domain and re.fullmatch(r"[a-z]@(?:[a-z]\.){20000}com", got[0])
+    assert re.fullmatch(r"password=(?:[a-z]\d){20000}", got[1]) and got[1] != texts[1]
+    assert got[2][:-20] == texts[2][:-20] and got[2] != texts[2] and got[3] == texts[3]
