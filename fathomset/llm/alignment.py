@@ -6,6 +6,11 @@ B's proto) are the coarse cuts: where a span is as long in bytes as its token's
 that share a character (pieces of a multibyte character, byte-fallback pieces) have spans of other lengths; they are
 refined by the lengths of their decoded bytes.  The decoded bytes joined must be the text, or it has no tokens at all.
 
+Texts are encoded in units.  A unit ends before a single space between two solid characters: A's pre-tokeniser starts a pre-token at
+such a space, and no piece of B holds the space mark behind another character, so no merge crosses it.  What a worker finds in
+a unit it remembers while there is room; units it does not know are encoded together, as one text of units in a row.  Vocabularies
+without these properties get whole texts as units.
+
 Corpus counts are sums over (text, distinct pair) rows; they are joined as a broadcast while their table is small and by
 a shuffle beyond that.
 """
@@ -14,6 +19,8 @@ from __future__ import annotations
 
 import functools
 import itertools
+import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import sha256
@@ -24,6 +31,7 @@ import public_tokenizers
 import sentencepiece
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from sentencepiece import sentencepiece_model_pb2
 from tokenizers import Tokenizer
 
 from ..session import checked_broadcast, settle
@@ -32,8 +40,14 @@ from .token_counts import load_tokenizer
 
 #: A pair of ids is the number ``a * WIDTH + b``.
 WIDTH = 1 << 24
-#: Bytes of texts that are encoded at a time.
-GROUP = 1 << 18
+#: Bytes of texts that are handled at a time, and characters of units that are encoded as one text.
+GROUP, ROW = 1 << 20, 1 << 16
+#: Units that a worker remembers.
+MEMO = 250_000
+_ODD = frozenset(map(chr, [*range(0x21), *range(0x7F, 0xA1), 0xAD, 0x1680, 0x180E, *range(0x2000, 0x2010), *range(0x2028, 0x2030), *range(0x205F, 0x2070), 0x3000, 0xFEFF]))
+#: A character that is a space or format character in no version of Unicode.
+_SOLID = f"[^{re.escape(''.join(sorted(_ODD)))}]"
+_UNIT_END = re.compile(f"(?<={_SOLID}) (?={_SOLID})")
 SPACE_MARK = chr(0x2581)
 
 _DIGEST = "struct<n_a:long,n_b:long,n_groups:long,n_links:long,groups_sha256:string,pairs:array<long>,times:array<int>>"
@@ -70,6 +84,7 @@ class Encoders:
     b: sentencepiece.SentencePieceProcessor
     a_bytes: list[bytes]
     b_bytes: list[bytes]
+    in_units: bool
 
     def __post_init__(self):
         self.a_sizes, self.b_sizes = _sizes(self.a_bytes), _sizes(self.b_bytes)
@@ -84,7 +99,16 @@ class Encoders:
         a_bytes = [b""] * a.get_vocab_size(with_added_tokens=True)
         for piece, i in a.get_vocab(with_added_tokens=True).items():
             a_bytes[i] = piece.encode() if i in added else bytes(alphabet[c] for c in piece)
-        return cls(a, b, a_bytes, [_piece_bytes(b, i) for i in range(b.get_piece_size())])
+        spec, model = json.loads(a.to_str()), sentencepiece_model_pb2.ModelProto()
+        model.ParseFromString(b.serialized_model_proto())
+        pre, normal = spec["pre_tokenizer"] or {}, model.normalizer_spec
+        apart = not any(re.search(f"[^{SPACE_MARK}]{SPACE_MARK}", p.piece) for p in model.pieces)
+        plain = normal.name == "identity" and normal.add_dummy_prefix and normal.escape_whitespaces and not normal.remove_extra_whitespaces
+        level = spec["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
+        return cls(a, b, a_bytes, [_piece_bytes(b, i) for i in range(b.get_piece_size())], bool(apart and plain and level))
+
+    def units(self, text: str) -> list[str]:
+        return _UNIT_END.split(text) if self.in_units else [text]
 
     def aligned(self, texts: list[str]) -> Iterator[Aligned | None]:
         """For each text its tokens and their cuts; None for an empty one and where the bytes are not the text's."""
@@ -156,23 +180,100 @@ class Aligned:
         return "".join(out.tolist())[:-1]
 
 
+@dataclass
+class Found:
+    """What units hold, in rows: whether they have tokens, numbers of A tokens, B tokens, groups and links, the groups as text, and the links."""
+
+    good: np.ndarray
+    counts: np.ndarray
+    written: list[str]
+    pairs: np.ndarray
+
+    @classmethod
+    def none(cls) -> Found:
+        return cls(np.zeros(0, bool), np.zeros((0, 4), np.int64), [], np.zeros(0, np.int64))
+
+    @classmethod
+    def of(cls, tools: Encoders, found: Aligned | None, sizes: np.ndarray) -> Found:
+        """The parts of an aligned text that end after so many bytes each, where both tokenizers cut."""
+        if found is None:
+            return cls(np.zeros(1, bool), np.zeros((1, 4), np.int64), [""], np.zeros(0, np.int64))
+        ends, pairs = np.cumsum(sizes), found.pairs()
+        upto_a, _ = found.common()
+        until = np.stack([np.searchsorted(cuts, ends) + 1 for cuts in (found.ends_a, found.ends_b, found.ends_a[upto_a - 1], np.union1d(found.ends_a, found.ends_b))], axis=1)
+        groups, stops = found.written(tools).split(";"), [0, *until[:, 2].tolist()]
+        return cls(np.ones(len(sizes), bool), np.diff(until, axis=0, prepend=0), [";".join(groups[i:j]) for i, j in itertools.pairwise(stops)], pairs)
+
+    @staticmethod
+    def joined(parts: list[Found]) -> Found:
+        return Found(np.concatenate([p.good for p in parts]), np.concatenate([p.counts for p in parts]), list(itertools.chain.from_iterable(p.written for p in parts)), np.concatenate([p.pairs for p in parts]))
+
+
+class Memory:
+    """Units that were met, the earliest ones for good and others for one group of texts."""
+
+    def __init__(self, tools: Encoders):
+        self.tools, self.at, self.held = tools, {}, Found.none()
+
+    def encoded(self, units: list[str]) -> tuple[list[str], Found]:
+        """The units in another order, and what they hold."""
+        # a row of units needs solid ends, and the bytes of a unit with the space mark are never its text's
+        alone = [u for u in units if not self.tools.in_units or u[0] in _ODD or u[-1] in _ODD or SPACE_MARK in u]
+        apart = set(alone)
+        parts, order = [Found.none()], alone
+        for u, found in zip(alone, self.tools.aligned(alone), strict=True):
+            parts.append(Found.of(self.tools, found, np.array([1 + len(u.encode())])))
+        row, size = [], 0
+        for u in itertools.chain((u for u in units if u not in apart), [None]):
+            if row and (u is None or size > ROW):
+                found = next(self.tools.aligned([" ".join(row)]))
+                if found is not None:
+                    parts.append(Found.of(self.tools, found, np.array([1 + len(x.encode()) for x in row])))
+                else:  # some unit of the row is not given back
+                    parts += [Found.of(self.tools, one, np.array([1 + len(x.encode())])) for x, one in zip(row, self.tools.aligned(row), strict=True)]
+                order = order + row
+                row, size = [], 0
+            if u is not None:
+                row.append(u)
+                size += len(u) + 1
+        return order, Found.joined(parts)
+
+    def find(self, texts: list[str]) -> tuple[list[list[int]], Found]:
+        """For each text where its units stand in the rows that are returned too; none where a unit has no tokens."""
+        units_of = [self.tools.units(t) if t else [] for t in texts]
+        at = self.at
+        new, found = self.encoded(list(set().union(*units_of).difference(at)))
+        rows = Found.joined([self.held, found])
+        more = dict(zip(new, range(len(at), len(at) + len(new))))
+        if self.tools.in_units and len(at) + len(new) <= MEMO:
+            at.update(more)
+            self.held = rows
+        places = [[at[u] if u in at else more[u] for u in units] for units in units_of]
+        return [p if rows.good[p].all() else [] for p in places], rows
+
+
 def _digest(a_path: str, b_path: str):
     @F.arrow_udf(_DIGEST)
     def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tools = encoders(a_path, b_path)
+        memory = Memory(encoders(a_path, b_path))
         for column in batches:
             counts, hashes, pairs, times = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for group in text_groups(column, GROUP):
-                for found in tools.aligned(group):
-                    if found is None:
+                places, rows = memory.find(group)
+                begins = np.cumsum(rows.counts[:, 3]) - rows.counts[:, 3]
+                for p in places:
+                    if not p:
                         counts.append((0, 0, 0, 0, 0))
                         hashes.append("")
                         continue
-                    links = found.pairs()
-                    own, n = np.unique(links, return_counts=True)
-                    counts.append((len(found.a), len(found.b), len(found.common()[0]), len(links), len(own)))
-                    hashes.append(sha256(found.written(tools).encode()).hexdigest())
-                    pairs.append(own)
+                    at = np.array(p)
+                    own = rows.counts[at]
+                    # the links of one unit after another
+                    step = np.arange(own[:, 3].sum()) + np.repeat(begins[at] - np.cumsum(own[:, 3]) + own[:, 3], own[:, 3])
+                    values, n = np.unique(rows.pairs[step], return_counts=True)
+                    counts.append((*own.sum(axis=0).tolist(), len(values)))
+                    hashes.append(sha256(";".join(map(rows.written.__getitem__, p)).encode()).hexdigest())
+                    pairs.append(values)
                     times.append(n)
             table = np.array(counts, np.int64).reshape(-1, 5)
             ends = np.append(0, np.cumsum(table[:, 4])).astype(np.int32)

@@ -8,7 +8,8 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from fathomset.llm.alignment import Aligned, byte_ends, encoders, with_agreement, with_groups
+from fathomset.llm import alignment
+from fathomset.llm.alignment import Aligned, Memory, byte_ends, encoders, with_agreement, with_groups
 
 from .frames import awkward, empty
 
@@ -88,6 +89,25 @@ def test_spans_are_refined_by_decoded_bytes():
     assert found.written(encoders(A_PATH, B_PATH)) == "1,2|7,8,9"
 
 
+def test_units_equal_whole_texts(monkeypatch):
+    monkeypatch.setattr(alignment, "ROW", 40)
+    monkeypatch.setattr(alignment, "MEMO", 60)
+    tools = encoders(A_PATH, B_PATH)
+    assert tools.in_units
+    memory = Memory(tools)
+    for seed in range(25):
+        texts = mixed_texts(12, seed)
+        places, rows = memory.find(texts)
+        begins = np.append(0, np.cumsum(rows.counts[:, 3]))
+        for t, p, whole in zip(texts, places, tools.aligned(texts), strict=True):
+            assert bool(p) == (whole is not None)
+            if p:
+                assert ";".join(rows.written[i] for i in p) == whole.written(tools)
+                assert np.concatenate([rows.pairs[begins[i]:begins[i + 1]] for i in p]).tolist() == whole.pairs().tolist()
+                assert rows.counts[p].sum(axis=0).tolist() == [len(whole.a), len(whole.b), len(whole.common()[0]), len(whole.pairs())]
+    assert 0 < len(memory.at) <= 60
+
+
 def test_groups_and_awkward_rows(spark):
     docs = awkward(spark)
     got = with_groups(docs.withColumnRenamed("lang", "groups")).select("text", "groups_").collect()
