@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.ranking import average_ranks, value_ranks
+from ..functions.special import chi2_sf, fisher_exact, mann_whitney_p
 from ..functions.text import CLOCK_PATTERN, any_date, clock_hours
 
 # fixed values: first matching rule decides a covariate's category
@@ -41,20 +42,30 @@ def contingency(levels: DataFrame, keys: list[str], a: str, b: str) -> DataFrame
 
 
 def cramers_v(cells: DataFrame, keys: list[str], constant: float | None = 0.0) -> DataFrame:
-    """V, χ² and n per key from contingency counts.
+    """V, χ², its p-value and n per key from contingency counts.
 
     Only observed cells are touched: Σ(o−e)²/e over the full table equals Σo²/e − n, and cells absent
-    from the data contribute nothing to Σo²/e.  ``constant`` is the value for a one-level variable.
+    from the data contribute nothing to Σo²/e.  ``constant`` is the value for a one-level variable.  A 2 × 2 table has
+    Fisher's exact p, a larger one the χ² tail; a one-level variable has none.
     """
     rows = cells.groupBy(*keys, "a").agg(F.sum("n").alias("_ra"))
     cols = cells.groupBy(*keys, "b").agg(F.sum("n").alias("_cb"))
     ratio = F.col("n") * F.col("n") / (F.col("_ra") * F.col("_cb"))
     s = (cells.join(rows, [*keys, "a"]).join(cols, [*keys, "b"]).groupBy(*keys)
-         .agg(F.sum("n").alias("n"), F.sum(ratio).alias("_r"), F.count_distinct("a").alias("n_a"),
-              F.count_distinct("b").alias("n_b")))
+         .agg(F.sum("n").alias("n"), F.sum(ratio).alias("_r"), F.count_distinct("a").alias("n_a"), F.count_distinct("b").alias("n_b"),
+              F.min(F.struct("a", "_ra")).alias("_first_a"), F.min(F.struct("b", "_cb")).alias("_first_b")))
+    corner = cells.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("n").alias("_corner"))
+    same = (F.col("_first_a.a") == F.col("_a")) & (F.col("_first_b.b") == F.col("_b"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    s = s.join(corner, same, "left").withColumn("_corner", F.coalesce("_corner", F.lit(0)))
     k = F.least("n_a", "n_b") - 1
+    chi2 = F.col("n") * (F.col("_r") - 1)
     v = F.when(k >= 1, F.sqrt(F.greatest(F.lit(0.0), F.col("_r") - 1) / k)).otherwise(F.lit(constant))
-    return s.select(*keys, "n", "n_a", "n_b", F.when(k >= 1, F.col("n") * (F.col("_r") - 1)).alias("chi2"), v.alias("v"))
+    c, ra, cb = F.col("_corner"), F.col("_first_a._ra"), F.col("_first_b._cb")
+    exact = fisher_exact(c, ra - c, cb - c, F.col("n") - ra - cb + c)
+    p = F.when((F.col("n_a") == 2) & (F.col("n_b") == 2), exact).when(k >= 1, chi2_sf(chi2, (F.col("n_a") - 1) * (F.col("n_b") - 1)))
+    return s.select(*keys, "n", "n_a", "n_b", F.when(k >= 1, chi2).alias("chi2"), v.alias("v"), p.alias("p_value"))
 
 
 # ---- nesting and estimable pairs --------------------------------------------------------------------------------
@@ -154,7 +165,7 @@ def usable_covariates(long: DataFrame, kinds: DataFrame, keys: list[str]) -> Dat
 
 
 def two_group_screen(long: DataFrame, keys: list[str]) -> DataFrame:
-    """Per variable: AUROC (numeric) or Cramér's V (categorical) between two groups, and one-sided missingness.
+    """Per variable: AUROC (numeric) or Cramér's V (categorical) between two groups with its p-value, and one-sided missingness.
 
     ``long`` has ``positive`` (boolean), ``kind``, ``level`` (text) and ``x`` (typed number or NULL).
     """
@@ -165,8 +176,9 @@ def two_group_screen(long: DataFrame, keys: list[str]) -> DataFrame:
     ranks = value_ranks(long.where("x IS NOT NULL AND kind <> 'categorical'"), keys, "x", extra={"p": F.sum(pos)})
     u = F.sum(F.col("p") * (F.col("n_below") + (F.col("n_eq") + 1) / 2.0)) - F.sum("p") * (F.sum("p") + 1) / 2.0
     auc = F.try_divide(u, F.sum("p") * (F.max("n_total") - F.sum("p")))
-    num = ranks.groupBy(*keys).agg(F.greatest(auc, 1 - auc).alias("sep"))
-    v = cramers_v(contingency(long.where("kind = 'categorical'"), keys, "level", "positive"), keys, None).select(*keys, F.col("v").alias("sepc"))
+    ties = F.sum(F.pow("n_eq", 3) - F.col("n_eq"))
+    num = ranks.groupBy(*keys).agg(F.greatest(auc, 1 - auc).alias("sep"), mann_whitney_p(auc, F.sum("p"), F.max("n_total") - F.sum("p"), ties).alias("p_num"))
+    v = cramers_v(contingency(long.where("kind = 'categorical'"), keys, "level", "positive"), keys, None).select(*keys, F.col("v").alias("sepc"), F.col("p_value").alias("p_cat"))
     out = base.join(num, keys, "left").join(v, keys, "left")
     one = (((F.col("missing_neg") >= MISSING_HIGH) & (F.col("missing_pos") <= MISSING_LOW))
            | ((F.col("missing_pos") >= MISSING_HIGH) & (F.col("missing_neg") <= MISSING_LOW)))
@@ -175,7 +187,7 @@ def two_group_screen(long: DataFrame, keys: list[str]) -> DataFrame:
     limit = F.when(F.col("sep").isNotNull(), SEPARATES_AUROC).otherwise(SEPARATES_V)
     return out.select(*keys, "kind", "n", "n_pos", F.round("missing_pos", 6).alias("missing_pos"),
                       F.round("missing_neg", 6).alias("missing_neg"), stat.alias("stat"), F.round(sep, 6).alias("separation"),
-                      one.alias("one_sided_missing"), (one | F.coalesce(sep >= limit, F.lit(False))).alias("separates"))
+                      F.round(F.coalesce("p_num", F.when(F.col("sepc").isNotNull(), F.col("p_cat"))), 6).alias("p_value"), one.alias("one_sided_missing"), (one | F.coalesce(sep >= limit, F.lit(False))).alias("separates"))
 
 
 def screen_summary(screen: DataFrame, over: str = "class") -> DataFrame:

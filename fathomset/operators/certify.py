@@ -2,58 +2,14 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window as W
 
 from ..functions.hashing import unit_hash
-
-
-def _beta_fraction(x: float, a: float, b: float) -> float:
-    """Continued fraction of the incomplete beta function (modified Lentz)."""
-    tiny, c, d = 1e-300, 1.0, 1.0 - (a + b) * x / (a + 1.0)
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 20_000):
-        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
-                    -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d, c = 1.0 + num * d, 1.0 + num / c
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = c if abs(c) > tiny else tiny
-            h *= d * c
-        if abs(d * c - 1.0) < 1e-14:
-            break
-    return h
-
-
-def beta_cdf(x: float, a: float, b: float) -> float:
-    """Regularised incomplete beta function."""
-    if x <= 0.0 or x >= 1.0:
-        return float(x >= 1.0)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-    if x < (a + 1.0) / (a + b + 2.0):
-        return front * _beta_fraction(x, a, b) / a
-    return 1.0 - front * _beta_fraction(1.0 - x, b, a) / b
-
-
-def beta_quantile(p: float, a: float, b: float) -> float:
-    lo, hi = 0.0, 1.0
-    for _ in range(60):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if beta_cdf(mid, a, b) < p else (lo, mid)
-    return (lo + hi) / 2
-
-
-def binomial_upper(err: pd.Series, n: pd.Series, delta: pd.Series) -> pd.Series:
-    """Exact one-sided upper bound on an error rate: the (1 − δ) quantile of Beta(err + 1, n − err)."""
-    return pd.Series([1.0 if m == 0 or e >= m else beta_quantile(1 - d, e + 1.0, m - e) for e, m, d in zip(err, n, delta)])
-
-
-exact_upper = F.pandas_udf(binomial_upper, DoubleType())
+from ..functions.special import binomial_upper
 
 
 def hoeffding_upper(err: str, n: str, delta: str) -> Column:
@@ -68,7 +24,7 @@ def certify_table(errors: DataFrame, run: list[str], config: list[tuple[float, f
     """Every (run, k, α, δ) with its bound and whether the descending sequence is still unbroken there."""
     grid = F.explode(F.array(*[F.struct(F.lit(a).alias("alpha"), F.lit(d).alias("delta")) for a, d in config]))
     t = errors.withColumn("_g", grid).select(*run, "k", "n", "n_err", "_g.alpha", "_g.delta")
-    ucb = hoeffding_upper("n_err", "n", "delta") if bound == "hoeffding" else exact_upper("n_err", "n", "delta")
+    ucb = hoeffding_upper("n_err", "n", "delta") if bound == "hoeffding" else binomial_upper(F.col("n_err"), F.col("n"), F.col("delta"))
     over = W.partitionBy(*run, "alpha", "delta").orderBy(F.desc("k")).rowsBetween(W.unboundedPreceding, 0)
     return (t.withColumn("ucb", ucb)
             .withColumn("certified", F.min(F.col("ucb") <= F.col("alpha")).over(over)))
@@ -99,3 +55,24 @@ def zero_error_sizes(group_count: DataFrame, config: list[tuple[float, float]])
     t = group_count.withColumn("_g", grid).select("n_groups", "_g.alpha", "_g.delta")
     need = F.ceil(F.log("delta") / F.log(1 - F.col("alpha")))
     return t.select("alpha", "delta", need.alias("needed"), (F.col("n_groups") >= need).alias("enough"))
+
+
+def validity(certified: DataFrame, test_errors: DataFrame, split: list[str]) -> DataFrame:
+    """The test error at each certified size and whether it keeps α; NULL where nothing is certified."""
+    test = test_errors.withColumnRenamed("k", "certified_k")
+    return certified.join(test, [*split, "certified_k"], "left").withColumn("test_within_alpha", F.col("test_err") <= F.col("alpha"))
+
+
+def size_distribution(certified: DataFrame, sizes: Sequence[int], keys: Sequence[str] = ("loss",)) -> DataFrame:
+    """For every size, the share of the splits that are certified with at most so many features."""
+    each = certified.withColumn("k", F.explode(F.array(*[F.lit(k) for k in sizes])))
+    within = F.coalesce(F.col("certified_k") <= F.col("k"), F.lit(False))
+    return each.groupBy(*keys, "k").agg(F.count(F.lit(1)).alias("n_splits"), F.avg(within.cast("int")).alias("frac_certified"))
+
+
+def grid_summary(certified: DataFrame, k_of_interest: int, keys: Sequence[str] = ("loss",)) -> DataFrame:
+    """Per (α, δ): splits certified within ``k_of_interest``, certified at all, and the median certified size."""
+    k = F.col("certified_k")
+    return certified.groupBy(*keys, "alpha", "delta").agg(
+        F.count(F.lit(1)).alias("n_splits"), F.round(F.avg(F.coalesce(k <= k_of_interest, F.lit(False)).cast("int")), 6).alias("frac_certified_k"),
+        F.round(F.avg(k.isNotNull().cast("int")), 6).alias("frac_any_certified"), F.percentile(k, F.lit(0.5)).alias("median_certified_k"))

@@ -81,6 +81,6 @@ def auroc(df: DataFrame, keys: list[str], score: str, positive: str) -> DataFram
     ranks = value_ranks(df, keys, score, extra={"n_pos": F.sum(F.col(positive).cast("long"))})
     avg_rank = F.col("n_below") + (F.col("n_eq") + 1) / 2.0
     s = ranks.groupBy(*keys).agg(F.sum(F.col("n_pos") * avg_rank).alias("_r"), F.sum("n_pos").alias("n_pos"),
-                                 F.max("n_total").alias("n"))
+                                 F.max("n_total").alias("n"), F.sum(F.pow("n_eq", 3) - F.col("n_eq")).alias("tie_sum"))
     u = F.col("_r") - F.col("n_pos") * (F.col("n_pos") + 1) / 2.0
-    return s.select(*keys, "n", "n_pos", F.try_divide(u, F.col("n_pos") * (F.col("n") - F.col("n_pos"))).alias("auroc"))
+    return s.select(*keys, "n", "n_pos", F.try_divide(u, F.col("n_pos") * (F.col("n") - F.col("n_pos"))).alias("auroc"), "tie_sum")

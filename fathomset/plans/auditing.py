@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.ranking import average_ranks, exact_quantiles
+from ..functions.special import correlation_p
 from ..functions.text import any_date, clock_hours, well_position
 from ..operators import audit as A
 from ..operators.matrices import log_cpm
@@ -16,6 +17,19 @@ CELLS = """,
 cov AS (SELECT class, variable, level FROM (SELECT class, status, segment, nation, yr::VARCHAR AS yr FROM ord) UNPIVOT (level FOR variable IN (status, segment, nation, yr)))"""
 
 
+def gamma_sf_sql(a: str, x: str) -> str:
+    """DuckDB text of the upper incomplete gamma function, by the series of the lower one (six digits)."""
+    return (f"(CASE WHEN {x} <= 0 THEN 1 WHEN {x} > 250 + 4 * ({a}) THEN 0 ELSE greatest(0, 1 - list_sum(list_transform(range(0, 900), "
+            f"lambda i: exp(({a} + i) * ln({x}) - ({x}) - lgamma({a} + i + 1))))) END)")
+
+
+def t_two_sided_sql(t: str, df: str) -> str:
+    """DuckDB text of Student's two-sided tail, by the series of the incomplete beta function."""
+    y, q = f"({t} * {t} / ({df} + {t} * {t}))", f"({df} / 2.0)"
+    return (f"(CASE WHEN {y} <= 0 THEN 1 ELSE greatest(0, 1 - list_sum(list_transform(range(0, 600), "
+            f"lambda i: exp((0.5 + i) * ln({y}) + {q} * ln(1 - {y}) + lgamma(0.5 + {q} + i) - lgamma(1.5 + i) - lgamma({q}))))) END)")
+
+
 def _covariates(spark, sf):
     """(sample, class, variable, level) rows of the orders lens."""
     o = orders_o(spark, sf).withColumn("yr", F.col("yr").cast("string"))
@@ -35,15 +49,16 @@ def cramers_v(spark, sf):
     return v.select("variable", "n", "n_a", "n_b", F.round("v", 6).alias("v"))
 
 
-@query("association_chi2", "A10 F2", f"WITH {O_ROWS}{CELLS}" + """
-SELECT variable, round(n * (r - 1), 6) AS chi2, ((n_a - 1) * (n_b - 1))::BIGINT AS dof, round(greatest(0, r - 1) / (least(n_a, n_b) - 1), 6) AS v2 FROM (
+@query("association_chi2", "A10 F2", f"WITH {O_ROWS}{CELLS}" + f"""
+SELECT variable, round(n * (r - 1), 6) AS chi2, ((n_a - 1) * (n_b - 1))::BIGINT AS dof, round(greatest(0, r - 1) / (least(n_a, n_b) - 1), 6) AS v2,
+  round(CASE WHEN n_a > 1 AND n_b > 1 THEN {gamma_sf_sql('(n_a - 1) * (n_b - 1) / 2.0', 'greatest(0, n * (r - 1)) / 2')} END, 6) AS p_value FROM (
   SELECT variable, sum(n) AS n, count(DISTINCT class) AS n_a, count(DISTINCT level) AS n_b, sum(n * n / (ra * cb)) AS r FROM (
     SELECT *, sum(n) OVER (PARTITION BY variable, class) AS ra, sum(n) OVER (PARTITION BY variable, level) AS cb
     FROM (SELECT variable, class, level, count(*)::DOUBLE AS n FROM cov GROUP BY ALL)) GROUP BY variable)""")
 def association_chi2(spark, sf):
     v = A.cramers_v(A.contingency(_covariates(spark, sf), ["variable"], "class", "level"), ["variable"])
     return v.select("variable", F.round("chi2", 6).alias("chi2"), ((F.col("n_a") - 1) * (F.col("n_b") - 1)).alias("dof"),
-                    F.round(F.col("v") ** 2, 6).alias("v2"))
+                    F.round(F.col("v") ** 2, 6).alias("v2"), F.round("p_value", 6).alias("p_value"))
 
 
 # suppliers: class = nation; processing variables of the lines they ship
@@ -166,14 +181,17 @@ sx AS (SELECT class, variable, kind, level, dom > 15 AS positive, CASE kind WHEN
    WHEN 'datetime' THEN date_diff('day', DATE '2018-01-01', coalesce(try_strptime(level, '%Y-%m-%d'), try_strptime(level, '%m/%d/%Y'))::DATE)::DOUBLE END AS x FROM lg JOIN kd USING (variable)),
 bs AS (SELECT class, variable, kind, avg((level IS NULL)::INT) FILTER (WHERE positive) AS mp, avg((level IS NULL)::INT) FILTER (WHERE NOT positive) AS mn, sum(positive::INT)::BIGINT AS n_pos, count(*) AS n FROM sx GROUP BY ALL),
 rk AS (SELECT class, variable, positive, rank() OVER (PARTITION BY class, variable ORDER BY x) + (count(*) OVER (PARTITION BY class, variable, x) - 1) / 2.0 AS ar FROM sx WHERE x IS NOT NULL AND kind <> 'categorical'),
-au AS (SELECT class, variable, (sum(ar) FILTER (WHERE positive) - count(*) FILTER (WHERE positive) * (count(*) FILTER (WHERE positive) + 1) / 2.0) / (count(*) FILTER (WHERE positive) * count(*) FILTER (WHERE NOT positive)) AS a FROM rk GROUP BY ALL),
+au AS (SELECT class, variable, (sum(ar) FILTER (WHERE positive) - count(*) FILTER (WHERE positive) * (count(*) FILTER (WHERE positive) + 1) / 2.0) / (count(*) FILTER (WHERE positive) * count(*) FILTER (WHERE NOT positive)) AS a, count(*) FILTER (WHERE positive)::DOUBLE AS np, count(*) FILTER (WHERE NOT positive)::DOUBLE AS nn FROM rk GROUP BY ALL),
+ti AS (SELECT class, variable, sum(t * t * t - t)::DOUBLE AS ties FROM (SELECT class, variable, count(*) AS t FROM sx WHERE x IS NOT NULL AND kind <> 'categorical' GROUP BY class, variable, x) GROUP BY ALL),
+zz AS (SELECT class, variable, pow(greatest(abs(a * np * nn - np * nn / 2) - 0.5, 0), 2) / nullif(np * nn / 12 * (np + nn + 1 - ties / ((np + nn) * (np + nn - 1))), 0) / 2 AS h, np * nn > 0 AS both_ FROM au JOIN ti USING (class, variable)),
+pz AS (SELECT class, variable, CASE WHEN both_ THEN """ + gamma_sf_sql("0.5", "coalesce(h, 0)") + """ END AS p_num FROM zz),
 ct AS (SELECT class, variable, level, positive, count(*)::DOUBLE AS n FROM sx WHERE kind = 'categorical' AND level IS NOT NULL GROUP BY ALL),
-vv AS (SELECT class, variable, CASE WHEN least(count(DISTINCT level), count(DISTINCT positive)) > 1 THEN sqrt(greatest(0, sum(n * n / (ra * cb)) - 1) / (least(count(DISTINCT level), count(DISTINCT positive)) - 1)) END AS v FROM (
+vv AS (SELECT class, variable, CASE WHEN least(count(DISTINCT level), count(DISTINCT positive)) > 1 THEN sqrt(greatest(0, sum(n * n / (ra * cb)) - 1) / (least(count(DISTINCT level), count(DISTINCT positive)) - 1)) END AS v, sum(n) * (sum(n * n / (ra * cb)) - 1) / 2 AS hx, (count(DISTINCT level) - 1) * (count(DISTINCT positive) - 1) / 2.0 AS hd FROM (
   SELECT *, sum(n) OVER (PARTITION BY class, variable, level) AS ra, sum(n) OVER (PARTITION BY class, variable, positive) AS cb FROM ct) GROUP BY ALL),
 sc AS (SELECT bs.class, bs.variable, bs.kind, n, n_pos, round(mp, 6) AS missing_pos, round(mn, 6) AS missing_neg, CASE WHEN a IS NOT NULL THEN 'auroc' WHEN v IS NOT NULL THEN 'cramers_v' END AS stat,
-  coalesce(greatest(a, 1 - a), v) AS sep, ((mn >= 0.8 AND mp <= 0.2) OR (mp >= 0.8 AND mn <= 0.2)) AS one_sided_missing,
+  coalesce(greatest(a, 1 - a), v) AS sep, round(coalesce(p_num, CASE WHEN v IS NOT NULL THEN """ + gamma_sf_sql("hd", "greatest(0, hx)") + """ END), 6) AS p_value, ((mn >= 0.8 AND mp <= 0.2) OR (mp >= 0.8 AND mn <= 0.2)) AS one_sided_missing,
   ((mn >= 0.8 AND mp <= 0.2) OR (mp >= 0.8 AND mn <= 0.2)) OR coalesce(coalesce(greatest(a, 1 - a), v) >= CASE WHEN a IS NOT NULL THEN 0.95 ELSE 0.9 END, false) AS separates
-  FROM bs LEFT JOIN au USING (class, variable) LEFT JOIN vv USING (class, variable))"""
+  FROM bs LEFT JOIN au USING (class, variable) LEFT JOIN vv USING (class, variable) LEFT JOIN pz USING (class, variable))"""
 
 
 def _screen(spark, sf):
@@ -442,14 +460,14 @@ def variable_level(spark, sf):
 
 @query("sign_consistency", "A32 W5", f"""WITH {E_ROWS}, r AS (SELECT class, hour % 4 AS cell, rank() OVER w + (count(*) OVER (PARTITION BY class, hour % 4, value) - 1) / 2.0 AS rv, rank() OVER w2 + (count(*) OVER (PARTITION BY class, hour % 4, k) - 1) / 2.0 AS rk FROM ev
   WINDOW w AS (PARTITION BY class, hour % 4 ORDER BY value), w2 AS (PARTITION BY class, hour % 4 ORDER BY k)), c AS (SELECT class, cell, corr(rv, rk) AS rho, count(*) AS n FROM r GROUP BY ALL)
-SELECT class, count(*) AS n_cells, round(quantile_cont(rho, 0.5), 6) AS median_rho, count(*) FILTER (WHERE rho > 0) AS n_positive FROM c GROUP BY class""")
+SELECT class, count(*) AS n_cells, round(quantile_cont(rho, 0.5), 6) AS median_rho, count(*) FILTER (WHERE rho > 0) AS n_positive, count(*) FILTER (WHERE n >= 3 AND """ + t_two_sided_sql("rho * sqrt((n - 2) / (1 - rho * rho))", "(n - 2)") + """ < 0.05) AS n_p05 FROM c GROUP BY class""")
 def sign_consistency(spark, sf):
     e = events_e(spark, sf).select("class", (F.col("hour") % 4).alias("cell"), "value", "k", "sample_id")
     r = average_ranks(e, ["class", "cell"], "value", "rv").drop("n_total")
     r = average_ranks(r, ["class", "cell"], "k", "rk")
-    c = r.groupBy("class", "cell").agg(F.corr("rv", "rk").alias("rho"))
+    c = r.groupBy("class", "cell").agg(F.corr("rv", "rk").alias("rho"), F.count(F.lit(1)).alias("n")).withColumn("p", correlation_p(F.col("rho"), F.col("n")))
     return c.groupBy("class").agg(F.count(F.lit(1)).alias("n_cells"), F.round(F.percentile("rho", F.lit(0.5)), 6).alias("median_rho"),
-                                  F.count_if(F.col("rho") > 0).alias("n_positive"))
+                                  F.count_if(F.col("rho") > 0).alias("n_positive"), F.count_if(F.col("p") < 0.05).alias("n_p05"))
 
 
 @query("percent_rank", "W6 W10", f"""WITH {E_ROWS} SELECT sample_id, class, round((rank() OVER (PARTITION BY class ORDER BY value) + (count(*) OVER (PARTITION BY class, value) - 1) / 2.0) / count(*) OVER (PARTITION BY class), 6) AS pct,
