@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.conformal import DIGITS
@@ -83,3 +85,25 @@ def contrast(terms: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
     part = lambda side: F.sum(F.when(F.col("candidate") == F.col(side), F.col("term")))
     return (t.groupBy(*keys, "feature_id", "call", "runner_up")
             .agg((part("call") - part("runner_up")).alias("diff")))
+
+
+def panel_calls(fact: DataFrame, roles: DataFrame, table: DataFrame, panel: DataFrame, sizes: Sequence[int], wanted: Sequence[str] = ("test", "cal")) -> DataFrame:
+    """The nearest centroid of each sample for every panel size, in one pass: rows (fold, role, group_id, sample_id, class, k, call).
+
+    A panel feature is one row with its place and an array of class means, so facts are multiplied neither by classes nor by
+    sizes; what a sample collects is bounded by the largest panel.
+    """
+    features = (table.groupBy("fold", "feature_id").agg(F.first("sd").alias("sd"), F.array_sort(F.collect_list(F.struct("candidate", "mu"))).alias("means"))
+                .join(panel.select("fold", "feature_id", "pick").where(F.col("pick") <= max(sizes)), ["fold", "feature_id"]))
+    who = roles.where(F.col("role").isin(list(wanted))).select("fold", "role", "group_id")
+    near = fact.join(checked_broadcast(who), "group_id").join(checked_broadcast(features), ["fold", "feature_id"])
+    gap = F.transform("means", lambda m: F.struct(m["candidate"].alias("candidate"), F.pow((F.col("value") - m["mu"]) / F.col("sd"), 2).alias("d2")))
+    own = near.groupBy("fold", "role", "group_id", "sample_id", "class").agg(F.collect_list(F.struct("pick", gap.alias("gaps"))).alias("seen"))
+
+    def nearest(k: int) -> Column:
+        spread = F.flatten(F.transform(F.filter("seen", lambda s: s["pick"] <= k), lambda s: s["gaps"]))
+        names = F.array_distinct(F.transform(spread, lambda g: g["candidate"]))
+        total = F.transform(names, lambda c: F.struct(F.round(F.aggregate(F.filter(spread, lambda g: g["candidate"] == c), F.lit(0.0), lambda a, g: a + g["d2"]), DIGITS).alias("d2"), c.alias("candidate")))
+        return F.array_min(total)["candidate"]
+    calls = F.array(*[F.struct(F.lit(k).alias("k"), nearest(k).alias("call")) for k in sizes])
+    return own.select("fold", "role", "group_id", "sample_id", "class", F.inline(calls))

@@ -6,7 +6,7 @@ import importlib
 
 from .registry import CATALOGUE, Entry
 
-FAMILIES = ["splitting", "selecting", "calibrating", "harmonising", "auditing", "resampling", "claiming", "streams", "modelling"]
+FAMILIES = ["splitting", "selecting", "calibrating", "certifying", "harmonising", "auditing", "resampling", "claiming", "streams", "modelling"]
 
 
 def catalogue() -> dict[str, Entry]:
