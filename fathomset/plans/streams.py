@@ -3,10 +3,11 @@
 from pyspark.sql import functions as F
 
 from ..operators import ledger as G
-from ..session import settle
+from ..session import scratch_path, settle
 from ..streaming import scoring as T
+from ..streaming import submissions as U
 from .claiming import LIN, _linear
-from .lenses import E_ROWS, O_ROWS, V_SAMPLES, orders_o
+from .lenses import E_ROWS, O_ROWS, V_SAMPLES, orders_o, table
 from .registry import query
 
 
@@ -28,20 +29,28 @@ sl AS (SELECT submission_id, sample_id, candidate, sum(sz.z * w) + any_value(b)
 se AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY submission_id, sample_id)) AS e FROM sl)
 SELECT submission_id, sample_id, candidate, round(e / sum(e) OVER (PARTITION BY submission_id, sample_id), 9) AS p FROM se""")
 def stream_submissions(spark, sf):
+    """Samples arrive in several files, each submission spread over all of them, with an end marker in the last."""
     _, coef, b, _ = _linear(spark, sf)
-    s = T.parquet_stream(spark, sf, "embeddings").select(
-        F.concat(F.lit("v"), "vec_id").alias("sample_id"), F.concat(F.lit("b"), F.col("vec_id") % 7).alias("submission_id"),
-        F.posexplode("embedding").alias("i", "x")).select(
-        "sample_id", "submission_id", F.concat(F.lit("f"), F.lpad(F.col("i").cast("string"), 2, "0")).alias("feature_id"), F.col("x").cast("double").alias("value"))
-    return T.score_submissions(s, coef, settle(b), "submissions")
-
-
-@query("coverage_monitor", "ST3 C5 C15", f"""WITH {E_ROWS} SELECT strftime(time_bucket(INTERVAL '1 day', ts), '%Y-%m-%d') AS day, class, count(*) AS n, round(avg((value <= 70)::INT), 6) AS coverage, round(avg((k >= 90)::INT), 6) AS flag_rate FROM ev GROUP BY ALL""")
+    arriving = table(spark, sf, "embeddings").select(
+        F.concat(F.lit("b"), F.col("vec_id") % 7).alias("submission_id"), F.concat(F.lit("v"), "vec_id").alias("sample_id"),
+        F.timestamp_seconds("vec_id").alias("ts"), F.lit(False).alias("is_end"), F.lit(None).cast("int").alias("declared"), F.col("embedding").cast("array<double>").alias("vector"))
+    ends = arriving.groupBy("submission_id").agg(F.count_distinct("sample_id").cast("int").alias("declared"), F.max("ts").alias("ts")).select(
+        "submission_id", F.lit(None).cast("string").alias("sample_id"), "ts", F.lit(True).alias("is_end"), "declared", F.lit(None).cast("array<double>").alias("vector"))
+    folder = scratch_path(spark, "arriving")
+    arriving.unionByName(ends).repartitionByRange(3, "ts").write.parquet(folder)
+    stream = spark.readStream.schema(U.ARRIVING).option("maxFilesPerTrigger", 1).parquet(folder)
+    name = lambda i: F.concat(F.lit("f"), F.lpad(i.cast("string"), 2, "0"))
+    return U.score_submissions(stream, coef, settle(b), name, "1 hour", "submissions")[0]
+
+
+@query("coverage_monitor", "ST3 C5 C15", f"""WITH {E_ROWS} SELECT strftime(start, '%Y-%m-%d') AS day, class, n, coverage, flag_rate FROM (
+  SELECT time_bucket(INTERVAL '1 day', ts) AS start, class, count(*) AS n, round(avg((value <= 70)::INT), 6) AS coverage, round(avg((k >= 90)::INT), 6) AS flag_rate FROM ev GROUP BY ALL)
+WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) FROM ev) - INTERVAL 2 HOUR""")
 def coverage_monitor(spark, sf):
     e = T.parquet_stream(spark, sf, "events").select(
         F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("class"), (F.col("value") <= 70).cast("double").alias("covered"),
         (F.from_json("props", "k INT")["k"] >= 90).cast("double").alias("flagged"))
-    w = T.run_complete(T.coverage_windows(e, "1 day", "2 hours"), "monitor")
+    w = T.by_batch(T.coverage_windows(e, "1 day", "2 hours"), "monitor")
     return w.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "class", "n", F.round("coverage", 6).alias("coverage"), F.round("flag_rate", 6).alias("flag_rate"))
 
 

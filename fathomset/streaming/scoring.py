@@ -1,13 +1,11 @@
-"""Structured Streaming: score arriving samples, scale within a submission, watch coverage over time."""
+"""Structured Streaming: score arriving samples, watch coverage over time, join late labels."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..models.centroid import linear_logits
-from ..operators.conformal import DIGITS, softmax_over
-from ..operators.matrices import feature_scale, zscore
+from ..operators.conformal import DIGITS
 from ..session import checked_broadcast, scratch_path
 
 
@@ -55,52 +53,44 @@ def run_to_files(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def score_submissions(stream: DataFrame, coef: DataFrame, intercept: DataFrame, name: str) -> DataFrame:
-    """Within-set scaling per submission: each micro-batch holds whole submissions (one file each).
-
-    The batch id is part of the output path, so a replayed batch overwrites itself.
-    """
+def by_batch(stream: DataFrame, name: str, keep=None) -> DataFrame:
+    """Append what each trigger emits to a folder of its own, named by the batch id: a replayed batch overwrites itself."""
     spark = stream.sparkSession
     path, log = scratch_path(spark, name), scratch_path(spark, f"{name}-log")
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        on = ["submission_id", "feature_id"]
-        z = zscore(batch, feature_scale(batch, on), on)
-        p = linear_logits(z, coef, intercept, ["submission_id", "sample_id"]).transform(
-            softmax_over(["submission_id", "sample_id"], "logit"))
-        p.drop("logit").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    (stream.writeStream.foreachBatch(handle).option("checkpointLocation", log)
-     .trigger(availableNow=True).start().awaitTermination())
-    return spark.read.parquet(path).drop("batch")
+    query = (stream.writeStream.outputMode("append").option("checkpointLocation", log)
+             .foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{path}/batch={i}")).trigger(availableNow=True).start())
+    query.awaitTermination()
+    if keep is not None:
+        keep.extend(query.recentProgress)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(path)
 
 
 def coverage_windows(scored: DataFrame, width: str, delay: str) -> DataFrame:
-    """Coverage and flag rate per tumbling window, late rows accepted up to the watermark delay."""
+    """Coverage and flag rate per tumbling window.
+
+    In append mode a window is emitted once, when the watermark has passed its end, and its state is dropped; rows that come later
+    than ``delay`` are dropped too.  Windows that are still open are not part of the result.
+    """
     return (scored.withWatermark("ts", delay).groupBy(F.window("ts", width), "class")
             .agg(F.count(F.lit(1)).alias("n"), F.avg("covered").alias("coverage"), F.avg("flagged").alias("flag_rate"))
             .select(F.col("window.start").alias("window_start"), "class", "n", "coverage", "flag_rate"))
 
 
-def run_complete(stream: DataFrame, name: str) -> DataFrame:
-    """Drain a windowed aggregate in complete mode; each trigger replaces the whole (window-sized) result."""
-    spark = stream.sparkSession
-    path, log = scratch_path(spark, name), scratch_path(spark, f"{name}-log")
-    (stream.writeStream.outputMode("complete").option("checkpointLocation", log)
-     .foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).trigger(availableNow=True).start().awaitTermination())
-    return spark.read.schema(stream.schema).parquet(path)
-
-
 def join_late_labels(scored: DataFrame, labels: DataFrame, on: list[str], within: str, delay: str) -> DataFrame:
-    """Stream–stream join of predictions with labels arriving up to ``within`` later."""
-    p = scored.withWatermark("ts", delay)
-    lab = labels.withWatermark("label_ts", delay)
-    cond = [p[c] == lab[f"label_{c}"] for c in on]
-    cond += [F.col("label_ts") >= F.col("ts"), F.col("label_ts") <= F.col("ts") + F.expr(f"INTERVAL {within}")]
-    both = cond[0]
-    for c in cond[1:]:
-        both = both & c
-    return p.join(lab, both)
+    """Stream–stream join of predictions with labels arriving up to ``within`` later.
+
+    The key holds a time bucket as wide as ``within``, so that one hot user spreads over tasks by time.  A prediction has one
+    bucket and a label is offered to its own and the one before it, so a pair meets exactly once.
+    """
+    width = F.expr(f"INTERVAL {within}")
+    seconds = lambda c: F.unix_micros(F.timestamp_seconds(F.lit(0)) + width) if c is None else F.unix_micros(c)
+    bucket = lambda c: F.floor(seconds(F.col(c)) / seconds(None)).cast("long")
+    p = scored.withWatermark("ts", delay).withColumn("_bucket", bucket("ts"))
+    lab = labels.withWatermark("label_ts", delay).withColumn("_offered", F.explode(F.array(bucket("label_ts"), bucket("label_ts") - 1)))
+    cond = (p["_bucket"] == lab["_offered"]) & (F.col("label_ts") >= F.col("ts")) & (F.col("label_ts") <= F.col("ts") + width)
+    for c in on:
+        cond = cond & (p[c] == lab[f"label_{c}"])
+    return p.join(lab, cond).drop("_bucket", "_offered")
 
 
 def parquet_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
