@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import Evaluator
-from pyspark.ml.feature import (PCA, Imputer, OneHotEncoder, StandardScaler, StringIndexer, UnivariateFeatureSelector,
+from pyspark.ml.feature import (Imputer, OneHotEncoder, StandardScaler, StringIndexer, UnivariateFeatureSelector,
                                 VectorAssembler, VectorSlicer)
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import unit_hash
 from ..operators.effects import moments, one_vs_rest, round_robin, top_variance
 
 # fixed values: grid of inverse penalties, default inverse penalty, inner folds
@@ -96,33 +94,12 @@ def indexed(df: DataFrame, classes: list[str]) -> DataFrame:
     return df.withColumn("label", F.element_at(m, F.col("class")))
 
 
-def tuned_logreg(train: DataFrame, features: str, n_train: int, seed: int = 3):
-    """Grid over the penalty with inner folds that keep a group whole; refit on all training rows."""
-    lr = classifier("logreg_l2", n_train, features)
-    rows = train.withColumn("inner", F.floor(unit_hash(seed, "group_id") * INNER_FOLDS).cast("int"))
-    grid = ParamGridBuilder().addGrid(lr.regParam, [1 / (c * n_train) for c in C_GRID]).build()
-    return CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=BalancedAccuracy(), numFolds=INNER_FOLDS,
-                          foldCol="inner", parallelism=3).fit(rows)
-
-
 def long_probabilities(scored: DataFrame, classes: list[str], *keep: str) -> DataFrame:
     names = F.array(*[F.lit(c) for c in classes])
     return scored.select(*keep, F.explode(F.arrays_zip(names.alias("candidate"), vector_to_array("probability").alias("p"))).alias("_z")).select(
         *keep, F.col("_z.candidate").alias("candidate"), F.round("_z.p", 9).alias("p"))
 
 
-def principal_components(df: DataFrame, n: int, features: str = "features"):
-    """(scores, explained shares, loadings) of standardised features; each component's largest loading is positive."""
-    sc = StandardScaler(inputCol=features, outputCol="_s", withMean=True).fit(df)
-    z = sc.transform(df)
-    model = PCA(k=n, inputCol="_s", outputCol="pcs").fit(z)
-    load = model.pc.toArray()
-    flips = [1.0 if load[abs(load[:, j]).argmax(), j] >= 0 else -1.0 for j in range(n)]
-    sign = F.array(*[F.lit(f) for f in flips])
-    scores = model.transform(z).withColumn("pcs", F.zip_with(vector_to_array("pcs"), sign, lambda x, s: x * s)).drop("_s")
-    return scores, [float(v) for v in model.explainedVariance], load * flips
-
-
 def covariate_pipeline(numeric: list[str], categorical: list[str], n_train: int) -> Pipeline:
     """Median-imputed, scaled numbers and one-hot categories into a penalised logistic regression."""
     stages, inputs = [], []

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..functions.hashing import unit_hash
 from ..models import centroid as N
 from ..models import pipelines as P
+from ..models import tuning as T
+from ..models.components import components
 from ..operators import audit as A
 from ..operators import conformal as C
 from ..operators import effects as X
@@ -292,7 +294,7 @@ def _vectors(spark, sf):
     return P.indexed(s.drop("embedding"), CLASSES)
 
 
-def _cross_validated(spark, sf, kind, k, n_folds=2, seed=7):
+def _cross_validated(spark, sf, kind, k, n_folds=5, seed=7):
     folds = settle(S.grouped_kfold(samples_v(spark, sf), "class", "group_id", n_folds, seed).select("group_id", "fold"))
     data = settle(_vectors(spark, sf).join(folds, "group_id"))
     out = None
@@ -318,11 +320,28 @@ def rf_cv(spark, sf):
     return _cv_metrics(_cross_validated(spark, sf, "rf", 20), "rf")
 
 
-@query("tuned_logreg", "M2")
+def _nested(spark, sf, kind):
+    """Each outer fold's choice, its inner score and what it reaches on the fold itself."""
+    p, chosen = T.nested_cv(_vectors(spark, sf), kind, CLASSES, 20, 48)
+    own = spark.createDataFrame([(f, None if c is None else float(c), None if s is None else round(float(s), 6)) for f, c, s in chosen],
+                                "fold int, choice double, inner_balanced_accuracy double")
+    m = M.classification_metrics(M.calls(p, ["fold", "sample_id", "class"]), ["fold"])
+    return m.join(own, "fold").withColumn("model", F.lit(kind))
+
+
+@query("tuned_logreg", "M2 M1 M4")
 def tuned_logreg(spark, sf):
-    data = settle(StandardScaler(inputCol="features", outputCol="scaled", withMean=True).fit(_vectors(spark, sf)).transform(_vectors(spark, sf)))
-    cv = P.tuned_logreg(data, "scaled", data.count())
-    return spark.createDataFrame([(float(c), round(float(m), 6)) for c, m in zip(P.C_GRID, cv.avgMetrics)], "inverse_penalty double, balanced_accuracy double")
+    return _nested(spark, sf, "logreg_l2")
+
+
+@query("tuned_lasso", "M2 M1 M4")
+def tuned_lasso(spark, sf):
+    return _nested(spark, sf, "logreg_l1")
+
+
+@query("tuned_centroid", "M2 M1 M3")
+def tuned_centroid(spark, sf):
+    return _nested(spark, sf, "centroid")
 
 
 @query("ftest_selector", "M5")
@@ -334,15 +353,26 @@ def ftest_selector(spark, sf):
 
 @query("pca_variance", "M8")
 def pca_variance(spark, sf):
-    _, share, load = P.principal_components(_vectors(spark, sf), 5)
-    return spark.createDataFrame([(j + 1, round(share[j], 6), int(abs(load[:, j]).argmax())) for j in range(5)], "pc int, share double, top_feature int")
+    found = components(fact_v(spark, sf), 5)
+    top = found.loadings.select("feature_id", F.posexplode("load").alias("j", "w")).groupBy("j").agg(F.max_by("feature_id", F.struct(F.abs("w"), "feature_id")).alias("top_feature"))
+    share = spark.createDataFrame([(j, round(v, 6)) for j, v in enumerate(found.shares)], "j int, share double")
+    return top.join(share, "j").select((F.col("j") + 1).alias("pc"), "share", "top_feature")
+
+
+@query("projected_samples", "M8")
+def projected_samples(spark, sf):
+    """Components of four phases; the samples of the fifth are placed among them by the stored loadings."""
+    fact = fact_v(spark, sf)
+    placed = components(fact.where("phase < 4"), 2).project(fact.where("phase = 4"))
+    return placed.select("sample_id", F.round(F.col("pcs")[0], 6).alias("pc1"), F.round(F.col("pcs")[1], 6).alias("pc2"))
 
 
 @query("locate_covariate", "A33 M8 A12 A13")
 def locate_covariate(spark, sf):
     """Per class: the component on which the batch has the largest share of variance after removing the design means."""
-    scores, _, _ = P.principal_components(_vectors(spark, sf), 5)
-    x = settle(scores.select("sample_id", "class", "sex", "phase", "batch", F.posexplode("pcs").alias("pc", "value")).withColumn(
+    scores = components(fact_v(spark, sf), 5).scores
+    who = samples_v(spark, sf).select("sample_id", "class", "sex", "phase", "batch")
+    x = settle(scores.join(who, "sample_id").select("sample_id", "class", "sex", "phase", "batch", F.posexplode("pcs").alias("pc", "value")).withColumn(
         "feature_id", F.col("pc").cast("string")))
     res = Q.residualise(x, ["class", "sex", "phase"])
     r = A.r2_categorical(res, ["class", "pc"], ["batch"]).withColumnRenamed("r2", "r2_batch_given_design")
@@ -368,7 +398,7 @@ def stacked_fusion(spark, sf):
     return model.transform(test).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("prediction") == F.col("label")).cast("double")), 6).alias("accuracy"))
 
 
-def _grouped_auroc(data, pipeline_for, n_folds=2, seed=5):
+def _grouped_auroc(data, pipeline_for, n_folds=5, seed=5):
     """Held-out AUROC with whole groups per fold."""
     d = settle(data.withColumn("fold", F.floor(unit_hash(seed, "group_id") * n_folds).cast("int")))
     ev, rows = BinaryClassificationEvaluator(labelCol="label"), []
