@@ -249,11 +249,11 @@ def bridge_variance(spark, sf):
     return A.bridge_variance(pools, lc.where(~ref), sets, 15.0)
 
 
-@query("one_to_one_pairs", "J8", """WITH d AS (SELECT DISTINCT p_name AS a, p_brand AS b FROM part WHERE p_size <= 3 AND p_name IS NOT NULL)
+@query("one_to_one_pairs", "J8", """WITH d AS (SELECT DISTINCT p_name AS a, p_brand AS b FROM part WHERE p_name IS NOT NULL)
 SELECT a, b FROM d WHERE a IN (SELECT a FROM d GROUP BY a HAVING count(*) = 1) AND b IN (SELECT b FROM d GROUP BY b HAVING count(*) = 1)
 UNION ALL SELECT a, b FROM (SELECT DISTINCT 's' || s_suppkey AS a, 'n' || s_nationkey AS b FROM supplier) q WHERE b IN (SELECT 'n' || s_nationkey FROM supplier GROUP BY s_nationkey HAVING count(*) = 1)""")
 def one_to_one_pairs(spark, sf):
-    p = table(spark, sf, "part").where("p_size <= 3").select(F.col("p_name").alias("a"), F.col("p_brand").alias("b"))
+    p = table(spark, sf, "part").select(F.col("p_name").alias("a"), F.col("p_brand").alias("b"))
     s = table(spark, sf, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("a"), F.concat(F.lit("n"), "s_nationkey").alias("b"))
     return A.one_to_one(p, "a", "b").unionByName(A.one_to_one(s, "a", "b"))
 

@@ -254,20 +254,19 @@ def _wide_long(spark, sf):
 def _write_tables(spark, sf):
     """The count matrix of every region as one wide CSV table each, under the shared folder."""
     folder, long = scratch_path(spark, "wide"), _wide_long(spark, sf)
-    for name in ("AFRICA", "AMERICA", "ASIA", "EUROPE"):
-        t = long.where(F.col("class") == name)
-        wide.write_wide(t, f"{folder}/COUNTS__{name}.csv", COLS)
+    for name in sorted(r["class"] for r in long.select("class").distinct().collect()):  # a file each: one row per region
+        wide.write_wide(long.where(F.col("class") == name), f"{folder}/COUNTS__{name.replace(' ', '_')}.csv", COLS, 3)
     return folder
 
 
-@query("table_catalogue", "S1", f"WITH {K_LINES} SELECT DISTINCT 'COUNTS' AS assay, class FROM cls WHERE class IN ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE')")
+@query("table_catalogue", "S1", f"WITH {K_LINES} SELECT DISTINCT 'COUNTS' AS assay, class FROM lines JOIN cls USING (group_id)")
 def table_catalogue(spark, sf):
-    return wide.list_tables(spark, _write_tables(spark, sf)).select("assay", "class").distinct()
+    return wide.list_tables(spark, _write_tables(spark, sf)).select("assay", F.regexp_replace("class", "_", " ").alias("class")).distinct()
 
 
-@query("wide_tables", "S2 S5 S18", WIDE + " SELECT 'COUNTS' AS assay, class, feature_id, sample_id, value FROM w WHERE class IN ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE')")
+@query("wide_tables", "S2 S5 S18", WIDE + " SELECT 'COUNTS' AS assay, class, feature_id, sample_id, value FROM w")
 def wide_tables(spark, sf):
-    return wide.read_sample_tables(spark, _write_tables(spark, sf)).where("value IS NOT NULL")
+    return wide.read_sample_tables(spark, _write_tables(spark, sf)).where("value IS NOT NULL").withColumn("class", F.regexp_replace("class", "_", " "))
 
 
 @query("duplicate_features", "S3", """WITH p AS (SELECT p_type, p_brand, row_number() OVER (PARTITION BY p_type, p_brand ORDER BY p_partkey) - 1 AS n, p_partkey FROM part)
@@ -277,16 +276,13 @@ def duplicate_features(spark, sf):
     return X.mark_duplicates(p, "feature_id", "p_partkey", ["p_type"])
 
 
-@query("gct_columns", "S9", WIDE + " SELECT feature_id, sample_id, value FROM w WHERE class = 'ASIA' AND sample_id IN ('FA', 'OR')")
+@query("gct_columns", "S9", WIDE + " SELECT class, feature_id, sample_id, value FROM w WHERE sample_id IN ('FA', 'OR')")
 def gct_columns(spark, sf):
-    long = _wide_long(spark, sf).where("class = 'ASIA'")
-    w = long.groupBy("feature_id").pivot("sample_id", COLS).agg(F.first("value"))
-    body = w.select(F.lit(3).alias("o"), F.concat_ws("\t", F.concat("feature_id", F.lit(".7")), F.lit("d"), *[F.coalesce(F.col(c).cast("string"), F.lit("NA")) for c in COLS]).alias("line"))
-    head = spark.createDataFrame([(0, "#1.2"), (1, "25\t6"), (2, "\t".join(["Name", "Description", *COLS]))], "o int, line string")
     path = scratch_path(spark, "gct")
-    head.unionByName(body).coalesce(1).sortWithinPartitions("o", "line").select("line").write.text(path)
+    wide.write_gct(_wide_long(spark, sf).withColumn("table", F.regexp_replace("class", " ", "_")), path, COLS, 6)
     wanted = spark.createDataFrame([("FA",), ("OR",)], "sample_id string")
-    return wide.read_gct(spark, path, wanted).where("value IS NOT NULL")
+    found = wide.read_gct(spark, path, wanted).where("value IS NOT NULL")
+    return found.select(F.regexp_replace(F.regexp_extract("table", "table=([A-Z_]+)$", 1), "_", " ").alias("class"), "feature_id", "sample_id", "value")
 
 
 @query("per_sample_files", "S13", f"WITH {K_LINES} SELECT flag AS sample_id, class, feature_id, sum(quantity) AS value FROM lines JOIN cls USING (group_id) GROUP BY ALL")

@@ -28,6 +28,8 @@ from .registry import query
 from .selecting import FOLD_PANEL
 
 CLASSES = [f"c{i}" for i in range(10)]
+#: Labellings behind the null of a panel's accuracy and behind the 95th percentile of the best arm.
+PANEL_PERMUTATIONS, ARM_PERMUTATIONS = 20, 200
 
 
 # ---- closed-form models --------------------------------------------------------------------------------------------
@@ -56,21 +58,23 @@ def panel_curve(spark, sf):
     return call.groupBy("k", "fold").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("class") == F.col("call")).cast("int")), 6).alias("accuracy"))
 
 
-@query("pair_features", "M7", f"""WITH {V_SAMPLES}, p AS (SELECT class, a.i AS i, b.j AS j, (embedding[a.i + 1] > embedding[b.j + 1])::INT AS higher FROM smp, range(6) a(i), range(6) b(j) WHERE a.i < b.j)
+@query("pair_features", "M7", f"""WITH {V_SAMPLES}, p AS (SELECT class, a.i AS i, b.j AS j, (embedding[a.i + 1] > embedding[b.j + 1])::INT AS higher FROM smp, range(64) a(i), range(64) b(j) WHERE a.i < b.j AND b.j < len(embedding))
 SELECT class, i::INT AS i, j::INT AS j, round(avg(higher), 6) AS share, count(*) AS n FROM p GROUP BY ALL""")
 def pair_features(spark, sf):
     # k(k−1)/2 indicators inside one sample's panel of k features: bounded by the panel, no self-join
-    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), (F.col("embedding")[i] > F.col("embedding")[j]).cast("int").alias("higher"))
-                      for i in range(6) for j in range(i + 1, 6)])
+    at = lambda first: F.sequence(first, F.size("embedding") - 1)
+    higher = lambda i, j: (F.get("embedding", i) > F.get("embedding", j)).cast("int")
+    pairs = F.flatten(F.transform(F.slice(at(F.lit(0)), F.lit(1), F.size("embedding") - 1), lambda i: F.transform(
+        at(i + 1), lambda j: F.struct(i.alias("i"), j.alias("j"), higher(i, j).alias("higher")))))
     return samples_v(spark, sf).select("class", F.explode(pairs).alias("p")).groupBy("class", F.col("p.i").alias("i"), F.col("p.j").alias("j")).agg(
         F.round(F.avg("p.higher"), 6).alias("share"), F.count(F.lit(1)).alias("n"))
 
 
-@query("rank_representation", "M7 W5", f"""WITH {V_FACT} SELECT sample_id, feature_id, round((rank() OVER (PARTITION BY sample_id ORDER BY value) + (count(*) OVER (PARTITION BY sample_id, value) - 1) / 2.0) / 20, 6) AS r FROM fact WHERE feature_id < 'f20'""")
+@query("rank_representation", "M7 W5", f"""WITH {V_FACT} SELECT sample_id, feature_id, round((rank() OVER (PARTITION BY sample_id ORDER BY value) + (count(*) OVER (PARTITION BY sample_id, value) - 1) / 2.0) / count(*) OVER (PARTITION BY sample_id), 6) AS r FROM fact""")
 def rank_representation(spark, sf):
     from ..functions.ranking import average_ranks
-    f = fact_v(spark, sf).where("feature_id < 'f20'")  # one sample's panel per partition
-    return average_ranks(f, ["sample_id"], "value", slices=1).select("sample_id", "feature_id", F.round(F.col("avg_rank") / 20, 6).alias("r"))
+    r = average_ranks(fact_v(spark, sf), ["sample_id"], "value", slices=1)  # one sample's features per partition
+    return r.select("sample_id", "feature_id", F.round(F.col("avg_rank") / F.col("n_total"), 6).alias("r"))
 
 
 def _layer_dist(n: int, cond: str) -> str:
@@ -221,7 +225,7 @@ def confound_diagnostics(spark, sf):
 def panel_permutation_null(spark, sf):
     """Accuracy of a 10-feature panel on permuted labels against the observed one (draw 0), same held-out fold."""
     s = samples_v(spark, sf).select("sample_id", "sex", "class")
-    lab = R.permuted(s, ["sex"], ["class"], 6, 96).select(F.col("perm").alias("fold"), "sample_id", "class").unionByName(
+    lab = R.permuted(s, ["sex"], ["class"], PANEL_PERMUTATIONS, 96).select(F.col("perm").alias("fold"), "sample_id", "class").unionByName(
         s.select(F.lit(0).alias("fold"), "sample_id", "class"))
     roles = roles_v(spark, sf).where("fold = 0").select("group_id", F.when(F.col("role") == "test", "test").otherwise("fit").alias("role"))
     f = fact_v(spark, sf).select("sample_id", "group_id", "feature_id", "value").join(settle(lab), "sample_id").join(checked_broadcast(settle(roles)), "group_id")
@@ -269,7 +273,7 @@ def duration_arms(spark, sf):
     arms = tasks.withColumn("arm", F.explode(F.array_compact(F.array(
         F.lit("both"), F.when(F.col("feature_id") < "f32", "a").otherwise("b")))))
     s = arms.select("duration", "sample_id", "group_id", "sex", (F.col("phase") > 0).alias("treated")).distinct()
-    lab = R.permuted(s, ["duration", "sex"], ["treated"], 5, 98).select("perm", "duration", "sample_id", "treated").unionByName(
+    lab = R.permuted(s, ["duration", "sex"], ["treated"], ARM_PERMUTATIONS, 98).select("perm", "duration", "sample_id", "treated").unionByName(
         s.select(F.lit(0).alias("perm"), "duration", "sample_id", "treated"))
     side = unit_hash(99, "group_id") < 0.4
     x = arms.join(settle(lab), ["duration", "sample_id"]).withColumn("test", side)

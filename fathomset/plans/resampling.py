@@ -172,7 +172,7 @@ _SEPF = "avg(value) FILTER (WHERE grp) AS ma, avg(value) FILTER (WHERE NOT grp)
 
 
 @query("group_separation", "R15", f"""WITH {V_FACT}, s AS (SELECT sample_id, sex, phase >= 3 AS grp FROM smp),
-sc AS (SELECT sample_id, feature_id, value - avg(value) OVER (PARTITION BY sex, feature_id) AS value FROM fact WHERE feature_id <= 'f09'){perm_sql('s', 'sex', 'grp', 20, 74)},
+sc AS (SELECT sample_id, feature_id, value - avg(value) OVER (PARTITION BY sex, feature_id) AS value FROM fact){perm_sql('s', 'sex', 'grp', 20, 74)},
 n AS (SELECT perm, round({_DIST}, 9) AS d FROM (SELECT perm, feature_id, {_SEPF} FROM pm JOIN sc USING (sample_id) GROUP BY ALL) GROUP BY perm),
 o AS (SELECT round({_DIST}, 9) AS d FROM (SELECT feature_id, {_SEPF} FROM s JOIN sc USING (sample_id) GROUP BY ALL))
 SELECT round((SELECT d FROM o), 6) AS distance, round((SELECT d FROM o) - avg(d), 6) AS excess, round(((SELECT d FROM o) - avg(d)) / stddev_pop(d), 6) AS z,
@@ -180,7 +180,7 @@ SELECT round((SELECT d FROM o), 6) AS distance, round((SELECT d FROM o) - avg(d)
 def group_separation(spark, sf):
     from ..operators.matrices import residualise
     s = settle(samples_v(spark, sf).select("sample_id", "sex", (F.col("phase") >= 3).alias("grp")))
-    sc = settle(residualise(fact_v(spark, sf).where("feature_id <= 'f09'"), ["sex"]).select("sample_id", "feature_id", "value"))
+    sc = settle(residualise(fact_v(spark, sf), ["sex"]).select("sample_id", "feature_id", "value"))
     null = R.separation(R.permuted(s, ["sex"], ["grp"], 20, 74).join(sc, "sample_id"), ["perm"], "grp")
     obs = R.separation(s.join(sc, "sample_id").withColumn("perm", F.lit(0)), ["perm"], "grp").select("distance").scalar()
     d, o = F.col("distance"), F.col("o")

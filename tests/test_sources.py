@@ -46,3 +46,27 @@ def test_cells(spark):
     assert [r["d"] for r in got] == ["2018-03-05", "2018-03-05", "2018-03-05", "2018-03-01"]
     assert [r["h"] for r in got][:2] == [13.5, 1.26] and got[2]["h"] is None
     assert [(r["r"], r["c"]) for r in got] == [(3, 7), (8, 12), (None, None), (None, None)]
+
+
+def test_tables_in_many_parts(spark, tmp_path):
+    rows = [(t, f"G{i:03d}", s, float(i)) for t in ("LIVER", "MIDDLE_EAST") for i in range(40) for s in ("v1", "v2")]
+    long = spark.createDataFrame(rows, "table string, feature_id string, sample_id string, value double")
+    for t in ("LIVER", "MIDDLE_EAST"):
+        wide.write_wide(long.where(f"table = '{t}'"), str(tmp_path / "csv" / f"RNA__{t}.csv"), ["v1", "v2"], 4)
+    files = wide.list_tables(spark, str(tmp_path / "csv"))
+    assert files.count() >= 6 and {r["class"] for r in files.collect()} == {"LIVER", "MIDDLE_EAST"}
+    got = wide.read_sample_tables(spark, str(tmp_path / "csv")).select("class", "feature_id", "sample_id", "value")
+    assert sorted(map(tuple, got.collect())) == sorted(rows)
+    wide.write_gct(long, str(tmp_path / "gct"), ["v1", "v2"], 5)
+    assert len(list((tmp_path / "gct").glob("table=*/part-*"))) >= 5
+    back = wide.read_gct(spark, str(tmp_path / "gct"), spark.createDataFrame([("v2",)], "sample_id string"))
+    assert sorted((r["table"].rsplit("=", 1)[1], r["feature_id"], r["sample_id"], r["value"]) for r in back.collect()) == sorted(r for r in rows if r[2] == "v2")
+
+
+def test_duplicates_across_parts(spark, tmp_path):
+    d = tmp_path / "RNA__LIVER.csv"
+    d.mkdir()
+    for i, v in enumerate((1, 2)):
+        (d / f"part-{i}.csv").write_text(f"feature,feature_ID,tissue,assay,v1\n,a,L,R,{v}\n")
+    got = {r["feature_id"]: r["value"] for r in wide.read_sample_tables(spark, str(tmp_path)).collect()}
+    assert got == {"a": 1.0, "a__dup1": 2.0}
