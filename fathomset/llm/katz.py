@@ -35,7 +35,7 @@ from .words import MIX, STEP, blocks, mixed, words_of
 CUT = 5
 SLIGHT = 0.01
 #: Text bytes of a block, about, and hash ranges at most.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 10 << 20
 RANGES = 4096
 
 _SPACE = np.ones(256, bool)
@@ -91,7 +91,7 @@ def _blocked(rows: DataFrame) -> DataFrame:
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
             return pa.RecordBatch.from_arrays([
-                pa.array([uuid.uuid4().int >> 65]), pa.array([ids], pa.list_(pa.int64())), pa.array([learn], pa.list_(pa.bool_())),
+                pa.array([uuid.uuid4().int >> 65]), pa.array([ids], pa.list_(pa.string())), pa.array([learn], pa.list_(pa.bool_())),
                 pa.array([np.concatenate(sizes)], pa.list_(pa.int32())), pa.array([_planes(rank[local].astype(np.uint64))], pa.binary()),
                 pa.array([known[order].tobytes()], pa.binary())], names=["block", "ids", "learn", "sizes", "tokens", "words"])
 
@@ -111,7 +111,7 @@ def _blocked(rows: DataFrame) -> DataFrame:
         if ids:
             yield block()
 
-    return rows.mapInArrow(pack, "block long, ids array<long>, learn array<boolean>, sizes array<int>, tokens binary, words binary")
+    return rows.mapInArrow(pack, "block long, ids array<string>, learn array<boolean>, sizes array<int>, tokens binary, words binary")
 
 
 class _Block:
@@ -247,9 +247,9 @@ def _score(unigrams: _Unigrams, factors: np.ndarray, distinct: int):
         h = b.pair_history[mine]
         sums = [np.bincount(h, weights=x, minlength=len(b.words)) for x in (pair_c[mine], kept[mine], lower[b.pair_token[mine]])]
         held = np.flatnonzero(sums[0])
-        first = pd.DataFrame({"block": [row.block], "doc": [-1], "doc_id": pd.array([None], "Int64"), "n_tokens": 0, "n_known": 0, "base_score": 0.0, "part_score": 0.0, "h": [b.words.view(np.int64)[held]], "c": [sums[0][held].astype(np.int64)],
+        first = pd.DataFrame({"block": [row.block], "doc": [-1], "doc_id": [None], "n_tokens": 0, "n_known": 0, "base_score": 0.0, "part_score": 0.0, "h": [b.words.view(np.int64)[held]], "c": [sums[0][held].astype(np.int64)],
                               "s": [sums[1][held]], "u": [sums[2][held]]})
-        out = pd.DataFrame({"block": row.block, "doc": np.arange(docs), "doc_id": pd.array(row.ids, "Int64"), "n_tokens": np.diff(b.first),
+        out = pd.DataFrame({"block": row.block, "doc": np.arange(docs), "doc_id": list(row.ids), "n_tokens": np.diff(b.first),
                             "n_known": per_token(count > 0).astype(np.int64), "base_score": base, "part_score": score,
                             "h": [hashes[i:j] for i, j in zip(at[:-1], at[1:], strict=True)], "c": [n[i:j] for i, j in zip(at[:-1], at[1:], strict=True)], "s": None, "u": None})
         return pd.concat([first, out], ignore_index=True)[_SCORED]
@@ -258,7 +258,7 @@ def _score(unigrams: _Unigrams, factors: np.ndarray, distinct: int):
 
 
 _SCORED = ["block", "doc", "doc_id", "n_tokens", "n_known", "base_score", "part_score", "h", "c", "s", "u"]
-_SCORED_SQL = ("block long, doc int, doc_id long, n_tokens long, n_known long, base_score double, part_score double, h array<long>, c array<long>, "
+_SCORED_SQL = ("block long, doc int, doc_id string, n_tokens long, n_known long, base_score double, part_score double, h array<long>, c array<long>, "
                "s array<double>, u array<double>")
 
 
@@ -279,7 +279,7 @@ def score_texts(docs: DataFrame, learn: Column | None = None, doc_id: str = "doc
     spark: SparkSession = docs.sparkSession
     kind = dict(docs.dtypes)[doc_id]
     learn = F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))
-    rows = docs.select(quoted(doc_id).cast("long").alias("id"), F.coalesce(quoted(text), F.lit("")).alias("t"), learn.alias("learn"))
+    rows = docs.select(quoted(doc_id).cast("string").alias("id"), F.coalesce(quoted(text), F.lit("")).alias("t"), learn.alias("learn"))
     buckets = max(1, rows.rdd.getNumPartitions())
     name = _bucketed(_blocked(rows), "block", buckets)
     try:

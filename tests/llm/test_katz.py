@@ -110,3 +110,9 @@ def test_awkward_rows(spark):
     assert K.score_texts(empty(spark)).collect() == []
     untaught = K.score_texts(docs, F.lit(False)).collect()
     assert {(r["score"], r["base_score"], r["n_known"]) for r in untaught} == {(0.0, 0.0, 0)}
+
+
+def test_ids_of_any_type(spark):
+    docs = spark.createDataFrame([("doc-a", "one two two"), (None, "two"), ("7", None)], "doc_id string, text string")
+    got = K.score_texts(docs).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["7", "None", "doc-a"] and {r.doc_id: r.n_tokens for r in got} == {"doc-a": 4, None: 2, "7": 1}
