@@ -40,7 +40,9 @@ REACH = 200
 #: Distance of the chosen suffixes in each round; the last is 1.
 WIDTHS = (REACH, 25, 5, 1)
 #: Bytes of suffixes in a bucket, about.
-BUCKET = 16 << 20
+BUCKET = 8 << 20
+#: Bytes of text whose anchors are looked for at a time.
+BLOCK = 1 << 18
 
 _HIT, _NEXT, _EDGE = 0, 1, 2
 _MARKS = "row long, core long, ctx long, hi int, lo int, positions array<int>"
@@ -61,7 +63,7 @@ class Substrings:
     """Hashes of any substrings of ``data``."""
 
     def __init__(self, data: np.ndarray, base: int):
-        n = max(1 << 20, 1 << len(data).bit_length())
+        n = max(BLOCK, 1 << len(data).bit_length())
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(BYTE[data] * _powers(base, n)[:len(data)], out=self.sums[1:])
         self.back = _powers(pow(base, -1, 1 << 64), n)
@@ -102,7 +104,7 @@ def _find_marks(length: int, gram: int, reach: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, a = batch.column(0).to_numpy(), 0
-            for data, offsets in blocks(batch.column(1)):
+            for data, offsets in blocks(batch.column(1), BLOCK):
                 at, hi, lo, core, ctx = anchors(data, offsets, length, gram, reach)
                 doc = np.searchsorted(offsets, at, "right") - 1
                 # equal contexts of a text are one row with all their places

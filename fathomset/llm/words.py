@@ -75,13 +75,13 @@ def words_of(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = LETTER
     return Words(data, hashes, begins, begins + sizes, first)
 
 
-def blocks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Bytes and offsets of the texts of an Arrow column (null: empty), about ``BLOCK`` bytes at a time."""
+def blocks(column: pa.Array, limit: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bytes and offsets of the texts of an Arrow column (null: empty), about ``limit`` bytes at a time."""
     column = column.cast(pa.large_string()).fill_null("")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     a = 0
     while a < len(column):
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + BLOCK, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + limit, "right")) - 1)
         yield data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
         a = b
