@@ -48,12 +48,17 @@ def _over(keys: Sequence[str]) -> W:
     return W.partitionBy(*(keys or [F.lit(0)]))
 
 
-def _offsets(cut: DataFrame, keys: Sequence[str], n: Column) -> DataFrame:
+def _key(keys: Sequence[str]) -> Column:
+    """All keys as one struct, which is equal to itself with NULL fields too: a plain equi-join keeps the partitioning of the windows."""
+    return F.struct(*(keys or [F.lit(0)]))
+
+
+def _offsets(cut: DataFrame, n: Column) -> DataFrame:
     """Rows before each (key, slice) and in the whole key: one row per key and slice."""
-    before = _over(keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, 0)
-    return (cut.groupBy(*keys, "_slice").agg(n.alias("_in_slice"))
-            .withColumn("_offset", F.sum("_in_slice").over(before) - F.col("_in_slice"))
-            .withColumn("n_total", F.sum("_in_slice").over(_over(keys))).drop("_in_slice"))
+    own = W.partitionBy("_key")
+    return (cut.groupBy("_key", "_slice").agg(n.alias("_in_slice"))
+            .withColumn("_offset", F.sum("_in_slice").over(own.orderBy("_slice").rowsBetween(W.unboundedPreceding, 0)) - F.col("_in_slice"))
+            .withColumn("n_total", F.sum("_in_slice").over(own)).drop("_in_slice"))
 
 
 def value_ranks(df: DataFrame, keys: Sequence[str], value: str, weight: Column | None = None,
@@ -66,11 +71,11 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, weight: Column |
     n = F.sum(weight) if weight is not None else F.count(F.lit(1))
     flat = (df.where(F.col(value).isNotNull()).groupBy(*keys, value)
             .agg(n.alias("n_eq"), *[c.alias(k) for k, c in (extra or {}).items()]))
-    cut = flat.withColumn("_slice", value_slice(F.col(value), slices))
-    run = W.partitionBy(*keys, "_slice").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    return (join_same(cut.withColumn("_cum", F.sum("n_eq").over(run)), _offsets(cut, keys, F.sum("n_eq")), [*keys, "_slice"])
+    cut = flat.withColumn("_slice", value_slice(F.col(value), slices)).withColumn("_key", _key(keys))
+    run = W.partitionBy("_key", "_slice").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    return (cut.withColumn("_cum", F.sum("n_eq").over(run)).join(_offsets(cut, F.sum("n_eq")), ["_key", "_slice"])
             .withColumn("n_below", F.col("_offset") + F.col("_cum") - F.col("n_eq"))
-            .drop("_cum", "_offset", "_slice"))
+            .drop("_cum", "_offset", "_slice", "_key"))
 
 
 def positions(df: DataFrame, keys: Sequence[str], by: Column, order: Sequence[str], out: str, slices: int = SLICES) -> DataFrame:
@@ -78,11 +83,10 @@ def positions(df: DataFrame, keys: Sequence[str], by: Column, order: Sequence[st
 
     ``by`` is a number that never decreases in that order (NULL last).
     """
-    keys = list(keys)
-    cut = df.withColumn("_slice", value_slice(by, slices))
-    run = W.partitionBy(*keys, "_slice").orderBy(*[F.col(c).asc_nulls_last() for c in order])
-    return (join_same(cut.withColumn("_rn", F.row_number().over(run)), _offsets(cut, keys, F.count(F.lit(1))), [*keys, "_slice"])
-            .withColumn(out, F.col("_offset") + F.col("_rn") - 1).drop("_slice", "_rn", "_offset"))
+    cut = df.withColumn("_slice", value_slice(by, slices)).withColumn("_key", _key(list(keys)))
+    run = W.partitionBy("_key", "_slice").orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    return (cut.withColumn("_rn", F.row_number().over(run)).join(_offsets(cut, F.count(F.lit(1))), ["_key", "_slice"])
+            .withColumn(out, F.col("_offset") + F.col("_rn") - 1).drop("_slice", "_rn", "_offset", "_key"))
 
 
 def in_order(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:

@@ -62,14 +62,21 @@ def status_counts(checked: DataFrame, keys: list[str]) -> DataFrame:
     return checked.select(*keys, one.alias("name")).groupBy(*keys, "name").agg(F.count(F.lit(1)).alias("n"))
 
 
-def choose_scaling(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Within-set scaling only for enough samples spanning enough claimed or called classes."""
+def choose_scaling(rows: DataFrame, keys: list[str], forced: str | None = None) -> DataFrame:
+    """Within-set scaling only for enough samples spanning enough claimed or called classes.
+
+    ``forced`` sets the mode; then ``auto`` is what the rule would choose, and ``caveat`` says that the set is too small or
+    too uniform for the within-set scaling that is forced on it.
+    """
     claimed = F.when(F.col("claim_kind").isin("class", "superclass"), F.concat_ws("|", "claimed"))
     s = rows.groupBy(*keys).agg(F.count_distinct("sample_id").alias("n_samples"), F.count_distinct(claimed).alias("_c"),
                                 F.count_distinct("call").alias("_p"))
     n = F.greatest("_c", "_p")
     ok = (F.col("n_samples") >= WITHIN_MIN_SAMPLES) & (n >= WITHIN_MIN_CLASSES)
-    return s.select(*keys, "n_samples", n.alias("n_classes"), F.when(ok, "within").otherwise("reference").alias("mode"))
+    auto = F.when(ok, "within").otherwise("reference")
+    if forced is None:
+        return s.select(*keys, "n_samples", n.alias("n_classes"), auto.alias("mode"))
+    return s.select(*keys, "n_samples", n.alias("n_classes"), F.lit(forced).alias("mode"), auto.alias("auto"), ((auto == "reference") & F.lit(forced == "within")).alias("caveat"))
 
 
 def labelled_for_recalibration(claims: DataFrame, excluded: DataFrame) -> DataFrame:

@@ -94,12 +94,12 @@ def swap_detection(spark, sf):
 
 
 @query("scaling_choice", "C13", BASE + CALLS + CLAIM + """,
-s AS (SELECT batch, claim_kind, count(DISTINCT sample_id) AS n_samples, greatest(count(DISTINCT CASE WHEN claim_kind IN ('class', 'superclass') THEN array_to_string(claimed, '|') END), count(DISTINCT call)) AS n_classes FROM calls JOIN lb USING (sample_id) GROUP BY batch, claim_kind)
-SELECT batch, claim_kind, n_samples, n_classes, CASE WHEN n_samples >= 8 AND n_classes >= 3 THEN 'within' ELSE 'reference' END AS mode FROM s""")
+s AS (SELECT batch, count(DISTINCT sample_id) AS n_samples, greatest(count(DISTINCT CASE WHEN claim_kind IN ('class', 'superclass') THEN array_to_string(claimed, '|') END), count(DISTINCT call)) AS n_classes FROM calls JOIN lb USING (sample_id) GROUP BY batch)
+SELECT batch, n_samples, n_classes, CASE WHEN n_samples >= 8 AND n_classes >= 3 THEN 'within' ELSE 'reference' END AS mode FROM s""")
 def scaling_choice(spark, sf):
     probs, _ = scored(spark, sf)
     calls = N.top_two(probs.where("role = 'test'"), ["sample_id"])
-    return L.choose_scaling(calls.join(_claims(spark, sf), "sample_id"), ["batch", "claim_kind"])
+    return L.choose_scaling(calls.join(_claims(spark, sf), "sample_id"), ["batch"])
 
 
 @query("claim_recalibration", "C14", BASE + CLAIM + f""",
@@ -319,6 +319,10 @@ c AS (SELECT replace(class, ' ', '_') AS sub, sample_id, feature_id, CASE WHEN v
 lib AS (SELECT sub, sample_id, coalesce(sum(value), 0) AS library, count(*) AS n_features, count(*) FILTER (WHERE value IS NULL) AS n_missing FROM c GROUP BY ALL)"""
 
 
+#: The given tables have 25 features, so that a table of at least 21 is a count matrix here.
+SUBMITTED_COUNTS = 21
+
+
 def _submitted(spark, sf):
     """Write one text table per region (orientation and delimiter alternate) and ingest the folder in bulk."""
     long = _wide_long(spark, sf).withColumn("sub", F.regexp_replace("class", " ", "_"))
@@ -346,19 +350,20 @@ SELECT c.sub AS file, CASE WHEN c.sub IN ('AFRICA', 'ASIA', 'MIDDLE_EAST') THEN
 FROM c JOIN lib USING (sub, sample_id) WHERE substr(feature_id, 7)::INT <= 20""")
 def submission_ingest(spark, sf):
     rows, panel = _submitted(spark, sf)
-    v = submissions.panel_values(rows, panel, submissions.sample_libraries(rows))
+    v = submissions.panel_values(rows, panel, submissions.sample_libraries(rows), submissions.file_formats(rows, SUBMITTED_COUNTS))
     side = rows.groupBy("file").agg(F.first("orientation").alias("orientation"))
     return v.join(submissions.claimed_labels(rows), ["file", "sample_id"]).join(side, "file").select(
         "file", "orientation", "sample_id", "feature_id", F.round("value", 6).alias("value"), "label")
 
 
-@query("dq_report", "P11", SUB + """
-SELECT sub AS file, count(*) AS n_samples, max(n_features) AS n_features, sum(n_missing)::BIGINT AS n_missing, 0 AS n_negative, 0 AS n_fractional, 0 AS n_short, count(*) FILTER (WHERE library <= 0) AS n_empty_libraries,
-  1 AS outside_log_range, 20 - (SELECT count(DISTINCT feature_id) FROM c WHERE c.sub = lib.sub AND value IS NOT NULL AND substr(feature_id, 7)::INT <= 20) AS n_panel_missing, 1 AS n_summary_rows FROM lib GROUP BY sub""")
+@query("dq_report", "P11 S22", SUB + """
+SELECT sub AS file, 'counts' AS format, count(*) AS n_samples, max(n_features) AS n_features, sum(n_missing)::BIGINT AS n_missing, 0 AS n_negative, 0 AS n_fractional, 0 AS n_short, count(*) FILTER (WHERE library <= 0) AS n_empty_libraries,
+  1 AS n_summary_rows, true AS few_features, 0 AS outside_log_range, 20 - (SELECT count(DISTINCT feature_id) FROM c WHERE c.sub = lib.sub AND value IS NOT NULL AND substr(feature_id, 7)::INT <= 20) AS n_panel_missing FROM lib GROUP BY sub""")
 def dq_report(spark, sf):
     rows, panel = _submitted(spark, sf)
-    v = submissions.panel_values(rows, panel, submissions.sample_libraries(rows))
-    return submissions.quality_report(rows, v, 20)
+    formats = settle(submissions.file_formats(rows, SUBMITTED_COUNTS))
+    v = submissions.panel_values(rows, panel, submissions.sample_libraries(rows), formats)
+    return submissions.quality_report(rows, v, 20, formats)
 
 
 @query("species_guess", "P12", """WITH i AS (SELECT c_nationkey % 5 AS set_no, CASE c_nationkey % 5 WHEN 0 THEN 'ENSG' || lpad(c_custkey::VARCHAR, 9, '0') WHEN 1 THEN 'ENSRNOG' || lpad(c_custkey::VARCHAR, 9, '0') WHEN 2 THEN 'GENE' || c_custkey WHEN 3 THEN 'Gene' || c_custkey ELSE c_custkey::VARCHAR END AS id FROM customer)

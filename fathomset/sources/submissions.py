@@ -10,8 +10,9 @@ from ..operators.matrices import cpm
 from ..session import checked_broadcast
 from .wide import numbered_lines, split_table
 
-# fixed values: a table with this many features is read as counts; plausible range of log2(CPM + 1)
-MIN_FEATURES_FOR_COUNTS, LOG2CPM_MIN, LOG2CPM_MAX = 200, -0.5, 20.0
+# fixed values: a table with this many features is read as counts; counts of fewer than so many features get a warning; plausible range of log2(CPM + 1)
+MIN_FEATURES_FOR_COUNTS, FEW_FEATURES, LOG2CPM_MIN, LOG2CPM_MAX = 200, 10_000, -0.5, 20.0
+COUNTS, LOG2CPM = "counts", "log2cpm"
 
 
 def read_cells(spark: SparkSession, folder: str, panel: DataFrame) -> DataFrame:
@@ -21,7 +22,7 @@ def read_cells(spark: SparkSession, folder: str, panel: DataFrame) -> DataFrame:
     first column (ties: the longer side holds the features).
     """
     t = split_table(numbered_lines(spark, folder).where(~F.col("line").startswith("#")))
-    keys = checked_broadcast(panel.select(feature_key("feature_id").alias("_k")).distinct())
+    keys = checked_broadcast(panel_keys(panel).select("_k"))
     first = t.select("file", feature_key(F.col("cells")[0]).alias("_k"), F.size("header").alias("_w"))
     in_first = first.join(keys.withColumn("_hit", F.lit(1)), "_k", "left").groupBy("file").agg(
         F.count("_hit").alias("_first"), F.count(F.lit(1)).alias("_rows"), (F.max("_w") - 1).alias("_cols"))
@@ -34,16 +35,17 @@ def read_cells(spark: SparkSession, folder: str, panel: DataFrame) -> DataFrame:
     layout = in_first.join(in_head, "file", "left").select("file", side.alias("orientation"))
     body = t.join(checked_broadcast(layout), "file")
     # a short row still yields a (NULL) cell for every header column: missing, never 0
-    return body.select("file", "orientation", F.col("cells")[0].alias("row"), F.posexplode("header").alias("_i", "column"), "cells").where(
+    return body.select("file", "orientation", "block", "seq", F.col("cells")[0].alias("row"), F.posexplode("header").alias("_i", "column"), "cells").where(
         "_i > 0").select("file", "orientation", "row", "column", F.get("cells", F.col("_i")).alias("cell"),
-                         (F.size("cells") <= F.col("_i")).alias("short"))
+                         (F.size("cells") <= F.col("_i")).alias("short"), F.struct("block", "seq").alias("row_at"), F.col("_i").alias("column_at"))
 
 
 def long_rows(cells: DataFrame) -> DataFrame:
-    """``file, sample_id, feature, cell, short`` whatever the orientation."""
+    """``file, sample_id, feature, cell, short, at`` whatever the orientation; ``at`` is the feature's place in the file."""
     genes_down = F.col("orientation") == "genes_x_samples"
     return cells.select("file", "orientation", F.when(genes_down, F.col("column")).otherwise(F.col("row")).alias("sample_id"),
-                        F.when(genes_down, F.col("row")).otherwise(F.col("column")).alias("feature"), "cell", "short")
+                        F.when(genes_down, F.col("row")).otherwise(F.col("column")).alias("feature"), "cell", "short",
+                        F.when(genes_down, F.col("row_at")).otherwise(F.struct(F.lit(0).cast("long").alias("block"), F.col("column_at").cast("long").alias("seq"))).alias("at"))
 
 
 def claimed_labels(rows: DataFrame) -> DataFrame:
@@ -65,30 +67,62 @@ def sample_libraries(rows: DataFrame) -> DataFrame:
         F.min("value").alias("lo"), F.max("value").alias("hi"))
 
 
-def panel_values(rows: DataFrame, panel: DataFrame, libraries: DataFrame, counts: bool = True) -> DataFrame:
-    """Panel features only, on the log2 CPM scale (counts) or as given (already normalised)."""
-    p = checked_broadcast(panel.select("feature_id", feature_key("feature_id").alias("_k")))
-    hit = measured(rows).withColumn("_k", feature_key("feature")).join(p, "_k")
-    if not counts:
-        return hit.select("file", "sample_id", "feature_id", "value")
-    return hit.join(libraries.select("file", "sample_id", "library"), ["file", "sample_id"]).select(
-        "file", "sample_id", "feature_id", cpm("value", "library").alias("value"))
+def file_formats(rows: DataFrame, min_features: int = MIN_FEATURES_FOR_COUNTS) -> DataFrame:
+    """``file, format, n_features``: decided for a whole file before any of its rows is scaled.
 
+    A table with many features is a count matrix, which is turned to log2 CPM by its own library sizes; a short one holds
+    values on that scale already.
+    """
+    n = measured(rows).groupBy("file").agg(F.count_distinct("feature").alias("n_features"))
+    return n.select("file", F.when(F.col("n_features") >= min_features, COUNTS).otherwise(LOG2CPM).alias("format"), "n_features")
+
+
+def panel_keys(panel: DataFrame) -> DataFrame:
+    """``_k, feature_id``: a panel feature is found by its id or, where the panel has the column, by its symbol."""
+    names = [c for c in ("feature_id", "symbol") if c in panel.columns]
+    each = panel.select("feature_id", F.explode(F.array(*[feature_key(c) for c in names])).alias("_k")).where("_k IS NOT NULL")
+    return each.groupBy("_k").agg(F.min("feature_id").alias("feature_id"))
 
-def quality_report(rows: DataFrame, panel_rows: DataFrame, n_panel: int) -> DataFrame:
-    """One row per file: how often each input rule is broken."""
+
+def panel_values(rows: DataFrame, panel: DataFrame, libraries: DataFrame, formats: DataFrame | None = None) -> DataFrame:
+    """Panel features only, on the log2 CPM scale: counts by their library, other files as given.
+
+    ``formats`` is :func:`file_formats`; without it every file holds counts.  Where a file names a panel feature more than
+    once, the first counts, a blank one too.
+    """
+    hit = measured(rows).withColumn("_k", feature_key("feature")).join(checked_broadcast(panel_keys(panel)), "_k")
+    hit = hit.groupBy("file", "sample_id", "feature_id").agg(F.min_by("value", "at").alias("value"))
+    scaled = hit.join(libraries.select("file", "sample_id", "library"), ["file", "sample_id"]).withColumn("_cpm", cpm("value", "library"))
+    if formats is None:
+        return scaled.select("file", "sample_id", "feature_id", F.col("_cpm").alias("value"))
+    return scaled.join(checked_broadcast(formats.select("file", "format")), "file").select(
+        "file", "sample_id", "feature_id", F.when(F.col("format") == COUNTS, F.col("_cpm")).otherwise(F.col("value")).alias("value"))
+
+
+def quality_report(rows: DataFrame, panel_rows: DataFrame, n_panel: int, formats: DataFrame | None = None) -> DataFrame:
+    """One row per file: how often each input rule is broken; a rule looks only at files of the format it is about.
+
+    Counts: missing, negative and fractional cells, empty libraries, summary rows, too few features for a library.  Values
+    on the log scale: a panel value that log2(CPM + 1) cannot take.  Both: short rows and panel features that are not found.
+    """
     lib = sample_libraries(rows)
-    found = panel_rows.where("value IS NOT NULL").groupBy("file").agg(F.count_distinct("feature_id").alias("_f"))
+    formats = file_formats(rows) if formats is None else formats
+    v = F.col("value")
+    found = panel_rows.groupBy("file").agg(F.count_distinct(F.when(v.isNotNull(), F.col("feature_id"))).alias("_f"),
+                                           F.coalesce(F.max(((v < LOG2CPM_MIN) | (v > LOG2CPM_MAX)).cast("int")), F.lit(0)).alias("_out"))
     summary = rows.where(F.col("feature").startswith(SUMMARY_PREFIX)).groupBy("file").agg(
         F.count_distinct("feature").alias("_s"))
     r = lib.groupBy("file").agg(
-        F.count(F.lit(1)).alias("n_samples"), F.max("n_features").alias("n_features"), F.sum("n_missing").alias("n_missing"),
+        F.count(F.lit(1)).alias("n_samples"), F.sum("n_missing").alias("n_missing"),
         F.sum("n_negative").alias("n_negative"), F.sum("n_fractional").alias("n_fractional"), F.sum("n_short").alias("n_short"),
-        F.count_if(F.col("library") <= 0).alias("n_empty_libraries"),
-        F.max(((F.col("lo") < LOG2CPM_MIN) | (F.col("hi") > LOG2CPM_MAX)).cast("int")).alias("outside_log_range"))
-    return r.join(found, "file", "left").join(summary, "file", "left").select(
-        *r.columns, (F.lit(n_panel) - F.coalesce("_f", F.lit(0))).alias("n_panel_missing"),
-        F.coalesce("_s", F.lit(0)).alias("n_summary_rows"))
+        F.count_if(F.col("library") <= 0).alias("n_empty_libraries"))
+    j = r.join(formats, "file").join(found, "file", "left").join(summary, "file", "left")
+    counts = F.col("format") == COUNTS
+    only = lambda c: F.when(counts, F.col(c)).otherwise(0).alias(c)
+    return j.select(
+        "file", "format", "n_samples", "n_features", *[only(c) for c in ("n_missing", "n_negative", "n_fractional")], "n_short", only("n_empty_libraries"),
+        F.when(counts, F.coalesce("_s", F.lit(0))).otherwise(0).alias("n_summary_rows"), (counts & (F.col("n_features") < FEW_FEATURES)).alias("few_features"),
+        F.when(~counts, F.coalesce("_out", F.lit(0))).otherwise(0).alias("outside_log_range"), (F.lit(n_panel) - F.coalesce("_f", F.lit(0))).alias("n_panel_missing"))
 
 
 def guess_species(ids: DataFrame, keys: list[str], ident: str) -> DataFrame:

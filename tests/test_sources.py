@@ -1,6 +1,9 @@
 """Text tables: both orientations, blanks, short rows, summary rows, duplicate ids."""
 
+import math
+
 import pytest
+from pyspark.sql import functions as F
 
 from fathomset.functions import text as T
 from fathomset.sources import submissions as U
@@ -70,3 +73,31 @@ def test_duplicates_across_parts(spark, tmp_path):
         (d / f"part-{i}.csv").write_text(f"feature,feature_ID,tissue,assay,v1\n,a,L,R,{v}\n")
     got = {r["feature_id"]: r["value"] for r in wide.read_sample_tables(spark, str(tmp_path)).collect()}
     assert got == {"a": 1.0, "a__dup1": 2.0}
+
+
+def test_format_of_each_upload(spark, tmp_path):
+    many = [f"E{i}" for i in range(1, 300)]
+    (tmp_path / "counts.csv").write_text("gene,s1,s2\n" + "\n".join(f"{g},{i},{2.5 if i == 7 else i}" for i, g in enumerate(many)) + "\nE1.2,999,999\n__no_feature,3,3\nE299,-4,NA\n")
+    (tmp_path / "logs.tsv").write_text("sample\tSymA\tE2\tE3\tE2.1\ttissue\nx\t3.5\t\t21.5\t8\tLung\ny\t-0.2\t4.5\t1.25\t9\tLung\n")
+    panel = spark.createDataFrame([("E1", "SymA"), ("E2", "SymB"), ("E3", None), ("E999", "SymZ")], "feature_id string, symbol string")
+    rows = U.long_rows(U.read_cells(spark, str(tmp_path), panel)).withColumn("file", F.regexp_extract("file", "([a-z]+)\\.[a-z]+$", 1))
+    formats = U.file_formats(rows)
+    assert {r["file"]: r["format"] for r in formats.collect()} == {"counts": "counts", "logs": "log2cpm"}
+    values = U.panel_values(rows, panel, U.sample_libraries(rows), formats)
+    v = {(r["sample_id"], r["feature_id"]): r["value"] for r in values.collect()}
+    assert v["x", "E1"] == 3.5 and v["y", "E1"] == -0.2 and v["x", "E3"] == 21.5   # found by symbol, taken as given
+    assert v["x", "E2"] is None and v["y", "E2"] == 4.5                             # the first of two columns, a blank too
+    assert v["s1", "E1"] == 0.0 and v["s1", "E3"] == pytest.approx(math.log2(2e6 / (sum(range(299)) + 999 - 4) + 1))
+    q = {r["file"]: r.asDict() for r in U.quality_report(rows, values, 4, formats).collect()}
+    c, logs = q["counts"], q["logs"]
+    assert (c["n_negative"], c["n_fractional"], c["n_missing"], c["n_summary_rows"], c["few_features"], c["outside_log_range"], c["n_panel_missing"]) == (1, 1, 1, 1, True, 0, 1)
+    assert (logs["n_negative"], logs["n_fractional"], logs["n_missing"], logs["few_features"], logs["outside_log_range"], logs["n_panel_missing"]) == (0, 0, 0, False, 1, 1)
+
+
+def test_forced_scaling(spark):
+    from fathomset.operators.claims import choose_scaling
+    rows = [(b, f"{b}{i}", "class", [f"c{i % k}"], f"c{i % k}") for b, n, k in (("big", 9, 3), ("small", 4, 2)) for i in range(n)]
+    df = spark.createDataFrame(rows, "batch string, sample_id string, claim_kind string, claimed array<string>, call string")
+    assert {r["batch"]: r["mode"] for r in choose_scaling(df, ["batch"]).collect()} == {"big": "within", "small": "reference"}
+    got = {r["batch"]: (r["mode"], r["auto"], r["caveat"]) for r in choose_scaling(df, ["batch"], "within").collect()}
+    assert got == {"big": ("within", "within", False), "small": ("within", "reference", True)}
