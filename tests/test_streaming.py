@@ -73,7 +73,7 @@ def test_closing_by_time_late_rows_and_a_second_set(spark, model):
     assert np.allclose([box["a", f"a{i}"] for i in range(3)], expected([[1, 2], [3, 1], [2, 7]]), atol=1e-9)
     # long after, the same name is a new set
     again, _ = run(spark, model, [[*a, row("a", None, 3, end=True)], [row("z", "z0", 100, [1.0, 1.0])], files[-1][1:2], [files[-1][2], row("a", "a6", 200, [4.0, 4.0])]], "again")
-    assert sorted(again) == [("a", "a0"), ("a", "a1"), ("a", "a2"), ("a", "a5"), ("a", "a6")]
+    assert sorted(again) == [("a", "a0"), ("a", "a1"), ("a", "a2"), ("a", "a5"), ("a", "a6"), ("z", "z0")]
 
 
 def test_open_submissions_wait(spark, model):
