@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -101,3 +103,32 @@ def small_combinations(ids: DataFrame, ident: str, size: int) -> DataFrame:
         out = out.join(nxt, F.element_at("_set", -1) < F.col("_x")).select(
             F.concat("_set", F.array("_x")).alias("_set"))
     return out.select(F.concat_ws(";", "_set").alias("draw"), F.explode("_set").alias(ident))
+
+
+def sampled_combinations(ids: DataFrame, ident: str, size: int, n_draws: int, seed: int) -> DataFrame:
+    """``n_draws`` different ``size``-subsets of any number of ids as ``(draw, ident)``, all subsets equally likely.
+
+    A draw is a rank below C(n, size) decided by a hash, turned into a subset by the combinatorial number system; the subsets are
+    never listed.  Ranks that were drawn before are passed over.  A request for more than half of them takes the ranks in
+    the order of their hashes, which are then fewer than twice the request.  C(n, size) has to fit a double exactly.
+    """
+    index = dense_index(ids.select(ident).distinct().withColumn("_u", unit_hash(seed, ident)), [], "_u", ident)
+    n = index.count()
+    total = math.comb(n, size)
+    if total >= 1 << 53:
+        raise ValueError(f"{total} subsets are too many to be ranked")
+    spark, u = ids.sparkSession, lambda c: unit_hash(seed, c) + unit_hash(f"{seed}b", c) / 4294967296.0
+    if 2 * n_draws > total:
+        ranks = spark.range(total).select(F.col("id").alias("rank")).orderBy(u("rank"), "rank").limit(min(n_draws, total))
+    else:
+        tries = spark.range(4 * n_draws + 16).select("id", F.floor(u("id") * total).cast("long").alias("rank"))
+        ranks = tries.groupBy("rank").agg(F.min("id").alias("id")).orderBy("id").limit(n_draws).select("rank")
+    left, picks = F.col("rank"), []
+    for i in range(size, 0, -1):
+        upto = F.lit([math.comb(c, i) for c in range(n)]).cast("array<bigint>")
+        ranks = ranks.withColumn(f"_c{i}", F.size(F.filter(upto, lambda v: v <= left)) - 1)  # noqa: B023
+        ranks = ranks.withColumn(f"_r{i}", left - F.element_at(upto, F.col(f"_c{i}") + 1))
+        left = F.col(f"_r{i}")
+        picks.append(F.col(f"_c{i}").cast("long"))
+    each = ranks.select(F.col("rank").alias("draw"), F.explode(F.array(*picks)).alias("idx"))
+    return each.join(index.select(F.col("idx").cast("long").alias("idx"), ident), "idx").select("draw", ident)

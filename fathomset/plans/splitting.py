@@ -89,6 +89,24 @@ def all_subsets(spark, sf):
     return S.small_combinations(samples_v(spark, sf).select("batch").distinct(), "batch", 3)
 
 
+#: Individuals in a drawn subset, and subsets.
+SUBSET_SIZE, SUBSETS = 5, 40
+
+
+@query("sampled_subsets", "R11", f"""WITH RECURSIVE {V_SAMPLES}, ids AS (SELECT group_id, row_number() OVER (ORDER BY {u_sql(17, 'group_id')}, group_id) - 1 AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT group_id FROM smp)),
+bt AS (SELECT c, i, CASE WHEN c < i THEN 0 ELSE round(exp(lgamma(c + 1) - lgamma(i + 1) - lgamma(c - i + 1)))::BIGINT END AS v FROM (SELECT max(n) AS n FROM ids), range(0, n + 1) a(c), range(1, {SUBSET_SIZE + 1}) b(i)),
+tt AS (SELECT v AS total FROM bt WHERE i = {SUBSET_SIZE} AND c = (SELECT max(n) FROM ids)),
+tr AS (SELECT id, floor(({u_sql(17, 't.id')} + {u_sql('17b', 't.id')} / 4294967296.0::DOUBLE) * total)::BIGINT AS rank FROM range({4 * SUBSETS + 16}) t(id), tt),
+rk AS (SELECT rank FROM tr GROUP BY rank ORDER BY min(id) LIMIT {SUBSETS}),
+walk(draw, i, r, c) AS (SELECT rank, {SUBSET_SIZE}, rank, -1::BIGINT FROM rk
+  UNION ALL SELECT draw, i, r, c FROM (SELECT w.draw, w.i - 1 AS i, w.r - b.v AS r, b.c, row_number() OVER (PARTITION BY w.draw ORDER BY b.c DESC) AS z
+    FROM walk w JOIN bt b ON b.i = w.i AND b.v <= w.r AND b.c < (SELECT max(n) FROM ids) WHERE w.i > 0) WHERE z = 1)
+SELECT draw, group_id FROM walk JOIN ids ON ids.idx = walk.c WHERE c >= 0""")
+def sampled_subsets(spark, sf):
+    """Different subsets of five individuals, without listing all of them."""
+    return S.sampled_combinations(samples_v(spark, sf), "group_id", SUBSET_SIZE, SUBSETS, 17)
+
+
 @query("unseen_classes", "U3", f"""WITH {V_SAMPLES}
 SELECT DISTINCT class FROM smp WHERE class NOT IN ('c0', 'c1') EXCEPT SELECT class FROM smp WHERE phase = 0 AND sex = 'male' AND batch = 'b3'""")
 def unseen_classes(spark, sf):

@@ -146,3 +146,17 @@ def test_profiles(spark):
     rows = [(n, i, float(v)) for n, vs in {"up": [1, 2, 3, 5], "down": [5, 4, 2, 1], "flat": [1, 1.1, 1, 1.1], "mixed": [1, 5, 0, 4]}.items() for i, v in enumerate(vs)]
     t = A.classify_profile(spark.createDataFrame(rows, "name string, w int, v double"), ["name"], "w", "v", 0.5)
     assert {r["name"]: r["shape"] for r in t.collect()} == {"up": "INCREASING", "down": "DECREASING", "flat": "FLAT", "mixed": "NON-MONOTONE"}
+
+
+def test_drawn_subsets(spark):
+    ids = spark.range(60).select(F.concat(F.lit("p"), "id").alias("pid"))
+    got = {}
+    for r in S.sampled_combinations(ids, "pid", 5, 300, 4).collect():
+        got.setdefault(r["draw"], set()).add(r["pid"])
+    assert len(got) == 300 and all(len(v) == 5 for v in got.values()) and len({frozenset(v) for v in got.values()}) == 300
+    few = {}
+    for r in S.sampled_combinations(ids.limit(6), "pid", 3, 15, 4).collect():  # of 20 in all
+        few.setdefault(r["draw"], set()).add(r["pid"])
+    assert len({frozenset(v) for v in few.values()}) == 15 and all(len(v) == 3 for v in few.values())
+    every = S.sampled_combinations(ids.limit(5), "pid", 2, 99, 4).collect()
+    assert len({r["draw"] for r in every}) == 10 and len(every) == 20
