@@ -42,8 +42,8 @@ from .token_counts import load_tokenizer
 WIDTH = 1 << 24
 #: Bytes of texts that are handled at a time, and characters of units that are encoded as one text.
 GROUP, ROW = 1 << 20, 1 << 16
-#: Units that a worker remembers.
-MEMO = 250_000
+#: Units that a worker remembers, over all the tasks that it runs.
+MEMO = 400_000
 _ODD = frozenset(map(chr, [*range(0x21), *range(0x7F, 0xA1), 0xAD, 0x1680, 0x180E, *range(0x2000, 0x2010), *range(0x2028, 0x2030), *range(0x205F, 0x2070), 0x3000, 0xFEFF]))
 #: A character that is a space or format character in no version of Unicode.
 _SOLID = f"[^{re.escape(''.join(sorted(_ODD)))}]"
@@ -252,10 +252,15 @@ class Memory:
         return [p if rows.good[p].all() else [] for p in places], rows
 
 
+@functools.cache
+def memory_of(a_path: str, b_path: str) -> Memory:
+    return Memory(encoders(a_path, b_path))
+
+
 def _digest(a_path: str, b_path: str):
     @F.arrow_udf(_DIGEST)
     def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        memory = Memory(encoders(a_path, b_path))
+        memory = memory_of(a_path, b_path)
         for column in batches:
             counts, hashes, pairs, times = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for group in text_groups(column, GROUP):
