@@ -51,10 +51,9 @@ def test_no_test_row_reaches_a_fit(data, monkeypatch, kind):
     assert dict(model.inner)[model.choice] == max(s for _, s in model.inner)
 
 
-@pytest.mark.parametrize("kind", ["logreg_l2", "centroid"])
-def test_nested_scores(data, kind):
-    p, chosen = T.nested_cv(data, kind, CLASSES, k=6, prefilter=8, outer=3)
-    assert p.count() == 180 * 3 and [c[0] for c in chosen] == [0, 1, 2]
+def test_nested_scores(data):
+    p, chosen = T.nested_cv(data, "logreg_l2", CLASSES, k=6, prefilter=8, outer=2)
+    assert p.count() == 180 * 3 and [c[0] for c in chosen] == [0, 1]
     sums = p.groupBy("sample_id").agg(F.sum("p").alias("s"), F.max_by("candidate", "p").alias("call"), F.first("class").alias("class"))
     assert sums.where("abs(s - 1) > 1e-6").count() == 0
     assert sums.where("call = class").count() > 0.8 * 180
