@@ -12,6 +12,7 @@ Pieces, never texts, move; a partition is as large as ``per_partition`` says, wh
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -52,9 +53,8 @@ class WordEncoder:
         self.ends[[i for t, i in vocabulary.items() if t.endswith(end_of_word)]] = True
         self.memo: dict[str, bytes] = {}
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.memo) + len(words) > MEMO_WORDS:
-            self.memo.clear()
+    def _learned(self, words: list[str]) -> dict[str, bytes]:
+        found = {}
         for at in range(0, len(words), 1000):
             part = words[at:at + 1000]
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
@@ -63,21 +63,29 @@ class WordEncoder:
                 raise ValueError("the vocabulary does not end each word with one marked token")
             raw, begin = ids.tobytes(), 0
             for word, stop in zip(part, stops.tolist(), strict=True):
-                self.memo[word] = raw[4 * begin:4 * stop]
+                found[word] = raw[4 * begin:4 * stop]
                 begin = stop
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [_PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
         words = [_WORD.findall(t.lower()) if p else [] for t, p in zip(texts, plain, strict=True)]
-        unseen = [w for w in set().union(*words) if w not in self.memo]
-        if unseen:
-            before = len(self.memo)
-            self._learn(unseen)
-            if len(self.memo) < before + len(unseen):  # the memo was emptied: these texts' other words are gone too
-                self._learn([w for w in set().union(*words) if w not in self.memo])
+        new = self._learned(list(set().union(*words).difference(self.memo)))
+        full = len(self.memo) + len(new) > MEMO_WORDS
+        self.memo.update(new)
         rest = iter(self.tokenizer.encode_batch_fast([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
         look = self.memo.__getitem__
-        return [b"".join(map(look, w)) if p else np.array(next(rest).ids, "<u4").tobytes() for w, p in zip(words, plain, strict=True)]
+        out = [b"".join(map(look, w)) if p else np.array(next(rest).ids, "<u4").tobytes() for w, p in zip(words, plain, strict=True)]
+        if full:  # the earliest words, which are mostly the commonest, stay
+            for word in new:
+                del self.memo[word]
+        return out
+
+
+@functools.cache
+def encoder_of(path: str) -> WordEncoder:
+    """One for all tasks of a worker."""
+    return WordEncoder(path)
 
 
 def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, capacity: int = CAPACITY,
@@ -88,7 +96,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = WordEncoder(path)
+        encoder = encoder_of(path)
         for frame in frames:
             at, rows = 0, []
             for group in grouped(["" if t is None else t for t in frame["t"]]):

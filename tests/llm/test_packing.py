@@ -71,3 +71,12 @@ def test_awkward_rows(spark):
         have[r["doc_id"]].append((r["piece"], r["start"], r["length"], r["ids_crc32"]))
     assert {k: sorted(v) for k, v in have.items()} == {k: sorted(v) for k, v in want.items()}
     assert pack_documents(empty(spark)).collect() == []
+
+
+def test_words_are_kept_when_the_memory_is_full(monkeypatch):
+    monkeypatch.setattr("fathomset.llm.packing.MEMO_WORDS", 5)
+    tokenizer, encoder = load_tokenizer(PATH), WordEncoder(PATH)
+    for texts in (["one two three"], ["four five six seven one", "Two zebra"], ["four, one!"], ["eight"]):
+        ids = [list(memoryview(b).cast("I")) for b in encoder.encode(texts)]
+        assert ids == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(encoder.memo) <= 5 and "one" in encoder.memo
