@@ -94,6 +94,9 @@ def join_late_labels(scored: DataFrame, labels: DataFrame, on: list[str], within
 
 
 def parquet_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """A given table as a file stream (schema taken from its footer)."""
+    """A given table, one file or a folder of part files, as a file stream (schema taken from its footer).
+
+    A stream takes a plain path for a folder; a pattern that only the table's own name fits stands for either.
+    """
     schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(folder)
+    return spark.readStream.schema(schema).parquet(f"{folder}/{table}.parque[t]")

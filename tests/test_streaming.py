@@ -1,3 +1,5 @@
+import os
+import shutil
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -102,3 +104,13 @@ def test_labels_meet_once_and_a_hot_user_spreads(spark):
     got = sorted((r.value, r.label_value) for r in T.run_to_files(joined, "late").collect())
     assert got == sorted((float(a), float(b)) for a in range(0, 48, 2) for b in range(0, 48, 3) if a <= b + 0.5 <= a + 6)
     assert "_bucket" in joined._jdf.queryExecution().analyzed().toString().split("Join Inner")[1].split("\n")[0]
+
+
+def test_a_table_in_part_files_is_streamed_whole(spark):
+    folder = scratch_path(spark, "given")
+    spark.range(10).repartition(3).write.parquet(f"{folder}/parts.parquet")
+    part = next(f for f in os.listdir(f"{folder}/parts.parquet") if f.endswith(".parquet"))
+    n_one = spark.read.parquet(f"{folder}/parts.parquet/{part}").count()
+    shutil.copy(f"{folder}/parts.parquet/{part}", f"{folder}/one.parquet")
+    assert T.run_to_files(T.parquet_stream(spark, folder, "parts"), "parts").count() == 10
+    assert T.run_to_files(T.parquet_stream(spark, folder, "one"), "one").count() == n_one
