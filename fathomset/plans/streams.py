@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import ledger as G
-from ..session import scratch_path, settle
+from ..session import settle
 from ..streaming import scoring as T
 from ..streaming import submissions as U
 from .claiming import LIN, _linear
@@ -36,8 +36,7 @@ def stream_submissions(spark, sf):
         F.timestamp_seconds("vec_id").alias("ts"), F.lit(False).alias("is_end"), F.lit(None).cast("int").alias("declared"), F.col("embedding").cast("array<double>").alias("vector"))
     ends = arriving.groupBy("submission_id").agg(F.count_distinct("sample_id").cast("int").alias("declared"), F.max("ts").alias("ts")).select(
         "submission_id", F.lit(None).cast("string").alias("sample_id"), "ts", F.lit(True).alias("is_end"), "declared", F.lit(None).cast("array<double>").alias("vector"))
-    folder = scratch_path(spark, "arriving")
-    arriving.unionByName(ends).repartitionByRange(3, "ts").write.parquet(folder)
+    folder = U.arrive_in_order(arriving.unionByName(ends), "ts", 3)
     stream = spark.readStream.schema(U.ARRIVING).option("maxFilesPerTrigger", 1).parquet(folder)
     name = lambda i: F.concat(F.lit("f"), F.lpad(i.cast("string"), 2, "0"))
     return U.score_submissions(stream, coef, settle(b), name, "1 hour", "submissions")[0]

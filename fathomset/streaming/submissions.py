@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..models.centroid import linear_logits
 from ..operators.conformal import softmax_over
 from ..operators.matrices import feature_scale, zscore
-from ..session import checked_broadcast, scratch_path
+from ..session import checked_broadcast, scratch_path, settle
 
 OPEN, CLOSED = "open", "closed"
 #: What arrives: sample_id is null in an end marker, declared everywhere else.
@@ -93,6 +93,20 @@ def scored_within(rows: DataFrame, coef: DataFrame, intercept: DataFrame, featur
     return p.drop("logit")
 
 
+def arrive_in_order(rows: DataFrame, by: str, files: int) -> str:
+    """Write ``rows`` as that many files, each a range of ``by``, one after the other; returns their folder.
+
+    A file stream takes files by their age, and files of one job are finished in any order: a later range that comes
+    first moves the watermark past the rows of an earlier one.
+    """
+    spark = rows.sparkSession
+    folder = scratch_path(spark, "arriving")
+    ranged = settle(rows.repartitionByRange(files, by).withColumn("_file", F.spark_partition_id()))
+    for i in range(files):
+        ranged.where(F.col("_file") == i).drop("_file").repartition(1).write.mode("append").parquet(folder)
+    return folder
+
+
 def score_submissions(stream: DataFrame, coef: DataFrame, intercept: DataFrame, feature: Callable, gap: str, name: str) -> tuple[DataFrame, DataFrame]:
     """Drain the stream (columns as in ``ARRIVING``); returns the scores of all closed submissions and the late rows.
 

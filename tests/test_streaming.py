@@ -114,3 +114,14 @@ def test_a_table_in_part_files_is_streamed_whole(spark):
     shutil.copy(f"{folder}/parts.parquet/{part}", f"{folder}/one.parquet")
     assert T.run_to_files(T.parquet_stream(spark, folder, "parts"), "parts").count() == 10
     assert T.run_to_files(T.parquet_stream(spark, folder, "one"), "one").count() == n_one
+
+
+def test_files_arrive_in_the_order_of_time(spark, model):
+    rows = [row("s", f"v{i}", 60 * i, [float(i), float(i * i % 7)]) for i in range(12)] + [row("s", None, 660, end=True, declared=12)]
+    folder = U.arrive_in_order(spark.createDataFrame(rows, U.ARRIVING), "ts", 3)
+    stream = spark.readStream.schema(U.ARRIVING).option("maxFilesPerTrigger", 1).parquet(folder)
+    scores, late = U.score_submissions(stream, *model, lambda i: F.concat(F.lit("f"), i.cast("string")), "1 hour", "ordered")
+    assert scores.where("candidate = 'a'").count() == 12 and late.count() == 0
+    parts = sorted((f for f in os.listdir(folder) if f.endswith(".parquet")), key=lambda f: os.stat(f"{folder}/{f}").st_mtime_ns)
+    seen = [spark.read.parquet(f"{folder}/{f}").agg(F.min("ts"), F.max("ts")).first() for f in parts]
+    assert len(seen) == 3 and all(a[1] < b[0] for a, b in zip(seen, seen[1:], strict=False))
