@@ -42,14 +42,12 @@ def stream_submissions(spark, sf):
     return U.score_submissions(stream, coef, settle(b), name, "1 hour", "submissions")[0]
 
 
-@query("coverage_monitor", "ST3 C5 C15", f"""WITH {E_ROWS} SELECT strftime(start, '%Y-%m-%d') AS day, class, n, coverage, flag_rate FROM (
-  SELECT time_bucket(INTERVAL '1 day', ts) AS start, class, count(*) AS n, round(avg((value <= 70)::INT), 6) AS coverage, round(avg((k >= 90)::INT), 6) AS flag_rate FROM ev GROUP BY ALL)
-WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) FROM ev) - INTERVAL 2 HOUR""")
+@query("coverage_monitor", "ST3 C5 C15", f"""WITH {E_ROWS} SELECT strftime(time_bucket(INTERVAL '1 day', ts), '%Y-%m-%d') AS day, class, count(*) AS n, round(avg((value <= 70)::INT), 6) AS coverage, round(avg((k >= 90)::INT), 6) AS flag_rate FROM ev GROUP BY ALL""")
 def coverage_monitor(spark, sf):
     e = T.parquet_stream(spark, sf, "events").select(
         F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("class"), (F.col("value") <= 70).cast("double").alias("covered"),
         (F.from_json("props", "k INT")["k"] >= 90).cast("double").alias("flagged"))
-    w = T.by_batch(T.coverage_windows(e, "1 day", "2 hours"), "monitor")
+    w = T.latest_by_batch(T.coverage_windows(e, "1 day", "2 hours"), ["window_start", "class"], "monitor")
     return w.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "class", "n", F.round("coverage", 6).alias("coverage"), F.round("flag_rate", 6).alias("flag_rate"))
 
 

@@ -65,11 +65,27 @@ def by_batch(stream: DataFrame, name: str, keep=None) -> DataFrame:
     return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(path)
 
 
+def latest_by_batch(stream: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """The last state of every row that a stream in update mode emits, those still open too.
+
+    Each trigger's rows go to a folder named by the batch id, as in :func:`by_batch`; of each key the row of the latest batch counts.
+    """
+    spark = stream.sparkSession
+    path, log = scratch_path(spark, name), scratch_path(spark, f"{name}-log")
+    (stream.writeStream.outputMode("update").option("checkpointLocation", log)
+     .foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{path}/batch={i}")).trigger(availableNow=True).start().awaitTermination())
+    rest = [c for c in stream.columns if c not in keys]
+    rows = spark.read.schema(f"{', '.join(f'`{c}` {t}' for c, t in stream.dtypes)}, batch bigint").option("basePath", path).parquet(path)
+    last = rows.groupBy(*keys).agg(F.max(F.struct("batch", *rest)).alias("_last"))
+    return last.select(*keys, *[F.col("_last")[c].alias(c) for c in rest])
+
+
 def coverage_windows(scored: DataFrame, width: str, delay: str) -> DataFrame:
     """Coverage and flag rate per tumbling window.
 
     In append mode a window is emitted once, when the watermark has passed its end, and its state is dropped; rows that come later
-    than ``delay`` are dropped too.  Windows that are still open are not part of the result.
+    than ``delay`` are dropped too.  Windows that are still open are not part of what append mode emits; update mode emits
+    them with what they hold so far (:func:`latest_by_batch`), and drops state and late rows in the same way.
     """
     return (scored.withWatermark("ts", delay).groupBy(F.window("ts", width), "class")
             .agg(F.count(F.lit(1)).alias("n"), F.avg("covered").alias("coverage"), F.avg("flagged").alias("flag_rate"))

@@ -125,3 +125,12 @@ def test_files_arrive_in_the_order_of_time(spark, model):
     parts = sorted((f for f in os.listdir(folder) if f.endswith(".parquet")), key=lambda f: os.stat(f"{folder}/{f}").st_mtime_ns)
     seen = [spark.read.parquet(f"{folder}/{f}").agg(F.min("ts"), F.max("ts")).first() for f in parts]
     assert len(seen) == 3 and all(a[1] < b[0] for a, b in zip(seen, seen[1:], strict=False))
+
+
+def test_monitor_holds_open_windows(spark):
+    schema = "ts timestamp, class string, covered double, flagged double"
+    files = [[(START + timedelta(days=d, hours=h), "c", float(h % 2), 0.0) for h in range(0, 24, 3)] for d in range(3)]
+    files.append([(START + timedelta(days=2, hours=23), "c", 1.0, 1.0), (START, "c", 1.0, 1.0)])  # the last window grows; two days late
+    w = T.coverage_windows(streamed(spark, files, schema), "1 day", "2 hours")
+    got = T.latest_by_batch(w, ["window_start", "class"], "open-windows").orderBy("window_start").collect()
+    assert [(r.n, r.coverage) for r in got] == [(8, 0.5), (8, 0.5), (9, 5 / 9)]
