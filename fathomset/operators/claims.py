@@ -62,15 +62,21 @@ def status_counts(checked: DataFrame, keys: list[str]) -> DataFrame:
     return checked.select(*keys, one.alias("name")).groupBy(*keys, "name").agg(F.count(F.lit(1)).alias("n"))
 
 
-def choose_scaling(rows: DataFrame, keys: list[str], forced: str | None = None) -> DataFrame:
+def choose_scaling(rows: DataFrame, keys: list[str], forced: str | None = None, parts: list[str] | None = None) -> DataFrame:
     """Within-set scaling only for enough samples spanning enough claimed or called classes.
 
+    ``parts`` adds a row for every part of a set by these columns; they are NULL in the row of the whole set.
+
     ``forced`` sets the mode; then ``auto`` is what the rule would choose, and ``caveat`` says that the set is too small or
     too uniform for the within-set scaling that is forced on it.
     """
-    claimed = F.when(F.col("claim_kind").isin("class", "superclass"), F.concat_ws("|", "claimed"))
-    s = rows.groupBy(*keys).agg(F.count_distinct("sample_id").alias("n_samples"), F.count_distinct(claimed).alias("_c"),
-                                F.count_distinct("call").alias("_p"))
+    rows = rows.withColumn("_claimed", F.when(F.col("claim_kind").isin("class", "superclass"), F.concat_ws("|", "claimed")))
+    cols = [F.col(k) for k in keys]
+    grouped = rows.groupingSets([cols, [*cols, *map(F.col, parts)]], *keys, *parts) if parts else rows.groupBy(*keys)
+    # the claim kind may be one of the parts: what counts distinct is fixed before
+    s = grouped.agg(F.count_distinct("sample_id").alias("n_samples"), F.count_distinct("_claimed").alias("_c"),
+                    F.count_distinct("call").alias("_p"))
+    keys = [*keys, *(parts or [])]
     n = F.greatest("_c", "_p")
     ok = (F.col("n_samples") >= WITHIN_MIN_SAMPLES) & (n >= WITHIN_MIN_CLASSES)
     auto = F.when(ok, "within").otherwise("reference")

@@ -94,12 +94,12 @@ def swap_detection(spark, sf):
 
 
 @query("scaling_choice", "C13", BASE + CALLS + CLAIM + """,
-s AS (SELECT batch, count(DISTINCT sample_id) AS n_samples, greatest(count(DISTINCT CASE WHEN claim_kind IN ('class', 'superclass') THEN array_to_string(claimed, '|') END), count(DISTINCT call)) AS n_classes FROM calls JOIN lb USING (sample_id) GROUP BY batch)
-SELECT batch, n_samples, n_classes, CASE WHEN n_samples >= 8 AND n_classes >= 3 THEN 'within' ELSE 'reference' END AS mode FROM s""")
+s AS (SELECT batch, claim_kind, count(DISTINCT sample_id) AS n_samples, greatest(count(DISTINCT CASE WHEN claim_kind IN ('class', 'superclass') THEN array_to_string(claimed, '|') END), count(DISTINCT call)) AS n_classes FROM calls JOIN lb USING (sample_id) GROUP BY GROUPING SETS ((batch), (batch, claim_kind)))
+SELECT batch, claim_kind, n_samples, n_classes, CASE WHEN n_samples >= 8 AND n_classes >= 3 THEN 'within' ELSE 'reference' END AS mode FROM s""")
 def scaling_choice(spark, sf):
     probs, _ = scored(spark, sf)
     calls = N.top_two(probs.where("role = 'test'"), ["sample_id"])
-    return L.choose_scaling(calls.join(_claims(spark, sf), "sample_id"), ["batch"])
+    return L.choose_scaling(calls.join(_claims(spark, sf), "sample_id"), ["batch"], parts=["claim_kind"])
 
 
 @query("claim_recalibration", "C14", BASE + CLAIM + f""",

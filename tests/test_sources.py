@@ -101,3 +101,11 @@ def test_forced_scaling(spark):
     assert {r["batch"]: r["mode"] for r in choose_scaling(df, ["batch"]).collect()} == {"big": "within", "small": "reference"}
     got = {r["batch"]: (r["mode"], r["auto"], r["caveat"]) for r in choose_scaling(df, ["batch"], "within").collect()}
     assert got == {"big": ("within", "within", False), "small": ("within", "reference", True)}
+
+
+def test_scaling_of_a_set_and_of_its_parts(spark):
+    from fathomset.operators.claims import choose_scaling
+    rows = [("b", f"s{i}", "class" if i < 9 else "none", [f"c{i % 3}"] if i < 9 else [], f"c{i % 3}") for i in range(12)]
+    df = spark.createDataFrame(rows, "batch string, sample_id string, claim_kind string, claimed array<string>, call string")
+    got = {r["claim_kind"]: (r["n_samples"], r["n_classes"], r["mode"]) for r in choose_scaling(df, ["batch"], parts=["claim_kind"]).collect()}
+    assert got == {None: (12, 3, "within"), "class": (9, 3, "within"), "none": (3, 3, "reference")}
