@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import unit_hash
 from ..functions.ranking import average_ranks, dense_index, join_same
-from ..session import settle
+from ..session import checked_broadcast, settle
 
 
 def draw_weights(groups: DataFrame, n_draws: int, seed, group: str = "group_id", keys: Sequence[str] = ()) -> DataFrame:
@@ -119,18 +119,51 @@ def bootstrap_difference(first: DataFrame, second: DataFrame, value: str, n_draw
 
 
 # ---- permutations -----------------------------------------------------------------------------------------------
-def permuted(rows: DataFrame, strata: list[str], columns: list[str], n_perm: int, seed, ident: str = "sample_id") -> DataFrame:
-    """``(perm, ident, strata, columns)`` with the columns shuffled among the rows of each stratum.
+#: Slices of a power of two for hashed units: enough to spread a stratum, few enough that their counts combine before the shuffle.
+UNIT_SLICES = 64
+
+
+def permuted(rows: DataFrame, strata: list[str], columns: list[str], n_perm: int, seed, ident: str = "sample_id",
+             carry: Sequence[str] = ()) -> DataFrame:
+    """``(perm, ident, strata, carry, columns)`` with the columns shuffled among the rows of each stratum.
 
     Position by the hash of (perm, id) takes the values held at the same position of a fixed order;
-    both positions come from the skew-safe index, so no stratum is sorted whole when it is large.
+    both positions come from the skew-safe index, so no stratum is sorted whole when it is large.  Columns to ``carry`` stay with
+    their row, so that no join by id follows; the held side is the smaller one by ``n_perm`` and is hashed, not sorted.
     """
-    base = dense_index(rows.select(ident, *strata, *columns).withColumn("_u", unit_hash(seed, ident)), strata, "_u", ident)
+    base = dense_index(rows.select(ident, *strata, *columns).withColumn("_u", unit_hash(seed, ident)), strata, "_u", ident, slices=UNIT_SLICES)
     held = base.select(*strata, "idx", *columns)
-    every = (rows.select(ident, *strata, F.explode(F.sequence(F.lit(1), F.lit(n_perm))).alias("perm"))
+    place = _places(rows.select(ident, *strata, *carry), strata, n_perm, seed, ident).select("perm", ident, *strata, *carry, "idx")
+    return place.join(held.hint("shuffle_hash"), [*strata, "idx"]).drop("idx")
+
+
+def _places(rows: DataFrame, strata: list[str], n_perm: int, seed, ident: str) -> DataFrame:
+    """The rows once per labelling with their position (``idx``) in the stratum's order by the hash of (perm, id)."""
+    every = (rows.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
              .withColumn("_u", unit_hash(seed, "perm", ident)))
-    place = dense_index(every, ["perm", *strata], "_u", ident).select("perm", ident, *strata, "idx")
-    return place.join(held, [*strata, "idx"]).drop("idx")
+    return dense_index(every, ["perm", *strata], "_u", ident, slices=UNIT_SLICES)
+
+
+#: Positions in one bit mask and in one block of masks.
+_MASK, _BLOCK = 62, 62 * 64
+
+
+def permuted_flags(rows: DataFrame, strata: list[str], flag: str, n_perm: int, seed, ident: str = "sample_id",
+                   carry: Sequence[str] = ()) -> DataFrame:
+    """``permuted`` for one boolean column without nulls: ``(perm, carry, flag)``.
+
+    The flags held at 3,968 neighbouring positions are one row of bit masks.  Those rows meet the places by broadcast while they are
+    small (a bit per row of the table), so that only the places are shuffled, once.
+    """
+    base = dense_index(rows.select(ident, *strata, flag).withColumn("_u", unit_hash(seed, ident)), strata, "_u", ident, slices=UNIT_SLICES)
+    bit = F.when(F.col(flag), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("idx") % _MASK).cast("int"))).otherwise(F.lit(0).cast("long"))
+    masks = (base.groupBy(*strata, F.floor(F.col("idx") / _BLOCK).alias("_block"), F.floor(F.col("idx") % _BLOCK / _MASK).cast("int").alias("_at"))
+             .agg(F.sum(bit).alias("_mask")))
+    held = masks.groupBy(*strata, "_block").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_mask"))), lambda m: m["_mask"]).alias("_masks"))
+    place = _places(rows.select(ident, *strata, *carry), strata, n_perm, seed, ident).withColumn("_block", F.floor(F.col("idx") / _BLOCK))
+    mask = F.get("_masks", F.floor(F.col("idx") % _BLOCK / _MASK).cast("int"))
+    return (place.join(checked_broadcast(held), [*strata, "_block"])
+            .select("perm", *carry, (F.getbit(mask, (F.col("idx") % _MASK).cast("int")) == 1).alias(flag)))
 
 
 def permutation_p(null: DataFrame, observed: Column, stat: str, two_sided: bool = True) -> Column:
@@ -153,7 +186,7 @@ def permutation_correlation(rows: DataFrame, x: str, y: str, n_perm: int, seed,
     else:
         r = average_ranks(average_ranks(rows, [], x, "rx").drop("n_total"), [], y, "ry").drop("n_total")
     r = settle(r.select(ident, *strata, "rx", "ry"))
-    null = (permuted(r, strata, ["ry"], n_perm, seed, ident).join(r.select(ident, "rx"), ident)
+    null = (permuted(r, strata, ["ry"], n_perm, seed, ident, ["rx"])
             .groupBy("perm").agg(F.round(F.corr("rx", "ry"), 9).alias("rho")))
     obs = r.agg(F.round(F.corr("rx", "ry"), 9)).scalar()
     return null.withColumn("_o", obs).groupBy("_o").agg(

@@ -24,3 +24,16 @@ def test_paired_draws_stay_the_same_people(spark):
     assert abs(got["difference"] - 5) < 0.2 and got["hi"] - got["lo"] < 1.6
     apart = R.bootstrap_difference(first, second, "v", 60, 9, paired=False).first()
     assert apart["hi"] - apart["lo"] > 3 * (got["hi"] - got["lo"])
+
+
+def test_flags_from_bit_masks_are_the_permuted_ones(spark):
+    rows = spark.range(9000).select(F.col("id").alias("sample_id"), F.when(F.col("id") % 9 == 0, "small").otherwise("large").alias("part"),
+                                    (F.col("id") % 7 < 2).alias("pos"), (F.col("id") * 0.5).alias("r"))
+    total = [F.count(F.lit(1)).alias("n"), F.count_if("pos").alias("p"), F.sum(F.when(F.col("pos"), F.col("r"))).alias("s")]
+    at_once = R.permuted_flags(rows, ["part"], "pos", 3, 72, carry=["r"]).groupBy("perm").agg(*total)
+    by_join = R.permuted(rows, ["part"], ["pos"], 3, 72, carry=["r"])
+    assert sorted(map(tuple, at_once.collect())) == sorted(map(tuple, by_join.groupBy("perm").agg(*total).collect()))
+    # every label of a stratum is dealt once, and what is carried stays with its row
+    assert {tuple(r) for r in by_join.groupBy("perm", "part").agg(F.count_if("pos")).collect()} == {
+        (i, part, n) for i in (1, 2, 3) for part, n in ((r["part"], r["n"]) for r in rows.groupBy("part").agg(F.count_if("pos").alias("n")).collect())}
+    assert by_join.where("r <> sample_id * 0.5").count() == 0
