@@ -9,7 +9,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.hashing import unit_hash
 from ..functions.ranking import dense_index, exact_quantiles, positions
-from ..session import checked_broadcast, settle
+from ..session import checked_broadcast, estimated_bytes, settle
 
 FEATURE_BLOCK = 5_000  # features per block when a stacked matrix is made dense
 
@@ -177,9 +177,20 @@ def mark_duplicates(table: DataFrame, ident: str, ordinal: str, within: list[str
         ident, F.when(F.col("_n") == 0, F.col(ident)).otherwise(F.concat_ws("__dup", ident, "_n"))).drop("_n")
 
 
+#: Bytes of the written table that one task combines into genes; each of its rows may become as many as its feature has genes.
+COLLAPSE_BYTES = 2 << 20
+
+
 def collapse(fact: DataFrame, mapping: DataFrame, keys: list[str], target: str = "gene") -> DataFrame:
-    """Mean over the features of a gene; one-to-many mappings keep every pair."""
-    return fact.join(mapping, "feature_id").groupBy(*keys, target).agg(F.avg("value").alias("value"))
+    """Mean over the features of a gene; one-to-many mappings keep every pair.
+
+    Rows are dealt by ``keys`` before they meet the mapping, so that the pairs are combined where they are made and never shuffled,
+    and few features don't gather the rows of all samples in few tasks.  The number of parts grows with the written table, so a
+    task's share of the pairs does not.  A mapping too large to broadcast is joined as usual.
+    """
+    fact = settle(fact.select(*keys, "feature_id", "value"))
+    parts = max(int(fact.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-estimated_bytes(fact) // COLLAPSE_BYTES))
+    return fact.repartition(parts, *keys).join(checked_broadcast(mapping), "feature_id").groupBy(*keys, target).agg(F.avg("value").alias("value"))
 
 
 def sum_runs(counts: DataFrame, keys: list[str]) -> DataFrame:

@@ -160,3 +160,13 @@ def test_drawn_subsets(spark):
     assert len({frozenset(v) for v in few.values()}) == 15 and all(len(v) == 3 for v in few.values())
     every = S.sampled_combinations(ids.limit(5), "pid", 2, 99, 4).collect()
     assert len({r["draw"] for r in every}) == 10 and len(every) == 20
+
+
+def test_pairs_of_a_gene_are_combined_where_they_are_made(spark):
+    fact = spark.createDataFrame([(s, f, float(10 * s + f)) for s in range(5) for f in range(3)], "sample_id int, feature_id int, value double")
+    mapping = spark.createDataFrame([(0, "a"), (1, "a"), (1, "b"), (2, "b"), (2, "c")], "feature_id int, gene string")
+    got = Q.collapse(fact, mapping, ["sample_id"])
+    assert {(r["sample_id"], r["gene"]): r["value"] for r in got.collect()} == {
+        (s, g): 10.0 * s + m for s in range(5) for g, m in (("a", 0.5), ("b", 1.5), ("c", 2.0))}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.split("\n") if "hashpartitioning" in line and "gene" in line]
