@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checked_broadcast, settle
-from .common import fresh, quoted
+from .common import fresh, give_back, quoted
 from .near import SIMILARITY, bands_for, classes
 from .words import STEP, Words, blocks, mixed, words_of
 
@@ -136,6 +136,7 @@ def _sketcher(bands: int, rows: int, shingle: int):
                 out += [{"key": k, "size": n, "bands": v if n else None}
                         for k, n, v in zip(keys.tolist(), sizes.tolist(), values.tolist(), strict=True)]
             yield pa.array(out, _SKETCH)
+        give_back()
 
     return sketch
 
@@ -156,6 +157,7 @@ def _contents(texts: DataFrame, shingle: int) -> DataFrame:
                 every = np.repeat(gram, count) ^ mixed(turn.astype(np.uint64) * _GOLD)  # the first keeps its hash
                 lists = pa.ListArray.from_arrays(pa.array(found[1].astype(np.int32)), pa.array(every.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(content_keys(words)), lists], names=names)
+        give_back()
 
     return texts.select("t").mapInArrow(contents, "own long, hashes array<long>")
 
@@ -169,6 +171,7 @@ def _content_key(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             keys.append(content_keys(words))
             counts.append(np.diff(words.first))
         yield pa.array(np.concatenate(keys), mask=np.concatenate(counts) == 0)
+    give_back()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, rows: int = BAND_ROWS,

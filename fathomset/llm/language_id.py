@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .common import fresh, quoted, text_groups
+from .common import fresh, give_back, quoted, text_groups
 
 #: Labelled documents per language that the fit reads, about; a uniform sample by hash of the text.
 TRAIN_ROWS = 500
@@ -181,6 +181,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", path: str |
                         total[:, c] += expected_counts(some["w"].tolist(), some["n"].to_numpy(float), own, sent.value[:, [c]])
             i, c = np.nonzero(total)
             yield pd.DataFrame({"piece": i, "lang": [languages[x] for x in c], "uses": total[i, c]})
+            give_back()
 
         sums = counts.repartition("w").mapInPandas(expect, "piece long, lang string, uses double").groupBy("piece", "lang").agg(F.sum("uses").alias("uses"))
         expected = np.zeros_like(expected)
@@ -252,6 +253,8 @@ def language_scorer(docs: DataFrame, model: Model):
         for column in batches:
             found = [x for group in text_groups(column) for x in scorer.score(group)]
             yield pa.array([{"lang": k, "score": s} for k, s in found], kind)
+        del scorer
+        give_back()
 
     return predict
 

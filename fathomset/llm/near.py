@@ -1,9 +1,9 @@
 """From signatures to classes of near-equal texts: banding, verification against leaders, and components.
 
 A *unit* (a document, a paragraph) is known by the hash of its content, so copies are one unit from the start.
-Units that share a band form a bucket.  A bucket is not compared all against all: its units are compared with one
-leader.  Buckets whose units still lie in several components take more and other leaders in the next rounds; a round's
-work is linear in a bucket's size.  What the leaders leave open is finished exactly: all units of buckets that still
+Units that share a band form a bucket.  A bucket is not compared all against all: in a round each unit is compared
+with up to ``LEADERS`` leaders of its buckets, however many units those hold.  Buckets whose units still lie in several
+components take other leaders in the next round.  What the leaders leave open is finished exactly: all units of buckets that still
 hold several components meet over their rarest hashes (``links_between``).  So a pair is missed only if it shares no
 bucket; two units of similarity ``s`` share one with probability ``1 - (1 - s ** rows) ** bands``.
 """
@@ -15,12 +15,13 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..session import checked_broadcast, settle
 
 SIMILARITY = 0.8
-#: Leaders of a bucket in each round; they join the large classes cheaply, and what they leave open is finished exactly.
-LEADERS = (1, 6, 16)
+#: Rounds, and leaders a unit is compared with in each; they join the large classes cheaply, and what they leave open is finished exactly.
+ROUNDS, LEADERS = 2, 3
 
 
 def bands_for(similarity: float, rows: int, miss: float) -> int:
@@ -102,7 +103,8 @@ def classes(units: DataFrame, contents: Callable[[DataFrame], DataFrame], simila
     each = settle(units.select("key", "size", F.posexplode("bands").alias("band", "value")))
     at = ["band", "value"]
     shared = each.groupBy(*at).agg(F.count("*").alias("n")).where("n > 1")
-    each = settle(each.join(shared.drop("n"), at))
+    # how many others a unit meets, counted once for each bucket they share
+    each = settle(each.join(shared, at).withColumn("met", F.sum(F.col("n") - 1).over(W.partitionBy("key"))).drop("n"))
     held = settle(contents(each.select("key").distinct()))
     roots: DataFrame | None = None
 
@@ -111,16 +113,20 @@ def classes(units: DataFrame, contents: Callable[[DataFrame], DataFrame], simila
             return each.withColumn("root", F.col("key"))
         return each.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
 
-    for tried, count in enumerate(LEADERS):
+    for turn in range(ROUNDS):
         members = placed()
-        # the leader of a bucket is the smallest key (which is a hash), the same in all bands; later rounds take others
-        ranks = [F.xxhash64("key", F.lit(100 * tried + i)) for i in range(count)] if tried else [F.col("key")]
-        chosen = [F.min(F.struct(r.alias("r"), "key", "root", "size")).alias(f"l{i}") for i, r in enumerate(ranks)]
-        leaders = (members.groupBy(*at).agg(*chosen, F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
-                   .select(*at, F.explode(F.array_distinct(F.array(*[f"l{i}" for i in range(len(ranks))]))).alias("l")))
-        pairs = settle(members.join(leaders, at).where("root <> l.root")
-                       .where(F.least("size", F.col("l.size")) >= similarity * F.greatest("size", F.col("l.size")))
-                       .select("key", "root", F.col("l.key").alias("leader"), F.col("l.root").alias("leader_root")).distinct())
+        # the leader of a bucket is the unit that meets the most others over all bands, the middle of a large class; later
+        # rounds draw others, in proportion to what they meet
+        unit = (F.shiftrightunsigned(F.xxhash64("key", F.lit(turn)), 11) + 0.5) / float(1 << 53)
+        rank = F.log(unit) / F.col("met") if turn else F.col("met")
+        leaders = (members.groupBy(*at).agg(F.max(F.struct(rank.alias("r"), "key", "root", "size")).alias("l"), F.min("root").alias("a"), F.max("root").alias("b"))
+                   .where("a <> b").select(*at, "l"))
+        met = (members.join(leaders, at).where("root <> l.root")
+               .where(F.least("size", F.col("l.size")) >= similarity * F.greatest("size", F.col("l.size")))
+               .groupBy("key", "root", F.col("l.key").alias("leader"), F.col("l.root").alias("leader_root")).agg(F.count("*").alias("n")))
+        # a unit has a leader for each band at most; it is compared with the few it shares the most buckets with
+        likeliest = F.slice(F.sort_array(F.collect_list(F.struct("n", "leader", "leader_root")), False), 1, LEADERS)
+        pairs = settle(met.groupBy("key", "root").agg(likeliest.alias("l")).select("key", "root", F.explode("l").alias("l")).select("key", "root", F.col("l.leader").alias("leader"), F.col("l.leader_root").alias("leader_root")))
         led = held.join(checked_broadcast(pairs.select(F.col("leader").alias("key")).distinct()), "key", "left_semi")
         near = settle(held.withColumnRenamed("hashes", "x").join(checked_broadcast(pairs), "key")
                       .join(led.select(F.col("key").alias("leader"), F.col("hashes").alias("y")), "leader")
@@ -129,7 +135,7 @@ def classes(units: DataFrame, contents: Callable[[DataFrame], DataFrame], simila
         if near.head(1):
             # links join components found so far: only their roots take part
             roots = joined_roots(roots, near)
-        elif tried:
+        elif turn:
             break
     members = placed()
     several = members.groupBy(*at).agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select(*at)

@@ -37,3 +37,29 @@ def test_true_pairs_of_one_template_are_all_found(spark):
     held = spark.createDataFrame([(k, s.tolist()) for k, s in zip(keys, sets, strict=True)], "key long, hashes array<long>")
     got = N.classes(units, lambda wanted: held.join(wanted, "key", "left_semi"))
     assert {k: r for k, r in got.where(F.col("key") != F.col("root")).collect()} == {k: r for k, r in parent.items() if k != r}
+
+
+def test_units_meet_few_leaders_however_large_a_bucket_is(spark, monkeypatch):
+    """A class of 300 near copies around one centre, in buckets with 300 strangers of its template."""
+    rng = np.random.default_rng(9)
+    hashes = lambda n: rng.integers(1, 1 << 62, n)
+    centre, sets = hashes(200), []
+    for k in range(600):
+        own = centre.copy()
+        own[rng.choice(200, 10 if k < 300 else 45, replace=False)] = hashes(10 if k < 300 else 45)
+        sets.append(own)
+    bands = N.bands_for(0.8, 4, 1e-4)
+    values = band_values(minhashes(np.concatenate(sets).astype(np.uint64), np.arange(0, 200 * len(sets) + 1, 200), bands * 4), 4)
+    units = spark.createDataFrame([(k, 200, v.tolist()) for k, v in enumerate(values)], "key long, size long, bands array<long>")
+    held = spark.createDataFrame([(k, s.tolist()) for k, s in enumerate(sets)], "key long, hashes array<long>")
+    compared, plain = [], N.settle
+
+    def spy(table):
+        out = plain(table)
+        if "leader" in out.columns:
+            compared.append(out.groupBy("key").count().agg(F.max("count")).first()[0] or 0)
+        return out
+    monkeypatch.setattr(N, "settle", spy)
+    got = dict(N.classes(units, lambda wanted: held.join(wanted, "key", "left_semi")).collect())
+    assert compared and max(compared) <= 3
+    assert len({got[k] for k in range(300)}) == 1
