@@ -7,6 +7,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from ..functions.hashing import unit_hash
+from ..models import arms as D
 from ..models import centroid as N
 from ..models import pipelines as P
 from ..models import tuning as T
@@ -268,20 +269,16 @@ def representation_grid(spark, sf):
 def duration_arms(spark, sf):
     """Two-group task (phase p against phase 0) for every duration and arm; the best arm against a permutation null."""
     from pyspark.sql.window import Window as W
-    f = fact_v(spark, sf).select("sample_id", "group_id", "sex", "phase", "feature_id", "value")
-    tasks = f.withColumn("duration", F.explode(F.sequence(F.lit(1), F.lit(4)))).where("phase IN (0, duration)")
-    arms = tasks.withColumn("arm", F.explode(F.array_compact(F.array(
-        F.lit("both"), F.when(F.col("feature_id") < "f32", "a").otherwise("b")))))
-    s = arms.select("duration", "sample_id", "group_id", "sex", (F.col("phase") > 0).alias("treated")).distinct()
-    lab = R.permuted(s, ["duration", "sex"], ["treated"], ARM_PERMUTATIONS, 98).select("perm", "duration", "sample_id", "treated").unionByName(
-        s.select(F.lit(0).alias("perm"), "duration", "sample_id", "treated"))
-    side = unit_hash(99, "group_id") < 0.4
-    x = arms.join(settle(lab), ["duration", "sample_id"]).withColumn("test", side)
-    m = x.where("NOT test").groupBy("perm", "duration", "arm", "feature_id").agg(
-        F.avg(F.when(F.col("treated"), F.col("value"))).alias("m1"), F.avg(F.when(~F.col("treated"), F.col("value"))).alias("m0"))
-    w = F.col("m1") - F.col("m0")
-    sc = x.where("test").join(checked_broadcast(settle(m)), ["perm", "duration", "arm", "feature_id"]).groupBy(
-        "perm", "duration", "arm", "sample_id", "treated").agg(F.round(F.sum(F.col("value") * w), 9).alias("score"))
+    s = samples_v(spark, sf).where("size(embedding) > 0").withColumn("duration", F.explode(F.sequence(F.lit(1), F.lit(4)))).where("phase IN (0, duration)")
+    s = settle(s.select("duration", "sample_id", "group_id", "sex", (F.col("phase") > 0).alias("treated"), F.transform("embedding", lambda v: v.cast("double")).alias("vec")))
+    who = s.select("sample_id", "duration", "sex", "treated", F.col("duration").alias("task"), F.col("sample_id").alias("sample")).distinct()
+    lab = R.permuted_flags(who, ["duration", "sex"], "treated", ARM_PERMUTATIONS, 98, carry=["task", "sample"]).unionByName(
+        who.select(F.lit(0).alias("perm"), "task", "sample", "treated"))
+    bits = D.label_bits(lab, ["task", "sample"], "treated")
+    x = settle(s.join(bits, (F.col("duration") == F.col("task")) & (F.col("sample_id") == F.col("sample"))).select(
+        "duration", "vec", "bits", (unit_hash(99, "group_id") < 0.4).alias("test")))
+    w = D.weights(x.where("NOT test"), "duration", ARM_PERMUTATIONS + 1)
+    sc = D.scores(x.where("test"), "duration", w, {"both": (0, None), "a": (0, 32), "b": (32, None)})
     a = settle(M.auroc(sc, ["perm", "duration", "arm"], "score", "treated"))
     null = a.where("perm > 0").groupBy("perm", "duration").agg(F.max("auroc").alias("best")).groupBy("duration").agg(F.percentile("best", F.lit(0.95)).alias("null_95"))
     best = a.where("perm = 0").withColumn("r", F.row_number().over(W.partitionBy("duration").orderBy(F.desc("auroc"), "arm")))  # one row per arm
