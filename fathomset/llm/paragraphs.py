@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..session import checked_broadcast, settle
 from .bagminhash import SHINGLE, band_values, content_keys, shingles
-from .common import fresh, quoted, text_groups
+from .common import fresh, lean, quoted, text_groups
 from .near import SIMILARITY, bands_for, classes
 from .words import MIX, Words, words_of
 
@@ -59,32 +59,38 @@ def minhashes(grams: np.ndarray, first: np.ndarray, count: int) -> np.ndarray:
 
 def _sketcher(least_words: int, bands: int, rows: int, shingle: int):
     @F.arrow_udf(_LINE_SQL)
+    @lean
     def sketch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            out: list[list[dict]] = []
+            # columns, not rows of Python objects, are held until the batch is complete
+            out = [pa.array([], pa.list_(_LINE))]
             for group in text_groups(column, 1 << 19):
-                own: list[list[dict]] = [[] for _ in group]
                 lines, words = _lines(group)
                 counts = np.diff(words.first)
                 long_enough = np.flatnonzero(counts >= least_words)
-                if len(long_enough):
-                    keep = np.repeat(counts >= least_words, counts)
-                    some = Words(words.data, words.hashes[keep], words.begins[keep], words.ends[keep], np.concatenate([[0], np.cumsum(counts[long_enough])]))
-                    grams, first = shingles(some, shingle)
-                    keys, values = content_keys(some), band_values(minhashes(grams, first, bands * rows), rows)
-                    for p, line in enumerate(long_enough.tolist()):
-                        i, n, at = lines[line]
-                        size = len(group[i]) if line + 1 == len(lines) or lines[line + 1][0] != i else lines[line + 1][2] - 1
-                        own[i].append({"paragraph": n, "first": at, "until": size, "words": int(counts[line]), "key": int(keys[p]),
-                                       "size": len(set(grams[first[p]:first[p + 1]].tolist())), "bands": values[p].tolist()})
-                out += own
-            yield pa.array(out, pa.list_(_LINE))
+                if not len(long_enough):
+                    out.append(pa.array([[]] * len(group), pa.list_(_LINE)))
+                    continue
+                keep = np.repeat(counts >= least_words, counts)
+                some = Words(words.data, words.hashes[keep], words.begins[keep], words.ends[keep], np.concatenate([[0], np.cumsum(counts[long_enough])]))
+                grams, first = shingles(some, shingle)
+                text, number, begin = (np.array(x)[long_enough] for x in zip(*lines, strict=True))
+                # a line ends before the next line's break, the last of a text with the text
+                ends = np.array([lines[n + 1][2] - 1 if n + 1 < len(lines) and lines[n + 1][0] == lines[n][0] else len(group[lines[n][0]]) for n in long_enough.tolist()], np.int64)
+                sizes = np.array([len(np.unique(grams[a:b])) for a, b in zip(first, first[1:], strict=False)], np.int64)
+                values = band_values(minhashes(grams, first, bands * rows), rows)
+                listed = pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, bands), pa.int32()), pa.array(values.ravel()))
+                found = pa.StructArray.from_arrays([pa.array(number, pa.int32()), pa.array(begin, pa.int64()), pa.array(ends), pa.array(counts[long_enough], pa.int64()),
+                                                    pa.array(content_keys(some)), pa.array(sizes), listed], fields=list(_LINE))
+                out.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(len(group) + 1)), pa.int32()), found))
+            yield pa.concat_arrays(out)
 
     return sketch
 
 
 def _contents(texts: DataFrame, least_words: int, shingle: int) -> DataFrame:
     """Rows (key, hashes) of the paragraphs of a table (t), a group of texts at a time."""
+    @lean
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for group in text_groups(batch.column(0), 1 << 19):
