@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from fathomset.llm import suffixes
+from fathomset.llm import common, suffixes
 from fathomset.llm.suffixes import anchors, compare_bucket, multikey_order, without_repeats
 
 from .frames import awkward, empty
@@ -99,3 +99,16 @@ def test_equal_windows_have_equal_anchors():
     where = {int(a - j): int(j) for a, h, low in zip(at, hi, lo, strict=True) for j in range(low, h + 1)}
     for i in range(len(shared) - 24 + 1):
         assert where[15 + i] == where[len(texts[0]) + 2 + i]
+
+
+def test_workers_give_memory_back_after_a_task(monkeypatch):
+    freed = []
+    monkeypatch.setattr(common, "give_back", lambda: freed.append(True))
+    text = "abcdefgh" * 10
+    for work, batch in ((suffixes._find_marks(24, 3, 20), pa.record_batch([pa.array([1]), pa.array([text])], ["row", "text"])),
+                        (suffixes._cut_contexts(24), pa.record_batch([pa.array([text]), pa.array([[{"core": 1, "ctx": 2, "pos": 30, "hi": 4, "lo": 2}]])], ["text", "wanted"]))):
+        before = len(freed)
+        assert list(work(iter([batch])))
+        assert len(freed) == before + 1
+    assert list(suffixes._cut(iter([(pa.array([text]), pa.array([None], pa.list_(pa.int32())), pa.array([None], pa.list_(pa.int32())))])))
+    assert len(freed) == 3
