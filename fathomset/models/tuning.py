@@ -36,17 +36,28 @@ class ImputeModel(Model):
 
 
 class MedianImpute(Estimator):
-    """NaN entries become the median of the position's other entries (0 where there is none); one number per position is kept."""
+    """NaN entries become the median of the position's other entries (0 where there is none); one number per position is kept.
 
-    def __init__(self, input_col: str = "features", output_col: str = "filled"):
+    With ``positions`` only these are fitted and filled; entries elsewhere stay as they are, NaN too.
+    """
+
+    def __init__(self, input_col: str = "features", output_col: str = "filled", positions: list[int] | None = None):
         super().__init__()
-        self.input_col, self.output_col = input_col, output_col
+        self.input_col, self.output_col, self.positions = input_col, output_col, positions
 
     def _fit(self, dataset: DataFrame) -> ImputeModel:
-        long = vector_long(dataset, self.input_col).where(~F.isnan("value"))
-        found = {int(r["feature_id"]): r["m"] for r in exact_quantiles(long, ["feature_id"], "value", {"m": 0.5}).collect()}
         width = dataset.select(F.size(vector_to_array(self.input_col)).alias("n")).first()["n"]
-        return ImputeModel([found.get(i, 0.0) for i in range(width)], self.input_col, self.output_col)
+        own, found = range(width) if self.positions is None else self.positions, {}
+        if len(own):
+            long = vector_long(dataset, self.input_col).where(~F.isnan("value") & F.col("feature_id").cast("int").isin(*own))
+            found = {int(r["feature_id"]): r["m"] for r in exact_quantiles(long, ["feature_id"], "value", {"m": 0.5}).collect()}
+        return ImputeModel([found.get(i, 0.0) if i in own else float("nan") for i in range(width)], self.input_col, self.output_col)
+
+
+def open_positions(rows: DataFrame, column: str = "features") -> list[int]:
+    """Positions that are NaN in at least one row."""
+    each = F.posexplode(vector_to_array(column)).alias("i", "value")
+    return sorted(r["i"] for r in rows.select(each).where(F.isnan("value")).groupBy("i").count().collect())
 
 
 class CentroidModel(Model):
@@ -110,9 +121,9 @@ class Tuned:
         return self.head.transform(self.preprocess.transform(rows))
 
 
-def preprocessing(k: int | None, prefilter: int) -> Pipeline:
+def preprocessing(k: int | None, prefilter: int, open_at: list[int] | None = None) -> Pipeline:
     """impute → variance prefilter → scale → class-aware panel."""
-    steps = [MedianImpute(), VarianceTopK(prefilter, "filled", "kept"), StandardScaler(inputCol="kept", outputCol="scaled", withMean=True)]
+    steps = [MedianImpute(positions=open_at), VarianceTopK(prefilter, "filled", "kept"), StandardScaler(inputCol="kept", outputCol="scaled", withMean=True)]
     return Pipeline(stages=[*steps, RoundRobinPanel(k)] if k else steps)
 
 
@@ -126,11 +137,13 @@ def inner_fold(seed: int, folds: int = INNER_FOLDS) -> Column:
     return F.floor(unit_hash(seed, "group_id") * folds).cast("int")
 
 
-def fit_tuned(kind: str, train: DataFrame, n_labels: int, k: int | None = 20, prefilter: int = 5000, folds: int = INNER_FOLDS, seed: int = 3) -> Tuned:
+def fit_tuned(kind: str, train: DataFrame, n_labels: int, k: int | None = 20, prefilter: int = 5000, folds: int = INNER_FOLDS, seed: int = 3,
+              open_at: list[int] | None = None) -> Tuned:
     """The best of the kind's grid by balanced accuracy over inner folds of whole groups, fitted again on all training rows.
 
     Each inner fold is preprocessed once, from its own training rows, for the whole grid.  Without a choice to make, or with too
-    few groups for inner folds, the first of the grid is fitted.
+    few groups for inner folds, the first of the grid is fitted.  ``open_at`` names the positions that can be NaN in the rows
+    trained on and scored (by default all): a median that fills nothing is not sought.
     """
     features, grid = "panel" if k else "scaled", GRIDS[kind]
     rows = settle(train.withColumn("inner", inner_fold(seed, folds)))
@@ -141,7 +154,7 @@ def fit_tuned(kind: str, train: DataFrame, n_labels: int, k: int | None = 20, pr
             ahead, held = rows.where(F.col("inner") != fold), rows.where(F.col("inner") == fold)
             if not held.head(1) or not ahead.head(1):
                 continue
-            pre = preprocessing(k, prefilter).fit(ahead)
+            pre = preprocessing(k, prefilter, open_at).fit(ahead)
             a, b = settle(pre.transform(ahead).select("label", features)), settle(pre.transform(held).select("label", features))
             n = a.count()
             with ThreadPoolExecutor(len(grid)) as pool:
@@ -149,7 +162,7 @@ def fit_tuned(kind: str, train: DataFrame, n_labels: int, k: int | None = 20, pr
                     scores[c].append(s)
     mean = {c: sum(s) / len(s) for c, s in scores.items() if s}
     choice = max(mean, key=mean.get) if mean else grid[0]  # of equal ones the first of the grid
-    pre = preprocessing(k, prefilter).fit(rows)
+    pre = preprocessing(k, prefilter, open_at).fit(rows)
     ready = settle(pre.transform(rows).select("label", features))
     return Tuned(pre, _head(kind, choice, ready.count(), n_labels, features).fit(ready), choice, [(c, mean.get(c)) for c in grid])
 
@@ -162,12 +175,13 @@ def nested_cv(data: DataFrame, kind: str, classes: list[str], k: int | None = 20
     """
     folds = settle(grouped_kfold(data, "class", "group_id", outer, seed).select("group_id", "fold"))
     rows = settle(data.join(folds, "group_id"))
+    open_at = open_positions(rows)
     out, chosen = None, []
     for fold in range(outer):
         test = rows.where(F.col("fold") == fold)
         if not test.head(1):
             continue
-        model = fit_tuned(kind, rows.where(F.col("fold") != fold), len(classes), k, prefilter, inner, seed)
+        model = fit_tuned(kind, rows.where(F.col("fold") != fold), len(classes), k, prefilter, inner, seed, open_at)
         p = settle(long_probabilities(model.transform(test), classes, "fold", "sample_id", "group_id", "class"))
         chosen.append((fold, model.choice, dict(model.inner)[model.choice]))
         out = p if out is None else out.unionByName(p)

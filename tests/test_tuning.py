@@ -75,3 +75,20 @@ def test_impute_and_centroids(spark):
     d = (x[:2].mean(axis=0) - x.mean(axis=0)) / unit
     assert np.allclose(shrunk.centres[0][1], x.mean(axis=0) + unit * np.sign(d) * np.maximum(np.abs(d) - 0.5, 0))
     assert [r.prediction for r in shrunk.transform(rows).collect()] == [0.0, 0.0, 1.0, 1.0]
+
+
+def test_medians_are_sought_only_where_a_row_is_open(data, monkeypatch):
+    full = T.open_positions(data)
+    assert full and set(full) <= set(range(8))
+    sought, plain = [], T.exact_quantiles
+
+    def spy(long, *rest, **more):
+        sought.append({int(r[0]) for r in long.select("feature_id").distinct().collect()})
+        return plain(long, *rest, **more)
+    monkeypatch.setattr(T, "exact_quantiles", spy)
+    every, some = T.MedianImpute().fit(data), T.MedianImpute(positions=full).fit(data)
+    assert sought == [set(range(12)), set(full)]
+    rows = lambda m: sorted((r["sample_id"], tuple(r["filled"].toArray().tolist())) for r in m.transform(data).collect())
+    assert rows(every) == rows(some)
+    T.MedianImpute(positions=[]).fit(data)
+    assert len(sought) == 2
