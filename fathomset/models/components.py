@@ -88,8 +88,10 @@ def _orthogonal(table: DataFrame, key: str) -> DataFrame:
 
 def standardised(fact: DataFrame, prefilter: int | None = None, sample: str = "sample_id") -> tuple[DataFrame, DataFrame]:
     """((sample, feature_id, z), (feature_id, center, scale)): median for NULL values, the ``prefilter`` features of largest variance, sd 0 counts as 1."""
-    medians = exact_quantiles(fact, ["feature_id"], "value", {"_median": 0.5}).select("feature_id", "_median")
-    rows = settle(fact.join(checked_broadcast(medians), "feature_id").select(sample, "feature_id", F.coalesce("value", "_median").alias("value")))
+    # a median is sought only where it fills something
+    open_ = fact.where("value IS NULL").select("feature_id").distinct()
+    medians = exact_quantiles(fact.join(checked_broadcast(open_), "feature_id", "left_semi"), ["feature_id"], "value", {"_median": 0.5}).select("feature_id", "_median")
+    rows = settle(fact.join(checked_broadcast(medians), "feature_id", "left").select(sample, "feature_id", F.coalesce("value", "_median").alias("value")))
     m = moments(rows, ["feature_id"])
     if prefilter is not None:
         m = m.join(top_variance(m, prefilter).select("feature_id"), "feature_id", "left_semi")

@@ -61,3 +61,19 @@ def test_triangle(spark):
     df = spark.createDataFrame([(r.tolist(),) for r in x], "vec array<double>").repartition(7)
     r = triangle(df)
     assert np.allclose(r.T @ r, x.T @ x)
+
+
+def test_medians_are_sought_only_where_a_value_is_missing(spark, monkeypatch):
+    from fathomset.models import components as K
+    rows = [(f"s{i}", f"f{j}", None if (i, j) in {(0, 1), (3, 1)} else float(i * (j + 1) % 7)) for i in range(8) for j in range(3)]
+    fact = spark.createDataFrame(rows, "sample_id string, feature_id string, value double")
+    sought, plain = [], K.exact_quantiles
+
+    def spy(df, *rest, **more):
+        sought.append({r[0] for r in df.select("feature_id").distinct().collect()})
+        return plain(df, *rest, **more)
+    monkeypatch.setattr(K, "exact_quantiles", spy)
+    z, scale = K.standardised(fact)
+    assert sought == [{"f1"}]
+    assert z.count() == 24 and z.where("z IS NULL").count() == 0
+    assert {r["feature_id"] for r in scale.collect()} == {"f0", "f1", "f2"}
