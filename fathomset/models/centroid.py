@@ -90,20 +90,26 @@ def contrast(terms: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
 def panel_calls(fact: DataFrame, roles: DataFrame, table: DataFrame, panel: DataFrame, sizes: Sequence[int], wanted: Sequence[str] = ("test", "cal")) -> DataFrame:
     """The nearest centroid of each sample for every panel size, in one pass: rows (fold, role, group_id, sample_id, class, k, call).
 
-    A panel feature is one row with its place and an array of class means, so facts are multiplied neither by classes nor by
-    sizes; what a sample collects is bounded by the largest panel.
+    A panel feature is one row with its place and a column per class, so facts are multiplied neither by classes nor by
+    sizes; a sample's distances are sums per class and step from one size to the next.
     """
-    features = (table.groupBy("fold", "feature_id").agg(F.first("sd").alias("sd"), F.array_sort(F.collect_list(F.struct("candidate", "mu"))).alias("means"))
+    sizes, names = sorted(sizes), [r["candidate"] for r in table.select("candidate").distinct().orderBy("candidate").collect()]
+    features = (table.groupBy("fold", "feature_id").agg(F.first("sd").alias("sd"), *[F.max(F.when(F.col("candidate") == c, F.col("mu"))).alias(f"_m{i}") for i, c in enumerate(names)])
                 .join(panel.select("fold", "feature_id", "pick").where(F.col("pick") <= max(sizes)), ["fold", "feature_id"]))
     who = roles.where(F.col("role").isin(list(wanted))).select("fold", "role", "group_id")
     near = fact.join(checked_broadcast(who), "group_id").join(checked_broadcast(features), ["fold", "feature_id"])
-    gap = F.transform("means", lambda m: F.struct(m["candidate"].alias("candidate"), F.pow((F.col("value") - m["mu"]) / F.col("sd"), 2).alias("d2")))
-    own = near.groupBy("fold", "role", "group_id", "sample_id", "class").agg(F.collect_list(F.struct("pick", gap.alias("gaps"))).alias("seen"))
-
-    def nearest(k: int) -> Column:
-        spread = F.flatten(F.transform(F.filter("seen", lambda s: s["pick"] <= k), lambda s: s["gaps"]))
-        names = F.array_distinct(F.transform(spread, lambda g: g["candidate"]))
-        total = F.transform(names, lambda c: F.struct(F.round(F.aggregate(F.filter(spread, lambda g: g["candidate"] == c), F.lit(0.0), lambda a, g: a + g["d2"]), DIGITS).alias("d2"), c.alias("candidate")))
-        return F.array_min(total)["candidate"]
-    calls = F.array(*[F.struct(F.lit(k).alias("k"), nearest(k).alias("call")) for k in sizes])
+    step = [(F.col("pick") > low) & (F.col("pick") <= k) for low, k in zip([0, *sizes], sizes, strict=False)]
+    gap = [F.pow((F.col("value") - F.col(f"_m{i}")) / F.col("sd"), 2) for i in range(len(names))]
+    known = F.coalesce(*[F.when(F.col(f"_m{i}").isNotNull(), F.lit(i)) for i in range(len(names))])
+    own = near.groupBy("fold", "role", "group_id", "sample_id", "class").agg(
+        F.min("pick").alias("_first"), F.min(known).alias("_known"),
+        *[F.sum(F.when(s, g)).alias(f"_d{j}_{i}") for j, s in enumerate(step) for i, g in enumerate(gap)])
+
+    def nearest(j: int) -> Column:
+        parts = lambda i: [F.col(f"_d{s}_{i}") for s in range(j + 1)]
+        total = lambda i: sum((F.coalesce(d, F.lit(0.0)) for d in parts(i)), F.lit(0.0))
+        near = F.array(*[F.when(F.coalesce(*parts(i)).isNotNull(), F.struct(F.round(total(i), DIGITS).alias("d2"), F.lit(i).alias("i"))) for i in range(len(names))])
+        # without any value all distances are unknown, and the first name is called
+        return F.when(F.col("_first") <= sizes[j], F.array(*[F.lit(c) for c in names])[F.coalesce(F.array_min(near)["i"], F.col("_known"))])
+    calls = F.array(*[F.struct(F.lit(k).alias("k"), nearest(j).alias("call")) for j, k in enumerate(sizes)])
     return own.select("fold", "role", "group_id", "sample_id", "class", F.inline(calls))

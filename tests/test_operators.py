@@ -170,3 +170,13 @@ def test_pairs_of_a_gene_are_combined_where_they_are_made(spark):
         (s, g): 10.0 * s + m for s in range(5) for g, m in (("a", 0.5), ("b", 1.5), ("c", 2.0))}
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert not [line for line in plan.split("\n") if "hashpartitioning" in line and "gene" in line]
+
+
+def test_panel_calls_leave_a_missing_value_out(spark):
+    from fathomset.models.centroid import panel_calls
+    fact = spark.createDataFrame([("s", "g", "b", "f1", 5.0), ("s", "g", "b", "f2", None)], "sample_id string, group_id string, class string, feature_id string, value double")
+    roles = spark.createDataFrame([(0, "test", "g")], "fold int, role string, group_id string")
+    table = spark.createDataFrame([(0, c, f, m, 1.0) for c, m in (("a", 0.0), ("b", 5.0)) for f in ("f1", "f2")], "fold int, candidate string, feature_id string, mu double, sd double")
+    panel = spark.createDataFrame([(0, "f1", 1), (0, "f2", 2)], "fold int, feature_id string, pick int")
+    got = {r["k"]: r["call"] for r in panel_calls(fact, roles, table, panel, (1, 2)).collect()}
+    assert got == {1: "b", 2: "b"}
