@@ -6,10 +6,11 @@ B's proto) are the coarse cuts: where a span is as long in bytes as its token's
 that share a character (pieces of a multibyte character, byte-fallback pieces) have spans of other lengths; they are
 refined by the lengths of their decoded bytes.  The decoded bytes joined must be the text, or it has no tokens at all.
 
-Texts are encoded in units.  A unit ends before a single space between two solid characters: A's pre-tokeniser starts a pre-token at
-such a space, and no piece of B holds the space mark behind another character, so no merge crosses it.  What a worker finds in
-a unit it remembers while there is room; units it does not know are encoded together, as one text of units in a row.  Vocabularies
-without these properties get whole texts as units.
+Texts are encoded in units.  A unit ends before a single space or line break between two solid characters, and between a Latin letter
+and ASCII punctuation: A's pre-tokeniser starts a pre-token there, and no piece of B holds the space mark behind another character,
+a line break beside one, or such punctuation behind a letter, so no merge crosses it.  What a worker finds in a unit it remembers
+while there is room; units it does not know are encoded together, as one text of units in a row.  Vocabularies without these
+properties get whole texts as units.
 
 Corpus counts are sums over (text, distinct pair) rows; they are joined as a broadcast while their table is small and by
 a shuffle beyond that.
@@ -21,6 +22,7 @@ import functools
 import itertools
 import json
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import sha256
@@ -47,7 +49,12 @@ MEMO = 400_000
 _ODD = frozenset(map(chr, [*range(0x21), *range(0x7F, 0xA1), 0xAD, 0x1680, 0x180E, *range(0x2000, 0x2010), *range(0x2028, 0x2030), *range(0x205F, 0x2070), 0x3000, 0xFEFF]))
 #: A character that is a space or format character in no version of Unicode.
 _SOLID = f"[^{re.escape(''.join(sorted(_ODD)))}]"
-_UNIT_END = re.compile(f"(?<={_SOLID}) (?={_SOLID})")
+#: Punctuation that begins no contraction, and its place behind a Latin letter.
+_POINT = "!-&(-/:-@\\[-`{-~"
+_STOP = f"(?=[{_POINT}])(?<=[A-Za-zÀ-ÖØ-öø-ÿ])"
+_UNIT_END = re.compile(f"(?=[ \n{_POINT}])(?:(?=[ \n]{_SOLID})(?<={_SOLID})|{_STOP})")
+#: Before a unit that does not begin with a space, where units are encoded in a row.
+BEFORE = " a"
 SPACE_MARK = chr(0x2581)
 
 _DIGEST = "struct<n_a:long,n_b:long,n_groups:long,n_links:long,groups_sha256:string,pairs:array<long>,times:array<int>>"
@@ -102,13 +109,15 @@ class Encoders:
         spec, model = json.loads(a.to_str()), sentencepiece_model_pb2.ModelProto()
         model.ParseFromString(b.serialized_model_proto())
         pre, normal = spec["pre_tokenizer"] or {}, model.normalizer_spec
-        apart = not any(re.search(f"[^{SPACE_MARK}]{SPACE_MARK}", p.piece) for p in model.pieces)
+        crossing = re.compile(f"[^{SPACE_MARK}]{SPACE_MARK}|(?s:.\n|\n.)|{_STOP}")
+        apart = not any(crossing.search(p.piece) for p in model.pieces if p.type in (p.NORMAL, p.USER_DEFINED))
         plain = normal.name == "identity" and normal.add_dummy_prefix and normal.escape_whitespaces and not normal.remove_extra_whitespaces
         level = spec["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
         return cls(a, b, a_bytes, [_piece_bytes(b, i) for i in range(b.get_piece_size())], bool(apart and plain and level))
 
     def units(self, text: str) -> list[str]:
-        return _UNIT_END.split(text) if self.in_units else [text]
+        """The units of the text; joined they are ``space + text``."""
+        return _UNIT_END.split(" " + text) if self.in_units else [" " + text]
 
     def aligned(self, texts: list[str]) -> Iterator[Aligned | None]:
         """For each text its tokens and their cuts; None for an empty one and where the bytes are not the text's."""
@@ -159,12 +168,22 @@ class Aligned:
 
     def common(self) -> tuple[np.ndarray, np.ndarray]:
         """Of each group the number of tokens up to its end, in A and in B."""
-        cuts = np.intersect1d(self.ends_a, self.ends_b, assume_unique=True)
-        return np.searchsorted(self.ends_a, cuts) + 1, np.searchsorted(self.ends_b, cuts) + 1
+        a, b = self._marks()
+        return np.flatnonzero(b[self.ends_a]) + 1, np.flatnonzero(a[self.ends_b]) + 1
+
+    def _marks(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each byte whether a token of A ends there, and one of B."""
+        a, b = np.zeros((2, int(self.ends_a[-1]) + 1), bool)
+        a[self.ends_a], b[self.ends_b] = True, True
+        return a, b
+
+    def cuts(self) -> np.ndarray:
+        a, b = self._marks()
+        return np.flatnonzero(a | b)
 
     def pairs(self) -> np.ndarray:
         """The pairs that overlap: between two neighbouring cuts of either lies one token of each."""
-        cuts = np.union1d(self.ends_a, self.ends_b)
+        cuts = self.cuts()
         return self.a[np.searchsorted(self.ends_a, cuts)] * WIDTH + self.b[np.searchsorted(self.ends_b, cuts)]
 
     def written(self, tools: Encoders) -> str:
@@ -180,6 +199,11 @@ class Aligned:
         return "".join(out.tolist())[:-1]
 
 
+def _steps(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of one run after another, each from its begin on."""
+    return np.arange(sizes.sum()) + np.repeat(begins - np.cumsum(sizes) + sizes, sizes)
+
+
 @dataclass
 class Found:
     """What units hold, in rows: whether they have tokens, numbers of A tokens, B tokens, groups and links, the groups as text, and the links."""
@@ -197,10 +221,10 @@ class Found:
     def of(cls, tools: Encoders, found: Aligned | None, sizes: np.ndarray) -> Found:
         """The parts of an aligned text that end after so many bytes each, where both tokenizers cut."""
         if found is None:
-            return cls(np.zeros(1, bool), np.zeros((1, 4), np.int64), [""], np.zeros(0, np.int64))
+            return cls(np.zeros(len(sizes), bool), np.zeros((len(sizes), 4), np.int64), [""] * len(sizes), np.zeros(0, np.int64))
         ends, pairs = np.cumsum(sizes), found.pairs()
         upto_a, _ = found.common()
-        until = np.stack([np.searchsorted(cuts, ends) + 1 for cuts in (found.ends_a, found.ends_b, found.ends_a[upto_a - 1], np.union1d(found.ends_a, found.ends_b))], axis=1)
+        until = np.stack([np.searchsorted(cuts, ends) + 1 for cuts in (found.ends_a, found.ends_b, found.ends_a[upto_a - 1], found.cuts())], axis=1)
         groups, stops = found.written(tools).split(";"), [0, *until[:, 2].tolist()]
         return cls(np.ones(len(sizes), bool), np.diff(until, axis=0, prepend=0), [";".join(groups[i:j]) for i, j in itertools.pairwise(stops)], pairs)
 
@@ -208,48 +232,77 @@ class Found:
     def joined(parts: list[Found]) -> Found:
         return Found(np.concatenate([p.good for p in parts]), np.concatenate([p.counts for p in parts]), list(itertools.chain.from_iterable(p.written for p in parts)), np.concatenate([p.pairs for p in parts]))
 
+    def taken(self, at: list[int]) -> Found:
+        """These rows, in this order."""
+        links = self.counts[:, 3]
+        begins = np.cumsum(links) - links
+        return Found(self.good[at], self.counts[at], [self.written[i] for i in at], self.pairs[_steps(begins[at], links[at])])
+
+
+def _put(held: np.ndarray, n: int, more: np.ndarray) -> np.ndarray:
+    """``held`` with ``more`` from its place n on; it grows by its own size."""
+    if n + len(more) > len(held):
+        held = np.concatenate([held[:n], np.zeros((len(held) + len(more), *held.shape[1:]), held.dtype)])
+    held[n:n + len(more)] = more
+    return held
+
 
 class Memory:
     """Units that were met, the earliest ones for good and others for one group of texts."""
 
     def __init__(self, tools: Encoders):
-        self.tools, self.at, self.held = tools, {}, Found.none()
+        self.tools, self.at, self.held, self.links = tools, defaultdict(int), Found.none(), 0
 
-    def encoded(self, units: list[str]) -> tuple[list[str], Found]:
-        """The units in another order, and what they hold."""
+    def encoded(self, units: list[str]) -> Found:
+        """What the units hold."""
         # a row of units needs solid ends, and the bytes of a unit with the space mark are never its text's
-        alone = [u for u in units if not self.tools.in_units or u[0] in _ODD or u[-1] in _ODD or SPACE_MARK in u]
-        apart = set(alone)
-        parts, order = [Found.none()], alone
-        for u, found in zip(alone, self.tools.aligned(alone), strict=True):
-            parts.append(Found.of(self.tools, found, np.array([1 + len(u.encode())])))
+        own = [not self.tools.in_units or u[0] == " " and u[1:2] in _ODD or u[-1] in _ODD or SPACE_MARK in u for u in units]
+        rows: list[list[int]] = [[k] for k in np.flatnonzero(own).tolist()]
         row, size = [], 0
-        for u in itertools.chain((u for u in units if u not in apart), [None]):
-            if row and (u is None or size > ROW):
-                found = next(self.tools.aligned([" ".join(row)]))
-                if found is not None:
-                    parts.append(Found.of(self.tools, found, np.array([1 + len(x.encode()) for x in row])))
-                else:  # some unit of the row is not given back
-                    parts += [Found.of(self.tools, one, np.array([1 + len(x.encode())])) for x, one in zip(row, self.tools.aligned(row), strict=True)]
-                order = order + row
-                row, size = [], 0
-            if u is not None:
-                row.append(u)
-                size += len(u) + 1
-        return order, Found.joined(parts)
+        for k, u in enumerate(units):
+            if not own[k]:
+                row.append(k)
+                size += len(u)
+                if size > ROW:
+                    rows.append(row)
+                    row, size = [], 0
+        rows += [row] if row else []
+        parts, where, count = [Found.none()], [0] * len(units), 0
+        while rows:
+            row, text, places = rows.pop(), [], []
+            for k in row:
+                text += [units[k]] if units[k][0] == " " else [BEFORE, units[k]]
+                places.append(count + len(text) - 1)
+            found = next(self.tools.aligned(["".join(text)[1:]]))
+            if found is None and len(row) > 1:  # some unit of the row is not given back
+                rows += [[k] for k in row]
+                continue
+            parts.append(Found.of(self.tools, found, np.array([len(u.encode()) for u in text])))
+            for k, place in zip(row, places, strict=True):
+                where[k] = place
+            count += len(text)
+        return Found.joined(parts).taken(where)
 
     def find(self, texts: list[str]) -> tuple[list[list[int]], Found]:
-        """For each text where its units stand in the rows that are returned too; none where a unit has no tokens."""
-        units_of = [self.tools.units(t) if t else [] for t in texts]
-        at = self.at
-        new, found = self.encoded(list(set().union(*units_of).difference(at)))
-        rows = Found.joined([self.held, found])
-        more = dict(zip(new, range(len(at), len(at) + len(new))))
-        if self.tools.in_units and len(at) + len(new) <= MEMO:
-            at.update(more)
-            self.held = rows
-        places = [[at[u] if u in at else more[u] for u in units] for units in units_of]
-        return [p if rows.good[p].all() else [] for p in places], rows
+        """For each text where its units stand in the rows that are returned too; none where a unit has no tokens.
+
+        The rows hold until the next call.
+        """
+        at, held, n = self.at, self.held, len(self.at)
+        at.default_factory = itertools.count(n).__next__
+        places = [list(map(at.__getitem__, self.tools.units(t))) if t else [] for t in texts]
+        total = len(at)
+        more = self.encoded(list(itertools.islice(reversed(at), total - n))[::-1])
+        del held.written[n:]
+        held.written += more.written
+        held.good, held.counts, held.pairs = _put(held.good, n, more.good), _put(held.counts, n, more.counts), _put(held.pairs, self.links, more.pairs)
+        rows = Found(held.good[:total], held.counts[:total], held.written, held.pairs[:self.links + len(more.pairs)])
+        keep = max(n, min(total, MEMO if self.tools.in_units else 0))
+        self.links += int(more.counts[:keep - n, 3].sum())
+        for _ in range(total - keep):
+            at.popitem()
+        lost = set(np.flatnonzero(~rows.good).tolist())
+        return [[] if lost and not lost.isdisjoint(p) else p for p in places], rows
 
 
 @functools.cache
@@ -274,8 +327,7 @@ def _digest(a_path: str, b_path: str):
                     at = np.array(p)
                     own = rows.counts[at]
                     # the links of one unit after another
-                    step = np.arange(own[:, 3].sum()) + np.repeat(begins[at] - np.cumsum(own[:, 3]) + own[:, 3], own[:, 3])
-                    values, n = np.unique(rows.pairs[step], return_counts=True)
+                    values, n = np.unique(rows.pairs[_steps(begins[at], own[:, 3])], return_counts=True)
                     counts.append((*own.sum(axis=0).tolist(), len(values)))
                     hashes.append(sha256(";".join(map(rows.written.__getitem__, p)).encode()).hexdigest())
                     pairs.append(values)

@@ -108,6 +108,30 @@ def test_units_equal_whole_texts(monkeypatch):
     assert 0 < len(memory.at) <= 60
 
 
+def test_few_units_are_met_again(monkeypatch):
+    """Words are known whatever punctuation or line break stands beside them, and rows that are held are not copied."""
+    words = ["wordé", "don't", "x", "123", "ÀB", "日本", "a\u2581b"]
+    marks = [", ", ".\n", "; ", "! ", "-", "|", " (", ")\n", ".\n\n", " ", "'s ", "\n", "...\n", "', ", "÷", ".\r\n"]
+    texts = ["".join(w + m for w in words) + w + m * k for m in marks for w in words for k in range(2)]
+    tools = encoders(A_PATH, B_PATH)
+    assert [tools.units(t) for t in ("a word, or\nanother.", " b", "c\n d.")] == [[" a", " word", ",", " or", "\nanother", "."], ["  b"], [" c\n d", "."]]
+    monkeypatch.setattr(alignment, "ROW", 60)
+    memory = Memory(tools)
+    for _ in range(2):
+        places, rows = memory.find(texts)
+        for t, p, whole in zip(texts, places, tools.aligned(texts), strict=True):
+            assert "".join(tools.units(t)) == " " + t and bool(p) == (whole is not None)
+            assert not p or ";".join(rows.written[i] for i in p) == whole.written(tools)
+    plain = [w + m for w in ("one", "two", "three", "four") for m in ",.;:!?"]
+    memory = Memory(tools)
+    memory.find([" ".join(plain)])
+    assert len(memory.at) == 10  # each word once, each mark once (24 before)
+    held = memory.held.pairs
+    memory.encoded = lambda units: units and pytest.fail("known units are encoded again") or alignment.Found.none()
+    memory.find([" ".join(reversed(plain))])
+    assert memory.held.pairs is held
+
+
 def test_groups_and_awkward_rows(spark):
     docs = awkward(spark)
     got = with_groups(docs.withColumnRenamed("lang", "groups")).select("text", "groups_").collect()
