@@ -4,6 +4,10 @@ A paragraph is a line of at least ``least_words`` words.  Its set of five-word s
 whose bands are tuned to miss a pair of the asked similarity with a small chance; colliding paragraphs are verified by
 exact Jaccard and clustered.  In each cluster that reaches over several documents the first paragraph stays and the
 others are removed.
+
+Passages that repeat inside longer lines, or across line breaks, are found by exact windows of words (``repeated_passages``):
+of every ``reach`` consecutive windows the one with the smallest hash is kept, so that two texts that share
+``window + reach - 1`` words in a row share a kept window.
 """
 
 from __future__ import annotations
@@ -12,19 +16,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checked_broadcast, settle
 from .bagminhash import SHINGLE, band_values, content_keys, shingles
 from .common import fresh, lean, quoted, text_groups
 from .near import SIMILARITY, bands_for, classes
-from .words import MIX, Words, words_of
+from .winnowing import winnow
+from .words import MIX, NEVER, Words, blocks, words_of
 
 LEAST_WORDS = 20
 BAND_ROWS = 4
 #: Chance that a pair of exactly the asked similarity shares no band.
 MISS = 1e-3
+#: Words of a window, and of how many windows in a row one is kept; no more than a window's words, so that kept ones leave no gap.
+WINDOW, REACH = 20, 20
 
 _LINE = pa.struct([("paragraph", pa.int32()), ("first", pa.int64()), ("until", pa.int64()), ("words", pa.int64()), ("key", pa.int64()),
                    ("size", pa.int64()), ("bands", pa.list_(pa.int64()))])
@@ -136,6 +143,63 @@ def repeated_paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
                                                  (~first).alias("removed")))
 
 
+_PRINT = pa.struct([("hash", pa.int64()), ("at", pa.int32()), ("first", pa.int32()), ("until", pa.int32()), ("line", pa.int32())])
+
+
+def _windows(window: int, reach: int):
+    @F.arrow_udf("array<struct<hash:long,at:int,first:int,until:int,line:int>>")
+    @lean
+    def windows(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            out = [pa.array([], pa.list_(_PRINT))]
+            for data, offsets in blocks(column):
+                words = words_of(data, offsets)
+                grams = words.grams(window)
+                # no window begins in the last words of a text, nor before the first text: the windows at either end of a text are kept
+                kept = np.flatnonzero(winnow(np.append(np.full(reach - 1, NEVER), grams), reach)[reach - 1:])
+                bounds = np.searchsorted(kept, words.first)
+                text = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
+                # characters and line breaks before each byte
+                chars, lines = (np.append(0, np.cumsum(x, dtype=np.int32)) for x in ((data & 0xC0) != 0x80, data == 10))
+                begins, ends = words.begins[kept], words.ends[kept + window - 1]
+                found = [grams[kept].astype(np.int64), kept - words.first[text], chars[begins] - chars[offsets[text]], chars[ends] - chars[offsets[text]], lines[begins] - lines[offsets[text]]]
+                listed = pa.StructArray.from_arrays([pa.array(x.astype(f.type.to_pandas_dtype()), f.type) for x, f in zip(found, _PRINT, strict=True)], fields=list(_PRINT))
+                out.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), listed))
+            yield pa.concat_arrays(out)
+
+    return windows
+
+
+def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, reach: int = REACH) -> DataFrame:
+    """One row per passage of a document whose words stand in another document too, wherever lines begin or end.
+
+    Columns as of ``repeated_paragraphs``: paragraph is the line in which the passage begins, the cluster's document the first one that
+    holds its windows, cluster_size the most places that hold one of them; removed is false where the passage stands there for
+    the first time.  A passage is a run of kept windows without a gap that repeat the same document.  Every run of ``window + reach - 1``
+    words that two documents share is found; its ends are found to within ``reach - 1`` words, those at the ends of a text exactly.
+    Copies are known by a 63-bit hash of each window's words.  Null texts and ids as there.
+    """
+    if reach > window:
+        raise ValueError("kept windows would leave gaps")
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), quoted(doc_id).alias("doc_id"), quoted(text).alias("t"))
+    found = settle(texts.select("row", "doc_id", F.explode(_windows(window, reach)("t")).alias("p")).select("row", "doc_id", "p.*"))
+    shared = (found.groupBy("hash").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.max(F.col("doc_id").isNull()).alias("n"))
+              .where("a <> b OR (n AND a IS NOT NULL)").select("hash"))
+    hits = settle(found.join(checked_broadcast(shared), "hash", "left_semi"))
+    order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "at", "line")
+    owners = hits.groupBy("hash").agg(F.min(order).alias("c"), F.count("*").alias("places"))
+    again = ~(F.col("doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("at") == F.col("c.at")))
+    placed = hits.join(owners, "hash").select("row", "doc_id", "at", "first", "until", "line", "places", F.col("c.doc_id").alias("cluster_doc"), F.col("c.line").alias("cluster_line"), again.alias("removed"))
+    own = Window.partitionBy("row").orderBy("at")
+    last = lambda c: F.lag(c).over(own)
+    opens = last("at").isNull() | (F.col("at") - last("at") > window) | ~last("cluster_doc").eqNullSafe(F.col("cluster_doc")) | (last("removed") != F.col("removed"))
+    runs = placed.withColumn("opens", opens.cast("int")).withColumn("run", F.sum("opens").over(own))
+    return (runs.groupBy("row", "run").agg(F.first("doc_id").alias("doc_id"), F.min("line").alias("paragraph"), F.min("first").cast("long").alias("first"), F.max("until").cast("long").alias("until"),
+                                           (F.max("at") + window - F.min("at")).cast("long").alias("words"), F.first("cluster_doc").alias("cluster_doc"),
+                                           F.min_by("cluster_line", "at").alias("cluster_paragraph"), F.max("places").alias("cluster_size"), F.first("removed").alias("removed"))
+            .drop("row", "run"))
+
+
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with removed paragraphs cut out of the text (their line breaks too); rows and other columns stay."""
     cuts = (repeated_paragraphs(docs, doc_id, text, **options).where("removed AND doc_id IS NOT NULL").groupBy("doc_id")

@@ -88,3 +88,36 @@ def test_workers_hold_columns_and_give_memory_back(spark, monkeypatch):
     assert [len(x) for x in out] == [4000] and {len(x) for x in out[0].to_pylist()} == {8}
     assert freed
     assert peak < 34 << 20
+
+
+def test_passages_inside_long_lines(spark):
+    """Words that two texts share inside longer lines and across line breaks; paragraphs alone find none of them."""
+    rng = random.Random(7)
+    own = lambda n: [f"é{rng.randrange(10 ** 9)}" for _ in range(n)]
+    rows, shared = [], {}
+    for k, n in enumerate((39, 45, 60, 60, 120, 200)):
+        passage = own(n)
+        for d in (2 * k, 2 * k + 1):
+            head, tail = own(rng.randrange(30, 90)), own(rng.randrange(30, 90))
+            rows.append((d, "x\n" + " ".join(head) + " " + ("\n" if k == 3 else ", ").join(passage) + " " + " ".join(tail), None, None, None))
+            shared[d] = (1 + len(head), n)
+    rows += [(90, " ".join(own(300)), None, None, None), (None, rows[0][1], None, None, None), (91, None, None, None, None), (92, "", None, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert not {r["doc_id"] for r in P.repeated_paragraphs(docs).collect()} & set(range(2, 12))
+    got = P.repeated_passages(docs).collect()
+    by = {r["doc_id"]: r for r in got if r["doc_id"] not in (0, None)}
+    assert set(by) == set(range(1, 12))
+    texts = {r[0]: r[1] for r in rows}
+    for d, r in by.items():
+        at, n = shared[d]
+        words = texts[d].replace("\n", " ").replace(",", "").split()
+        part = texts[d][r["first"]:r["until"]].replace("\n", " ").replace(",", "").split()
+        begin = words.index(part[0])
+        assert words[begin:begin + len(part)] == part and len(part) == r["words"]
+        assert at <= begin < at + P.REACH and at + n - P.REACH < begin + len(part) <= at + n
+        assert r["cluster_doc"] == d - d % 2 and r["removed"] == (d % 2 == 1) and r["paragraph"] >= 1
+    # a whole copy: the null id repeats all of document 0, from its first to its last character
+    copies = [r for r in got if r["doc_id"] is None]
+    assert min(r["first"] for r in copies) == 0 and max(r["until"] for r in copies) == len(rows[0][1]) and all(r["removed"] and r["cluster_doc"] == 0 for r in copies)
+    assert P.repeated_passages(empty(spark)).collect() == []
+    assert P.repeated_passages(awkward(spark)).collect() == []
