@@ -100,14 +100,18 @@ def long_probabilities(scored: DataFrame, classes: list[str], *keep: str) -> Dat
         *keep, F.col("_z.candidate").alias("candidate"), F.round("_z.p", 9).alias("p"))
 
 
+def numeric_preparation(numeric: list[str]) -> Pipeline:
+    """Median-imputed, scaled numbers as the vector ``_numz``."""
+    filled = [f"{c}_f" for c in numeric]
+    return Pipeline(stages=[Imputer(strategy="median", inputCols=numeric, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="_num"),
+                            StandardScaler(inputCol="_num", outputCol="_numz", withMean=True)])
+
+
 def covariate_pipeline(numeric: list[str], categorical: list[str], n_train: int) -> Pipeline:
     """Median-imputed, scaled numbers and one-hot categories into a penalised logistic regression."""
     stages, inputs = [], []
     if numeric:
-        filled = [f"{c}_f" for c in numeric]
-        stages += [Imputer(strategy="median", inputCols=numeric, outputCols=filled),
-                   VectorAssembler(inputCols=filled, outputCol="_num"),
-                   StandardScaler(inputCol="_num", outputCol="_numz", withMean=True)]
+        stages += numeric_preparation(numeric).getStages()
         inputs.append("_numz")
     if categorical:
         idx, hot = [f"{c}_i" for c in categorical], [f"{c}_h" for c in categorical]
